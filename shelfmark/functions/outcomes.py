@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfmark.functions.text import lookup
 from shelfmark.functions.urls import mask_credentials
 
 # Stage -> default reason and hint.
@@ -44,17 +45,12 @@ def error_stage(error: Column, error_type: Column, captcha_seen: Column) -> Colu
     )
 
 
-def _text(stage: Column, part: int) -> Column:
-    pairs = [F.lit(v) for name, texts in STAGES.items() if texts[part] for v in (name, texts[part])]
-    return F.try_element_at(F.create_map(*pairs), stage)
-
-
 def stage_reason(stage: Column, given: Column) -> Column:
-    return F.coalesce(mask_credentials(given), _text(stage, 0))
+    return F.coalesce(mask_credentials(given), lookup({name: reason for name, (reason, _) in STAGES.items()}, stage))
 
 
 def stage_hint(stage: Column) -> Column:
-    return _text(stage, 1)
+    return lookup({name: hint for name, (_, hint) in STAGES.items() if hint}, stage)
 
 
 def message(stage: Column, reason: Column, url: Column, hint: Column) -> Column:

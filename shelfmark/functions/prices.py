@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import ascii_digits, extract, filled, strip
+from shelfmark.functions.text import ascii_digits, extract, filled, lookup, strip
 from shelfmark.rules import CURRENCY
 
 MONEY = "decimal(18,2)"
@@ -22,7 +22,7 @@ PRICE_IN_TEXT = (
 )
 # Price inside rendered text, symbol in front or behind.
 PRICE_RENDERED = (
-    rf"{CURRENCY}\s*\d+(?:,\d{{3}})*(?:\.\d{{1,2}})?|\d+(?:\.\d{{3}})*(?:,\d{{1,2}})?\s*{CURRENCY}"
+    rf"(?U){CURRENCY}\s*\d+(?:,\d{{3}})*(?:\.\d{{1,2}})?|\d+(?:\.\d{{3}})*(?:,\d{{1,2}})?\s*{CURRENCY}"
 )
 # Currency markers a valid price may carry.
 _MARKERS = [
@@ -93,11 +93,8 @@ def rating_is_valid(rating: Column) -> Column:
     return F.coalesce(strip(rating).rlike(shape), F.lit(False))
 
 
-def _ties_to_one_decimal() -> Column:
-    """x.x5 in binary lies above, below or on the middle; each case as ``%.1f`` prints it."""
-    values = [cent for cent in range(5, 500, 10)]
-    pairs = [F.lit(part) for cent in values for part in (f"{cent / 100:.2f}", f"{cent / 100:.1f}")]
-    return F.create_map(*pairs)
+# x.x5 in binary lies above, below or on the middle; each case rounded as ``%.1f`` prints it.
+_TIES = {f"{cent / 100:.2f}": f"{cent / 100:.1f}" for cent in range(5, 500, 10)}
 
 
 def normalize_rating(text: Column) -> Column:
@@ -106,7 +103,7 @@ def normalize_rating(text: Column) -> Column:
     value = F.replace(extract(text, _RATING_PHRASE, 1), F.lit(","), F.lit("."))
     number = ascii_digits(value).try_cast("decimal(38,18)")
     tenths = F.coalesce(
-        F.try_element_at(_ties_to_one_decimal(), F.when(number == F.round(number, 2), F.round(number, 2).cast("string"))),
+        lookup(_TIES, F.when(number == F.round(number, 2), F.round(number, 2).cast("string"))),
         F.round(number, 1).try_cast("decimal(2,1)").cast("string"),
     )
     short = F.when(value.rlike(r"(?U)\.\d{2,}$"), tenths).otherwise(value)

@@ -44,3 +44,13 @@ def ordered_distinct(items: Column, key: Callable[[Column], Column]) -> Column:
 def ascii_digits(text: Column) -> Column:
     """Arabic-Indic, Persian and full-width digits as 0-9, so that casts accept them."""
     return F.translate(text, "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹０１２３４５６７８９", "0123456789" * 3)
+
+
+def _sql(value: str | int) -> str:
+    return str(value) if isinstance(value, int) else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def lookup(table: dict, key: Column) -> Column:
+    """``table[key]`` for a small fixed table, NULL where the key is not in it."""
+    entries = ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({entries})"), key)

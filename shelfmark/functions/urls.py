@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import extract, filled, strip
+from shelfmark.functions.text import extract, filled, lookup, strip
 
 DEFAULT_DOMAIN = "amazon.com"
 
@@ -78,17 +78,12 @@ def first_known_domain(urls: Column) -> Column:
     return F.get(F.filter(F.transform(urls, known_domain), lambda d: d.isNotNull()), F.lit(0))
 
 
-def _lookup(domain: Column, part: int) -> Column:
-    pairs = [F.lit(v) for name, values in DOMAIN_LOCALE.items() for v in (name, values[part])]
-    return F.try_element_at(F.create_map(*pairs), domain)
-
-
 def domain_timezone(domain: Column) -> Column:
-    return _lookup(domain, 0)
+    return lookup({name: zone for name, (zone, _) in DOMAIN_LOCALE.items()}, domain)
 
 
 def domain_locale(domain: Column) -> Column:
-    return _lookup(domain, 1)
+    return lookup({name: locale for name, (_, locale) in DOMAIN_LOCALE.items()}, domain)
 
 
 def clean_url(url: Column, params: Iterable[str] = TRACKING_PARAMS, host_pattern: str = "amazon") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import prices, urls
-from shelfmark.functions.text import extract, filled, first_of, first_text, ordered_distinct, strip
+from shelfmark.functions.text import extract, filled, first_of, first_text, lookup, ordered_distinct, strip
 from shelfmark.operators import deals, sellers
 from shelfmark.operators.hits import extract_hits
 from shelfmark.rules import DEAL_RULES, PRODUCT_RULES, RENDERED_RULES, SELLER_RULES, Rule
@@ -129,10 +129,8 @@ def _sources(rules: Sequence[Rule]) -> Column:
     """Which selector gave each single-valued field: ``extraction_quality``."""
 
     def winner(field: str) -> Column:
-        names = F.create_map(
-            *(F.lit(v) for r in rules if (r.scope, r.field) == ("", field) for v in (r.rank, f"css: {r.selector}"))
-        )
-        return F.try_element_at(names, first_of(F.col(field), lambda hit: F.when(hit["text"] != "", hit["rank"])))
+        names = {r.rank: f"css: {r.selector}" for r in rules if (r.scope, r.field) == ("", field)}
+        return lookup(names, first_of(F.col(field), lambda hit: F.when(hit["text"] != "", hit["rank"])))
 
     found = F.array(
         *(

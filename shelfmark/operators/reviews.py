@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import urls
-from shelfmark.functions.text import extract
+from shelfmark.functions.text import extract, lookup
 from shelfmark.operators.grouping import first_per, top_per
 from shelfmark.operators.hits import extract_hits
 from shelfmark.rules import REVIEW_RULES
@@ -22,8 +22,7 @@ def helpful_votes(text: Column) -> Column:
     """"3 people found this helpful" to 3, number words up to ten included; else NULL."""
     number = extract(text, rf"(?iU)(\d+){_HELPFUL}", 1).try_cast("int")
     word = F.lower(extract(text, rf"(?iU)({'|'.join(_NUMBER_WORDS)}){_HELPFUL}", 1))
-    words = F.create_map(*(F.lit(v) for pair in zip(_NUMBER_WORDS, range(1, 11)) for v in pair))
-    return F.coalesce(number, F.try_element_at(words, word))
+    return F.coalesce(number, lookup(dict(zip(_NUMBER_WORDS, range(1, 11))), word))
 
 
 def review_rating(text: Column) -> Column:

@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+# Python-side, because StructType.fromDDL needs a running session.
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "strings": T.ArrayType(T.StringType()),
+    "properties": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def _struct(fields: str) -> T.StructType:
+    """"name type, name type, ..." with the types above."""
+    pairs = (field.split() for field in fields.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 SCHEMA_VERSION = "1.0"
@@ -22,7 +36,7 @@ FETCH_LOG = _struct(
     "url string, attempt int, error string, error_type string, captcha_seen boolean, html string, at timestamp"
 )
 REQUEST = _struct(
-    "request_id bigint, search_term string, product_urls array<string>, domain string, max_results int, "
+    "request_id bigint, search_term string, product_urls strings, domain string, max_results int, "
     "max_pages int, max_reviews int, retries int, timeout int, wait int, zip string"
 )
 PROCESSED = _struct("url string, processed_at timestamp")
@@ -41,8 +55,8 @@ REVIEW_ITEM = _struct("text string, rating string, date string, verified boolean
 PRODUCT = T.StructType(
     [
         *_struct(
-            "url string, title string, price string, rating string, review_count string, images array<string>, "
-            "bullets array<string>, availability string, asin string, brand string, model_number string, "
+            "url string, title string, price string, rating string, review_count string, images strings, "
+            "bullets strings, availability string, asin string, brand string, model_number string, "
             "date_first_available string, manufacturer string, item_weight string, dimensions string, "
             "department string, best_sellers_rank string, category_path string"
         ).fields,
@@ -54,7 +68,7 @@ PRODUCT = T.StructType(
         ).fields,
         T.StructField("reviews", T.ArrayType(REVIEW_ITEM)),
         *_struct(
-            "schema_version string, scraped_at timestamp, from_cache boolean, extraction_quality map<string,string>"
+            "schema_version string, scraped_at timestamp, from_cache boolean, extraction_quality properties"
         ).fields,
     ]
 )

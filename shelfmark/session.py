@@ -34,3 +34,17 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="shelfmark-")
     return f"{shared.rstrip('/')}/{purpose}-{uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors' Python workers this package (what ``--py-files`` does at submit)."""
+    import shutil
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if not any(name.startswith("shelfmark-package") for name in context._python_includes):
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="shelfmark-")) / f"shelfmark-package-{uuid4().hex}"
+        archive = shutil.make_archive(str(target), "zip", root.parent, root.name)
+        context.addPyFile(archive)
+    return spark

@@ -1,0 +1,41 @@
+import os
+import sys
+
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from shelfmark.session import configure
+
+    session = (
+        SparkSession.builder.master("local[8]")
+        .appName("shelfmark-tests")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", "8g")
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield configure(session)
+    session.stop()
+
+
+@pytest.fixture
+def column(spark):
+    """Run a column function over values: ``column(fn, [..])`` gives a list."""
+
+    def run(fn, values, kind="string"):
+        from pyspark.sql import functions as F
+        from pyspark.sql import types as T
+
+        rows = [(i, v) for i, v in enumerate(values)]
+        table = spark.createDataFrame(rows, f"i int, v {kind}")
+        out = table.select("i", fn(F.col("v")).alias("out")).collect()
+        return [row["out"] for row in sorted(out, key=lambda r: r["i"])]
+
+    return run
