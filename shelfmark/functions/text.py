@@ -35,10 +35,25 @@ def first_text(hits: Column) -> Column:
     return first_of(hits, lambda hit: filled(hit["text"]))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it.
+
+    Lambdas see outer expressions by text, so ``value`` would run again per element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ordered_distinct(items: Column, key: Callable[[Column], Column]) -> Column:
     """Keep each item whose ``key`` has no earlier equal; order stays."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda item, at: F.array_position(keys, key(item)) == at + 1)
+
+    def pick(rows: Column) -> Column:
+        def firsts(keys: Column) -> Column:
+            found = F.filter(rows, lambda _, at: F.array_position(keys, F.get(keys, at)) == at + 1)
+            return F.when(F.size(F.array_distinct(keys)) == F.size(keys), rows).otherwise(found)
+
+        return bind(F.transform(rows, key), firsts)
+
+    return bind(items, pick)
 
 
 def ascii_digits(text: Column) -> Column:

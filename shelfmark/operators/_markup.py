@@ -13,17 +13,17 @@ import re
 from bisect import bisect_left
 from html import unescape
 
+_INSIDE_TAG = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TOKEN = re.compile(
-    r"<!--(?P<comment>.*?)(?:-->|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)"
-    r"(?:(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<broken>[^>]*)>)"
-    r"|<[!?][^>]*>",
-    re.S,
+    r"<(?:!--(.*?)(?:-->|\Z)"  # 1 comment
+    rf"|(script|style)((?=[\s/>]){_INSIDE_TAG})>(.*?)(?:</\2\b[^>]*>|\Z)"  # 2 raw element, 3 attributes, 4 text
+    rf"|(/?)([a-z][^\s/>]*)(?:({_INSIDE_TAG})>|([^>]*)>)"  # 5 end mark, 6 name, 7 or 8 (open quote) attributes
+    r"|[!?/][^>]*>)",
+    re.S | re.I,
 )
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in ("script", "style")}
 # Text below these elements is not page text; only the element itself shows it.
 _QUIET = frozenset("script style template rt rp".split())
 # A start tag of the first kind ends an open element of the second kind on top of the stack.
@@ -58,55 +58,72 @@ class Document:
 
     def _read(self, html: str) -> None:
         stack, children, quiet, pending, pos = [0], [0], [], [], 0
-        while found := _TOKEN.search(html, pos):
-            if found.start() > pos:
-                pending.append(html[pos : found.start()])
+        tags, end, texts, last_text = self.tag, self.end, self.texts, self.last_text
+        for found in _TOKEN.finditer(html):
+            start = found.start()
+            if start > pos:
+                pending.append(html[pos:start])
             pos = found.end()
-            name = found["name"]
-            if name is None:
-                if found["comment"] is not None:
-                    self._flush(pending, stack, quiet)
-                    self._text(found["comment"], stack[-1], "#")
+            comment, raw, raw_rest, raw_text, close, name, rest, broken = found.groups()
+            if name is None and raw is None:
+                if comment is not None:
+                    self._flush(pending, stack[-1], quiet)
+                    self._text(comment, stack[-1], "#")
                 continue
-            name = name.lower()
-            if found["close"]:
-                depth = self._opened(stack, name)
+            name = (name or raw).lower()
+            if close:
+                # Nearly every end tag ends the element on top.
+                depth = len(stack) - 1 if tags[stack[-1]] == name else self._opened(stack, name)
                 if depth:
-                    self._flush(pending, stack, quiet)
+                    if pending:
+                        self._flush(pending, stack[-1], quiet)
                     self._close(stack, children, quiet, depth)
                 continue
-            self._flush(pending, stack, quiet)
-            ends = _ENDS.get(name, ())
-            while len(stack) > 1 and self.tag[stack[-1]] in ends:
-                self._close(stack, children, quiet, len(stack) - 1)
+            if pending:
+                self._flush(pending, stack[-1], quiet)
+            if (ends := _ENDS.get(name)) is not None:
+                while tags[stack[-1]] in ends:
+                    self._close(stack, children, quiet, len(stack) - 1)
             children[-1] += 1
-            rest = found["rest"] if found["rest"] is not None else found["broken"]
-            here = self._open(name, rest, stack[-1], children[-1])
-            if name in _RAW_END:
-                stop = _RAW_END[name].search(html, pos)
-                body = html[pos : stop.start()] if stop else html[pos:]
-                pos = stop.end() if stop else len(html)
-                if body:
-                    self._text(body, here, name)
-            if name in _VOID or name in _RAW_END:
-                self.end[here], self.last_text[here] = len(self.tag), len(self.texts)
+            here = self._open(name, rest or raw_rest or broken, stack[-1], children[-1])
+            if raw:
+                if raw_text:
+                    self._text(raw_text, here, name)
+            elif name not in _VOID:
+                stack.append(here)
+                children.append(0)
+                if name in _QUIET:
+                    quiet.append(here)
                 continue
-            stack.append(here)
-            children.append(0)
-            if name in _QUIET:
-                quiet.append(here)
+            end[here], last_text[here] = len(tags), len(texts)
         if pos < len(html):
             pending.append(html[pos:])
-        self._flush(pending, stack, quiet)
+        if pending:
+            self._flush(pending, stack[-1], quiet)
         self._close(stack, children, quiet, 0)
 
-    def _open(self, name: str, rest: str, parent: int, nth: int) -> int:
-        here = len(self.tag)
+    def _open(self, name: str, rest: str | None, parent: int, nth: int) -> int:
+        here, index = len(self.tag), self.index
         attrs = {}
         if rest:
             for key, quoted, single, bare in _ATTR.findall(rest):
                 value = quoted or single or bare
                 attrs.setdefault(key.lower(), unescape(value) if "&" in value else value)
+            for key, value in attrs.items():
+                if key == "id":
+                    if (key := "#" + value) in index:
+                        index[key].append(here)
+                elif key == "class":
+                    for part in value.split():
+                        # A class named twice is one class.
+                        if (key := "." + part) in index and index[key][-1:] != [here]:
+                            index[key].append(here)
+                elif (key := "[" + key) in index:
+                    index[key].append(here)
+        if name in index:
+            index[name].append(here)
+        if "*" in index:
+            index["*"].append(here)
         self.tag.append(name)
         self.attrs.append(attrs)
         self.parent.append(parent)
@@ -114,15 +131,6 @@ class Document:
         self.end.append(0)
         self.first_text.append(len(self.texts))
         self.last_text.append(0)
-        index = self.index
-        keys = [name, "*", *(f"[{key}" for key in attrs)]
-        if "id" in attrs:
-            keys.append("#" + attrs["id"])
-        if "class" in attrs:
-            keys.extend({"." + part for part in attrs["class"].split()})
-        for key in keys:
-            if key in index:
-                index[key].append(here)
         return here
 
     def _opened(self, stack: list[int], name: str) -> int:
@@ -136,18 +144,21 @@ class Document:
         return 0
 
     def _close(self, stack, children, quiet, depth) -> None:
-        for here in stack[depth:]:
-            self.end[here], self.last_text[here] = len(self.tag), len(self.texts)
+        elements, texts = len(self.tag), len(self.texts)
+        while len(stack) > depth:
+            here = stack.pop()
+            children.pop()
+            self.end[here], self.last_text[here] = elements, texts
             if quiet and quiet[-1] == here:
                 quiet.pop()
-        del stack[depth:], children[depth:]
 
-    def _flush(self, pending, stack, quiet) -> None:
-        if pending:
-            text = "".join(pending)
-            pending.clear()
-            kind = self.tag[quiet[-1]] if quiet else ""
-            self._text(unescape(text) if "&" in text else text, stack[-1], kind)
+    def _flush(self, pending, owner, quiet) -> None:
+        if not pending:
+            return
+        text = pending[0] if len(pending) == 1 else "".join(pending)
+        pending.clear()
+        kind = self.tag[quiet[-1]] if quiet else ""
+        self._text(unescape(text) if "&" in text else text, owner, kind)
 
     def _text(self, text: str, owner: int, kind: str) -> None:
         self.texts.append(text)
@@ -169,7 +180,7 @@ class Document:
 
     def inside(self, key: str, scope: int) -> list[int]:
         found = self.index[key]
-        return found[bisect_left(found, scope + 1) : bisect_left(found, self.end[scope])]
+        return found[bisect_left(found, scope + 1) : bisect_left(found, self.end[scope])] if scope else found
 
     def next_element(self, element: int, keys: tuple[str, ...]) -> int | None:
         """First element of the given tags that starts after ``element`` starts."""
@@ -230,37 +241,44 @@ class Selector:
     """A comma list of descendant chains over tag, #id, .class, [attr], :not, :empty, :nth-child."""
 
     def __init__(self, text: str):
+        # Per chain: index key of its last compound, tests left after that lookup, compounds above.
         self.chains = []
+        self.whole = []
         for chain in re.split(r",(?![^(\[]*[)\]])", text):
             compounds = []
             for compound in re.findall(r"(?:\[[^\]]*\]|\([^)]*\)|[^\s\[(])+", chain.strip()):
                 parts = list(_PART.finditer(compound))
                 if "".join(part[0] for part in parts) != compound:
                     raise ValueError(f"unsupported selector {text!r}")
-                compounds.append((self._key(parts), [_test(part) for part in parts]))
+                compounds.append(parts)
             if not compounds:
                 raise ValueError(f"empty selector in {text!r}")
-            self.chains.append(compounds)
+            above = [[_test(part) for part in parts] for parts in reversed(compounds[:-1])]
+            key, settled = self._key(compounds[-1])
+            left = [_test(part) for part in compounds[-1] if part is not settled]
+            self.chains.append((key, left, above))
+            self.whole.append(([_test(part) for part in compounds[-1]], above))
 
     @staticmethod
-    def _key(parts: list[re.Match]) -> str:
-        """The narrowest index a compound can be looked up in."""
+    def _key(parts: list[re.Match]) -> tuple[str, re.Match | None]:
+        """The narrowest index to look a compound up in, and the part that lookup settles."""
         for group, form in (("id", "#{}"), ("cls", ".{}"), ("attr", "[{}"), ("tag", "{}")):
             for part in parts:
-                if part[group]:
-                    return form.format(part[group])
-        return "*"
+                # The presence index holds attributes other than id and class, which have their own.
+                if part[group] and not (group == "attr" and part["attr"] in ("id", "class")):
+                    return form.format(part[group]), None if part["op"] else part
+        return "*", None
 
     def keys(self) -> set[str]:
-        return {chain[-1][0] for chain in self.chains}
+        return {key for key, _, _ in self.chains}
 
     @staticmethod
-    def _fits(doc: Document, element: int, chain) -> bool:
-        *above, (_, tests) = chain
-        if not all(test(doc, element) for test in tests):
-            return False
+    def _fits(doc: Document, element: int, tests, above) -> bool:
+        for test in tests:
+            if not test(doc, element):
+                return False
         at = doc.parent[element]
-        for _, tests in reversed(above):
+        for tests in above:
             while at > 0 and not all(test(doc, at) for test in tests):
                 at = doc.parent[at]
             if at <= 0:
@@ -269,22 +287,23 @@ class Selector:
         return True
 
     def matches(self, doc: Document, element: int) -> bool:
-        return any(self._fits(doc, element, chain) for chain in self.chains)
+        return any(self._fits(doc, element, tests, above) for tests, above in self.whole)
 
     def all(self, doc: Document, scope: int) -> list[int]:
-        found = {
-            element
-            for chain in self.chains
-            for element in doc.inside(chain[-1][0], scope)
-            if self._fits(doc, element, chain)
-        }
+        found = set()
+        for key, tests, above in self.chains:
+            if doc.index[key]:
+                found.update(e for e in doc.inside(key, scope) if self._fits(doc, e, tests, above))
         return sorted(found)
 
     def first(self, doc: Document, scope: int) -> int | None:
-        firsts = []
-        for chain in self.chains:
-            for element in doc.inside(chain[-1][0], scope):
-                if self._fits(doc, element, chain):
-                    firsts.append(element)
-                    break
-        return min(firsts, default=None)
+        best = None
+        for key, tests, above in self.chains:
+            if doc.index[key]:
+                for element in doc.inside(key, scope):
+                    if best is not None and element > best:
+                        break
+                    if self._fits(doc, element, tests, above):
+                        best = element
+                        break
+        return best

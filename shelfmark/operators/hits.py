@@ -79,6 +79,8 @@ class _Field:
         else:
             self.selectors = [(rule.rank, Selector(rule.selector)) for rule in group]
         self.children = [_Field(child, rows, rules) for child, rows in _fields(rules, name).items()]
+        # Without an element in any of these there is nothing to find; most fields are absent from a page.
+        self.needs = [] if self.mode in ("nodes", "first_or_page") else sorted(set().union(*(s.keys() for _, s in self.selectors)))
 
     def keys(self) -> set[str]:
         own = set(self.next_tags) if self.mode == "nodes" else set().union(*(s.keys() for _, s in self.selectors))
@@ -87,6 +89,12 @@ class _Field:
     def run(self, doc: Document, scope: int) -> list[dict]:
         if self.mode == "nodes":
             return self._nodes(doc, scope)
+        if self.needs:
+            for key in self.needs:
+                if doc.index[key]:
+                    break
+            else:
+                return []
         if self.mode == "all":
             found = {}
             for rank, selector in self.selectors:

@@ -87,12 +87,10 @@ def ships_from(ranked_hits: Column, buybox: Column) -> Column:
 def seller_fields() -> list[Column]:
     """Columns from seller hits; ownership follows in :func:`with_ownership`."""
     box = F.get(F.col("buybox"), F.lit(0))
-    rated = seller_rating(F.col("seller_rating"), F.col("feedback"))
     return [
         seller_name(F.col("seller"), F.col("sold_by")).alias("seller_name"),
         is_fulfilled(F.col("fulfilment"), F.col("buybox")).alias("fulfilled_by_amazon"),
-        rated["rating"].alias("seller_rating"),
-        rated["count"].alias("seller_rating_count"),
+        seller_rating(F.col("seller_rating"), F.col("feedback")).alias("rated"),
         ships_from(F.col("ships_from"), F.col("buybox")).alias("ships_from"),
         F.when(box["rank"].isNotNull(), buybox_sold_by(F.col("buybox"))).alias("box_seller"),
         F.when(box["rank"].isNotNull(), box["text"]).alias("box_text"),
@@ -112,7 +110,13 @@ def with_ownership(table: DataFrame) -> DataFrame:
         .when(named.isNotNull(), normalize_seller(named) == normalize_seller(seller))
         .otherwise(F.contains(F.lower("box_text"), F.lower(seller)))
     )
-    return table.withColumn("buybox_owner", F.coalesce(owner, F.lit(False))).drop("box_seller", "box_text")
+    return table.withColumns(
+        {
+            "seller_rating": F.col("rated")["rating"],
+            "seller_rating_count": F.col("rated")["count"],
+            "buybox_owner": F.coalesce(owner, F.lit(False)),
+        }
+    ).drop("rated", "box_seller", "box_text")
 
 
 def sellers(hits: DataFrame, *, keep: tuple[str, ...] = ("url",)) -> DataFrame:

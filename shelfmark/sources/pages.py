@@ -33,6 +33,16 @@ def read_page_files(spark: SparkSession, path: str, page_kind: str = "product")
     )
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table that was read into fewer partitions than there are cores, dealt out evenly.
+
+    Parsing costs far more than reading, and one small file is one task.  Large
+    inputs already have more partitions than cores and pass through without a shuffle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT).parquet(path)
 

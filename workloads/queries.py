@@ -18,7 +18,7 @@ from shelfmark.sources import pages as page_sources
 from shelfmark.sources import sinks
 from shelfmark.streaming.products import product_stream, read_page_stream, start_products
 from workloads import render
-from workloads.render import SHOP, choose, item_id, join, table, us
+from workloads.render import SHOP, choose, item_id, join, page_table, table, us
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,7 +176,7 @@ def canonical_urls(spark, sf_dir):
 )
 def page_title(spark, sf_dir):
     rules = [rule for rule in PRODUCT_RULES if rule.field == "title"]
-    hits = extract_hits(table(spark, sf_dir, "pages"), rules, keep=["page_id"])
+    hits = extract_hits(page_table(spark, sf_dir, "pages"), rules, keep=["page_id"])
     return hits.select("page_id", products.title(F.col("title")).alias("title"))
 
 
@@ -195,7 +195,7 @@ def page_links(spark, sf_dir):
     from shelfmark.functions.text import ordered_distinct
 
     own = rules_table(spark, [Rule("any", "", "link", 1, "nav li a[href]", mode="all", attrs="href")])
-    hits = extract_hits(table(spark, sf_dir, "pages"), rules_from_table(own, "any"), keep=["page_id"])
+    hits = extract_hits(page_table(spark, sf_dir, "pages"), rules_from_table(own, "any"), keep=["page_id"])
     once = ordered_distinct(F.col("link"), lambda hit: hit["attrs"]["href"])
     rows = hits.select("page_id", F.posexplode(once).alias("pos", "hit"))
     return rows.select(
@@ -219,7 +219,7 @@ def page_quality(spark, sf_dir):
         "<title>",
     )
     html = F.regexp_replace(F.col("html"), F.lit("<title>"), mark)
-    pages = table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+    pages = page_table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
     return outcome_jobs.page_quality(pages, keep=("page_id",)).withColumn("kind", key % 4)
 
 
@@ -252,7 +252,7 @@ _SALE_SQL = """
            before_c > now_c AS is_on_sale FROM s""",
 )
 def discount(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem")
+    line = page_table(spark, sf_dir, "lineitem")
     now, before = render.sale_cents(line)
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     texts = line.select(*keys, join("$", us(now)).alias("now"), join("$", us(before)).alias("before"))
@@ -333,7 +333,7 @@ _ANY_PRICE_SQL = f"CASE WHEN p_partkey % 6 = 5 THEN {_SHOWN_SQL} ELSE {_PRICE_SQ
 
 
 def part_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return products.extract_products(render.product_pages(table(spark, sf_dir, "part")), keep=["key"])
+    return products.extract_products(render.product_pages(page_table(spark, sf_dir, "part")), keep=["key"])
 
 
 @query(
@@ -383,7 +383,7 @@ def product_brand(spark, sf_dir):
     f"SELECT p_partkey AS key, {_ANY_PRICE_SQL} AS price, CASE WHEN p_partkey % 6 < 5 THEN {_PRICE_SQL} END AS static_price FROM part",
 )
 def rendered_price(spark, sf_dir):
-    pages = render.product_pages(table(spark, sf_dir, "part"))
+    pages = render.product_pages(page_table(spark, sf_dir, "part"))
     hits = products.product_hits(pages, keep=["key"], rules=PRODUCT_RULES)
     static = products.static_price(F.col("price"), F.col("generic_price"))
     shown = products.rendered_price(F.col("rendered_price"))
@@ -445,7 +445,7 @@ def product_files(spark, sf_dir):
 )
 def completeness(spark, sf_dir):
     """The gate: pages here have no rendered price, and the odd id in their markup is taken out."""
-    pages = render.product_pages(table(spark, sf_dir, "part")).withColumns(
+    pages = render.product_pages(page_table(spark, sf_dir, "part")).withColumns(
         {
             "rendered_html": F.lit(None).cast("string"),
             "html": F.regexp_replace("html", "name='(?:asin|ASIN)'", "name='other'"),
@@ -481,7 +481,7 @@ def _sql_us(c: str) -> str:
     FROM d""",
 )
 def deal_flags(spark, sf_dir):
-    pages = render.deal_pages(table(spark, sf_dir, "lineitem"))
+    pages = render.deal_pages(page_table(spark, sf_dir, "lineitem"))
     rules = [rule for rule in PRODUCT_RULES if "price" in (rule.field, rule.scope) or "generic_price" in (rule.field, rule.scope)]
     hits = extract_hits(pages, [*rules, *DEAL_RULES])
     return deals.price_deals(hits, price=products.static_price(F.col("price"), F.col("generic_price")))
@@ -497,7 +497,7 @@ def deal_flags(spark, sf_dir):
     FROM s""",
 )
 def seller_buybox(spark, sf_dir):
-    pages = render.seller_pages(table(spark, sf_dir, "lineitem"))
+    pages = render.seller_pages(page_table(spark, sf_dir, "lineitem"))
     return sellers.sellers(extract_hits(pages, SELLER_RULES))
 
 
@@ -525,7 +525,7 @@ _CARDS_SQL = f"""
            l_returnflag = 'R' AS is_prime FROM cards""",
 )
 def search_cards(spark, sf_dir):
-    return search.extract_search(render.search_pages(table(spark, sf_dir, "lineitem")))
+    return search.extract_search(render.search_pages(page_table(spark, sf_dir, "lineitem")))
 
 
 def _walk_sql(max_pages: str, max_results: str) -> str:
@@ -543,7 +543,7 @@ def _walk_sql(max_pages: str, max_results: str) -> str:
     f"WITH {_walk_sql('3', '4')} SELECT 'order ' || l_orderkey AS query, result_rank, page_num, card_pos, url FROM walked",
 )
 def search_walk(spark, sf_dir):
-    walked = search.walk_search(render.search_pages(table(spark, sf_dir, "lineitem")), max_results=4, max_pages=3)
+    walked = search.walk_search(render.search_pages(page_table(spark, sf_dir, "lineitem")), max_results=4, max_pages=3)
     return walked.select("query", "result_rank", "page_num", "card_pos", "url")
 
 
@@ -561,7 +561,7 @@ def search_walk_limits(spark, sf_dir):
         (key % 3 + 1).alias("max_pages"),
         (key % 5 + 1).alias("max_results"),
     )
-    walked = search.walk_search(render.search_pages(table(spark, sf_dir, "lineitem")), limits=limits)
+    walked = search.walk_search(render.search_pages(page_table(spark, sf_dir, "lineitem")), limits=limits)
     return walked.select("query", "result_rank", "page_num", "url")
 
 
@@ -586,7 +586,7 @@ _REVIEWS_SQL = """
            CASE turn % 4 WHEN 0 THEN turn::INT WHEN 1 THEN 2 END AS helpful_votes FROM rev""",
 )
 def review_extract(spark, sf_dir):
-    return reviews.extract_reviews(render.review_pages(table(spark, sf_dir, "conversations")))
+    return reviews.extract_reviews(render.review_pages(page_table(spark, sf_dir, "conversations")))
 
 
 @query(
@@ -594,7 +594,7 @@ def review_extract(spark, sf_dir):
     f"WITH {_REVIEWS_SQL} SELECT url, review_rank, round::INT AS round, body AS text FROM numbered WHERE review_rank <= 5",
 )
 def review_top(spark, sf_dir):
-    rows = reviews.extract_reviews(render.review_pages(table(spark, sf_dir, "conversations")))
+    rows = reviews.extract_reviews(render.review_pages(page_table(spark, sf_dir, "conversations")))
     return reviews.top_reviews(rows, 5).select("url", "review_rank", "round", "text")
 
 
@@ -604,7 +604,7 @@ def review_top(spark, sf_dir):
 )
 def review_stall(spark, sf_dir):
     """Rounds 3 to 5 bring nothing new, so what round 6 shows is never read."""
-    rows = reviews.extract_reviews(render.review_pages(table(spark, sf_dir, "conversations")))
+    rows = reviews.extract_reviews(render.review_pages(page_table(spark, sf_dir, "conversations")))
     return reviews.top_reviews(rows, 200).select("url", "review_rank", "round", "text")
 
 
@@ -616,7 +616,7 @@ def review_stall(spark, sf_dir):
     FROM part LEFT JOIN top ON top.url = {_URL_SQL}""",
 )
 def product_reviews(spark, sf_dir):
-    rows = reviews.extract_reviews(render.review_pages(table(spark, sf_dir, "conversations")))
+    rows = reviews.extract_reviews(render.review_pages(page_table(spark, sf_dir, "conversations")))
     out = reviews.attach_reviews(part_products(spark, sf_dir), rows, 10)
     first = F.get(F.col("reviews"), F.lit(0))["text"]
     return out.select("key", F.size("reviews").alias("n_reviews"), first.alias("first_review"))
@@ -854,8 +854,8 @@ def listed_pages(part: DataFrame) -> DataFrame:
 )
 def search_to_products(spark, sf_dir):
     run = pipeline.products_for_searches(
-        render.search_pages(table(spark, sf_dir, "lineitem")),
-        listed_pages(table(spark, sf_dir, "part")),
+        render.search_pages(page_table(spark, sf_dir, "lineitem")),
+        listed_pages(page_table(spark, sf_dir, "part")),
         max_results=3,
         max_pages=2,
         as_of=at(_AS_OF),
@@ -867,7 +867,7 @@ def _url_run(spark: SparkSession, sf_dir: str) -> pipeline.Run:
     """Every part is a seed.  Key mod 5: 0 snapshot and fetch, 1 expired snapshot and fetch,
     2 a failed and a good fetch, 3 only failed fetches, 4 processed before."""
     key = F.col("key")
-    pages = listed_pages(table(spark, sf_dir, "part"))
+    pages = listed_pages(page_table(spark, sf_dir, "part"))
     seeds = pages.select("url")
     stored = page_sources.as_snapshots(
         pages.where(key % 5 < 2).withColumns(
@@ -931,7 +931,7 @@ def urls_to_outcomes(spark, sf_dir):
 )
 def requests_to_products(spark, sf_dir):
     clean = requests.normalize_requests(raw_requests(table(spark, sf_dir, "customer")))
-    run = pipeline.products_for_requests(clean, listed_pages(table(spark, sf_dir, "part")), as_of=at(_AS_OF))
+    run = pipeline.products_for_requests(clean, listed_pages(page_table(spark, sf_dir, "part")), as_of=at(_AS_OF))
     return run.products.select("url", "title")
 
 
@@ -942,7 +942,7 @@ def requests_to_products(spark, sf_dir):
 def stream_products(spark, sf_dir):
     """Pages arrive as files, in two deliveries of every page; each product comes out once."""
     folder = work_folder(spark, "stream")
-    pages = render.product_pages(table(spark, sf_dir, "part")).drop("key")
+    pages = render.product_pages(page_table(spark, sf_dir, "part")).drop("key")
     for _ in range(2):
         pages.write.mode("append").parquet(f"{folder}/pages")
     stream = read_page_stream(spark, f"{folder}/pages", schema=pages.schema)

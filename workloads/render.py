@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions.urls import url_key
+from shelfmark.sources.pages import spread
+
 SHOP = "https://www.amazon.com"
 
 
@@ -17,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def page_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows become pages: dealt out before it is rendered, while rows are small."""
+    return spread(table(spark, sf_dir, name))
+
+
 def join(*parts: Column | str) -> Column:
     """Concatenate texts and columns."""
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
@@ -312,8 +320,6 @@ def review_pages(conversations: DataFrame) -> DataFrame:
 
 def snapshot_rows(events: DataFrame) -> DataFrame:
     """Events as stored captures: the user stands for the URL, the time for the write."""
-    from shelfmark.functions.urls import url_key
-
     url = join(SHOP, "/dp/", item_id(F.col("user_id")))
     return events.select(
         "event_id",
