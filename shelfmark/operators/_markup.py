@@ -13,7 +13,8 @@ import re
 from bisect import bisect_left
 from html import unescape
 
-_INSIDE_TAG = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+# Unquoted "<" ends the attempt, so broken markup costs one look per tag, not one per pair of tags.
+_INSIDE_TAG = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TOKEN = re.compile(
     r"<(?:!--(.*?)(?:-->|\Z)"  # 1 comment
     rf"|(script|style)((?=[\s/>]){_INSIDE_TAG})>(.*?)(?:</\2\b[^>]*>|\Z)"  # 2 raw element, 3 attributes, 4 text
@@ -59,7 +60,8 @@ class Document:
     def _read(self, html: str) -> None:
         stack, children, quiet, pending, pos = [0], [0], [], [], 0
         tags, end, texts, last_text = self.tag, self.end, self.texts, self.last_text
-        for found in _TOKEN.finditer(html):
+        # The added ">" completes a tag cut off at the end; it never becomes text.
+        for found in _TOKEN.finditer(html + ">"):
             start = found.start()
             if start > pos:
                 pending.append(html[pos:start])

@@ -34,9 +34,9 @@ def with_status(snapshots: DataFrame, as_of: Column) -> DataFrame:
 
 
 def latest(snapshots: DataFrame) -> DataFrame:
-    """The last write per key.  Two writes at one instant: the greater page wins, always the same."""
-    tie = [F.xxhash64("html")] if "html" in snapshots.columns else []
-    return first_per(snapshots, ["url_key"], [F.col("cached_at").desc_nulls_last(), *tie])
+    """The last write per key.  Two writes at one instant: the page's hash decides, so always the same one."""
+    tie = F.xxhash64("html") if "html" in snapshots.columns else F.col("tie")
+    return first_per(snapshots, ["url_key"], [F.col("cached_at").desc_nulls_last(), tie])
 
 
 def lookup(seeds: DataFrame, snapshots: DataFrame, as_of: Column) -> DataFrame:
@@ -69,11 +69,15 @@ def stats(snapshots: DataFrame, as_of: Column, lookups: DataFrame | None = None)
 
     Entries are page halves: a page without a meta file still counts, never as expired.
     """
-    current = latest(snapshots).where(F.col("html").isNotNull())
+    # The page text is measured before the newest version is picked, so that only its size is shuffled.
+    narrow = snapshots.select(
+        "url_key", "cached_at", "ttl_seconds", F.octet_length("html").alias("bytes"), F.xxhash64("html").alias("tie")
+    )
+    current = latest(narrow).where(F.col("bytes").isNotNull())
     expired = F.coalesce(is_expired(F.col("cached_at"), F.col("ttl_seconds"), as_of), F.lit(False))
     stored = current.agg(
         F.count("*").alias("total_entries"),
-        F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("total_bytes"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes"),
         F.count_if(expired).alias("expired_entries"),
     )
     if lookups is None:

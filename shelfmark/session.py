@@ -13,7 +13,12 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # Semi joins with wanted URLs keep unwanted page text out of the shuffle.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # Streaming state of many URLs lives on disk, not in the executors' heaps.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 

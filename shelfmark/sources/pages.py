@@ -9,8 +9,8 @@ from shelfmark.functions.urls import url_key
 from shelfmark.schemas import PAGE, SNAPSHOT
 
 # File name shapes of a snapshot directory (64 hex digits).
-_HTML_FILE = r"([0-9a-f]{64})\.html$"
-_META_FILE = r"([0-9a-f]{64})\.meta\.json$"
+_HTML_FILE = r"/([0-9a-f]{64})\.html$"
+_META_FILE = r"/([0-9a-f]{64})\.meta\.json$"
 _META = "struct<url:string,cached_at:double,ttl_seconds:int,version:string>"
 _META_KEYS = ["url", "cached_at", "ttl_seconds", "version"]
 
@@ -21,14 +21,19 @@ def read_pages(spark: SparkSession, path: str, page_kind: str | None = None) ->
     return pages if page_kind is None else pages.where(F.col("page_kind") == page_kind)
 
 
+def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """Files as rows.  Spark's file sources skip files of zero bytes."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return files.select("path", "modificationTime", F.make_valid_utf8(F.col("content").cast("string")).alias("value"))
+
+
 def read_page_files(spark: SparkSession, path: str, page_kind: str = "product") -> DataFrame:
     """A directory of HTML files, one page each; the file path stands for the URL."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(
-        F.col("_metadata.file_path").alias("url"),
+    return _whole_files(spark, path, "*").select(
+        F.col("path").alias("url"),
         F.col("value").alias("html"),
         F.lit(None).cast("string").alias("rendered_html"),
-        F.col("_metadata.file_modification_time").alias("captured_at"),
+        F.col("modificationTime").alias("captured_at"),
         F.lit(page_kind).alias("page_kind"),
     )
 
@@ -52,12 +57,13 @@ def scan_snapshot_dir(spark: SparkSession, path: str) -> DataFrame:
 
     Both halves of a pair share the key in their file name; either may be missing.
     Meta data must be an object with url, cached_at and ttl_seconds, version
-    optional, and nothing else.
+    optional, and nothing else.  A page file of zero bytes cannot be told from a
+    missing one here; in a SNAPSHOT table an empty page is a hit.
     """
 
     def files(glob: str, shape: str) -> DataFrame:
-        found = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
-        key = F.regexp_extract(F.col("_metadata.file_name"), shape, 1)
+        found = _whole_files(spark, path, glob)
+        key = F.regexp_extract(F.col("path"), shape, 1)
         return found.select(key.alias("url_key"), F.col("value")).where(F.col("url_key") != "")
 
     pages = files("*.html", _HTML_FILE).withColumnRenamed("value", "html")

@@ -4,6 +4,7 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
+os.environ["TZ"] = "UTC"
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
