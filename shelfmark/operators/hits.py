@@ -126,18 +126,13 @@ class _Field:
             text = doc.texts[at]
             if not self.pattern.search(text):
                 continue
-            parent = doc.owner[at]
+            hit, parent = {"ord": at, "text": text}, doc.owner[at]
             after = doc.next_element(parent, self.next_tags)
-            out.append(
-                {
-                    "ord": at,
-                    "text": text,
-                    "parent_tight": doc.text(parent, "tight"),
-                    "parent_spaced": doc.text(parent, "spaced"),
-                    "next_tight": None if after is None else doc.text(after, "tight"),
-                    "next_spaced": None if after is None else doc.text(after, "spaced"),
-                }
-            )
+            for name in self.attrs:
+                which, form = name.split("_")
+                element = parent if which == "parent" else after
+                hit[name] = None if element is None else doc.text(element, form)
+            out.append(hit)
         return out
 
 

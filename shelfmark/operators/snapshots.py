@@ -64,6 +64,11 @@ def invalidate(snapshots: DataFrame, urls: DataFrame) -> DataFrame:
     return snapshots.join(gone, "url_key", "left_anti")
 
 
+def clear(snapshots: DataFrame) -> DataFrame:
+    """No snapshot at all, in the same shape."""
+    return snapshots.where(F.lit(False))
+
+
 def stats(snapshots: DataFrame, as_of: Column, lookups: DataFrame | None = None) -> DataFrame:
     """One row: entries, bytes and expired entries, plus hits and misses of a lookup log.
 

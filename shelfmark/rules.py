@@ -12,7 +12,8 @@ replace them, or load them from a table with :func:`rules_from_table`.
              ``nodes``  text nodes matching ``pattern``; ``selector`` then names the
                         tags of the following element to report
 ``form``     ``tight`` / ``spaced`` / ``raw`` text, or ``none``
-``attrs``    attributes to report, separated by commas
+``attrs``    attributes to report, separated by commas; for ``nodes`` which texts around the
+             node: ``parent_tight``, ``parent_spaced``, ``next_tight``, ``next_spaced``
 ``pattern``  regular expression the text must contain, else there is no hit
 """
 
@@ -193,7 +194,7 @@ DEAL_RULES: list[Rule] = [
 ]
 SELLER_RULES: list[Rule] = [
     *ranked("product", "seller", SELLER),
-    *ranked("product", "sold_by", ["span, a"], mode="nodes", pattern="(?i)sold by:"),
+    *ranked("product", "sold_by", ["span, a"], mode="nodes", attrs="next_tight", pattern="(?i)sold by:"),
     *ranked("product", "fulfilment", FULFILMENT),
     *ranked("product", "seller_rating", SELLER_RATING),
     *ranked("product", "feedback", ["#feedbackSummaryTable, .feedbackDetailStars"], form="none"),
@@ -201,9 +202,17 @@ SELLER_RULES: list[Rule] = [
     *ranked("product", "ships_from", SHIPS_FROM),
     *ranked("product", "buybox", BUYBOX, mode="first_or_page", form="spaced"),
     *ranked("product", "sold_by_inline", ["a, span"], scope="buybox", mode="all", form="spaced", pattern=r"(?i)^\s*sold\s+by\b"),
-    *ranked("product", "sold_by_label", ["a, span"], scope="buybox", mode="nodes", pattern=r"(?i)^\s*sold\s+by\b"),
+    *ranked(
+        "product",
+        "sold_by_label",
+        ["a, span"],
+        scope="buybox",
+        mode="nodes",
+        attrs="parent_spaced,next_spaced",
+        pattern=r"(?i)^\s*sold\s+by\b",
+    ),
     *ranked("product", "fulfilled_note", [""], scope="buybox", mode="nodes", pattern="(?i)sold by amazon|ships from amazon|fulfilled by amazon"),
-    *ranked("product", "ships_note", [""], scope="buybox", mode="nodes", pattern="(?i)ships from:"),
+    *ranked("product", "ships_note", [""], scope="buybox", mode="nodes", attrs="parent_tight", pattern="(?i)ships from:"),
 ]
 GATE_RULES: list[Rule] = [
     *ranked("product", "gate_form", ["#captcha-form"], form="none"),

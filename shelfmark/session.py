@@ -22,6 +22,9 @@ SETTINGS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
@@ -47,9 +50,10 @@ def ship(spark: SparkSession) -> SparkSession:
     from pathlib import Path
 
     context = spark.sparkContext
-    if not any(name.startswith("shelfmark-package") for name in context._python_includes):
+    if context.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
         target = Path(tempfile.mkdtemp(prefix="shelfmark-")) / f"shelfmark-package-{uuid4().hex}"
         archive = shutil.make_archive(str(target), "zip", root.parent, root.name)
         context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
     return spark
