@@ -253,6 +253,20 @@ def test_pipeline(spark):
     assert [(r.url, r.attempt, r.stage) for r in run.outcomes.collect()] == [(url(3), 1, "blocked")]
 
 
+def test_pipeline_with_a_hot_url(spark):
+    """One URL with most of all captures, in seeds, pages and snapshots."""
+    hot = spark.range(4_000).select(
+        F.lit("https://x/dp/B000000001").alias("url"),
+        F.when(F.col("id") == 2_500, F.lit(product_page("$7"))).otherwise(F.lit("<p>")).alias("html"),
+        F.timestamp_seconds("id").alias("captured_at"),
+    )
+    cold = hot.limit(1).select(F.lit("https://x/dp/B000000002").alias("url"), F.lit(product_page("$8")).alias("html"), "captured_at")
+    pages = hot.unionByName(cold)
+    run = pipeline.build_products(pages.select("url"), pages, snapshots=sources.as_snapshots(pages, 1), as_of=now())
+    assert sorted(r.price for r in run.products.collect()) == ["$7", "$8"]
+    assert run.outcomes.count() == 0
+
+
 def test_pending(spark):
     seeds = spark.createDataFrame([("a",), ("b",)], "url string")
     done = spark.createDataFrame([("a",), ("a",), (None,)], "url string")
