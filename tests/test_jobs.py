@@ -297,3 +297,17 @@ def test_snapshot_overwrite_and_invalidate(spark, tmp_path):
     left = snapshots.invalidate(stored, spark.createDataFrame([("a",)], "url string"))
     assert [r.url for r in left.collect()] == ["b"]
     assert left.where(F.col("url_key") != url_key(F.col("url"))).count() == 0
+
+
+def test_work_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from shelfmark.session import work_folder
+
+    def session(shared, master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: shared), sparkContext=SimpleNamespace(master=master))
+
+    assert work_folder(session("hdfs://x/shared/", "yarn"), "s").startswith("hdfs://x/shared/s-")
+    with pytest.raises(ValueError):
+        work_folder(session(None, "yarn"), "s")
+    assert work_folder(spark, "s") != work_folder(spark, "s")
