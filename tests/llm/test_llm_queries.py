@@ -1,0 +1,47 @@
+"""The registered corpus queries against their SQL, and the pipeline against its parts."""
+
+import os
+
+import oracle
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from shelfmark.llm import queries
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the test tables")
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_query(spark, name):
+    assert oracle.differences(queries.QUERIES[name](spark, SF_DIR), oracle.connect(SF_DIR), queries.ORACLES[name]) is None
+
+
+def test_ten_queries():
+    assert [int(name[2:].split("_")[0]) for name in queries.QUERIES] == list(range(1, 11))
+
+
+def test_stages_one_by_one(spark, tmp_path):
+    """Every stage keeps the columns of documents, and what it should keep."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    before, sizes = docs, []
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF_DIR).write.parquet(f"{tmp_path}/{number}")
+        docs = spark.read.parquet(f"{tmp_path}/{number}")
+        sizes.append(docs.count())
+        if number < 4:
+            assert docs.columns == before.columns
+    quality, exact, near, mixed, encoded = (spark.read.parquet(f"{tmp_path}/{i}") for i in range(5))
+    plain = F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")
+    assert exact.count() == quality.select(plain).distinct().count()
+    assert exact.select("doc_id").exceptAll(quality.groupBy(plain).agg(F.min("doc_id").alias("doc_id")).select("doc_id")).count() == 0
+    assert near.join(exact, "doc_id", "left_anti").count() == 0
+    assert mixed.select("doc_id").distinct().join(near, "doc_id", "left_anti").count() == 0
+    assert encoded.count() == mixed.count() and encoded.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    assert 0 < sizes[0] < before.count()
+
+
+def test_run_gives_the_same_documents_each_time(spark):
+    one, two = (corpus_pipeline.run(spark, SF_DIR).select("doc_id", "n_tokens").collect() for _ in range(2))
+    assert sorted(one) == sorted(two) and len(one) > 50

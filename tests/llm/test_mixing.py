@@ -1,0 +1,93 @@
+"""Mixing: totals, minimal changes, cases without a model."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from shelfmark.llm import mixing as M
+
+
+def text(domain, n):
+    random.seed(n)
+    own = {"a": "red blue green", "b": "one two three", "c": "sun moon sea"}[domain].split()
+    return " ".join(random.choice(own + ["the", "of"]) for _ in range(random.choice([5, 20, 60])))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rows = [(i, random.Random(i).choice("aaaabbc")) for i in range(600)]
+    docs = spark.createDataFrame([(i, text(d, i), 1.0) for i, d in rows], "doc_id bigint, text string, rate double")
+    return docs, spark.createDataFrame(rows, "doc_id bigint, domain string").filter("doc_id % 2 = 0")
+
+
+def totals(found):
+    tokens = sum(r.n_tokens for r in found)
+    return {d: sum(r.rate * r.chances[d] * r.n_tokens for r in found) / tokens for d in found[0].chances}
+
+
+@pytest.mark.parametrize("targets", [{"a": 0.2, "b": 0.3, "c": 0.5}, {"a": 1, "b": 1, "c": 1}, {"a": 0.9, "b": 0.1}])
+def test_expected_totals_match(corpus, targets):
+    found = M.mixing_rates(*corpus, targets).collect()
+    whole = sum(targets.values())
+    assert all(r.rate >= 0 for r in found)
+    for domain, share in totals(found).items():
+        assert share == pytest.approx(targets.get(domain, 0) / whole, abs=0.01)
+
+
+def test_copies_have_the_rates_as_their_mean(corpus):
+    found = M.mixing_rates(*corpus, {"a": 1, "b": 1, "c": 3}).collect()
+    assert all(abs(r.copies - r.rate) < 1 for r in found)
+    assert sum(r.copies for r in found) == pytest.approx(sum(r.rate for r in found), rel=0.1)
+
+
+def test_a_mix_that_fits_is_left_alone(corpus):
+    docs, labelled = corpus
+    found = M.mixing_rates(docs, labelled, {"a": 1, "b": 1, "c": 1}).collect()
+    again = M.mixing_rates(docs, labelled, totals([r for r in found if r.n_tokens]) if False else {d: sum(r.chances[d] * r.n_tokens for r in found) for d in "abc"}).collect()
+    assert all(r.rate == pytest.approx(1, abs=0.01) for r in again)
+
+
+def test_chances_follow_the_labels(corpus):
+    docs, _ = corpus
+    found = {r.doc_id: r.chances for r in M.mixing_rates(*corpus, {"a": 1, "b": 1, "c": 1}).collect()}
+    right = sum(max(found[i], key=found[i].get) == random.Random(i).choice("aaaabbc") for i in range(1, 600, 2))
+    assert right >= 290
+    assert all(sum(c.values()) == pytest.approx(1) for c in found.values())
+
+
+def test_repeating_and_leaving_out(corpus):
+    docs, labelled = corpus
+    rates = {r.doc_id: r.copies for r in M.mixing_rates(docs, labelled, {"a": 1, "b": 1, "c": 3}).collect()}
+    mixed = M.mixed(docs, labelled, {"a": 1, "b": 1, "c": 3})
+    assert mixed.columns == docs.columns
+    counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert counts == {i: n for i, n in rates.items() if n}
+
+
+def test_nulls_empty_and_long_texts(corpus, spark):
+    docs, labelled = corpus
+    odd = spark.createDataFrame([(None, "red blue", 2.0), (9001, None, 1.0), (9002, "", 1.0), (9003, " \n", 1.0), (9004, "red " * 200_000, 1.0), (5, text("a", 5), 1.0)], docs.schema)
+    labels = labelled.union(spark.createDataFrame([(None, "a"), (3, None), (9002, "b"), (9999, "c")], labelled.schema))
+    found = M.mixing_rates(docs.union(odd), labels, {"a": 1, "b": 1, "c": 1}).collect()
+    assert len(found) == 606
+    assert {r.rate for r in found if r.doc_id in (9001, 9002, 9003)} == {1.0}
+
+
+def test_without_labels_or_documents(corpus, spark):
+    docs, labelled = corpus
+    for some in (labelled.limit(0), labelled.withColumn("doc_id", F.col("doc_id") + 10_000), labelled.withColumn("domain", F.lit("z"))):
+        assert {(r.rate, r.copies) for r in M.mixing_rates(docs, some, {"a": 1}).collect()} == {(1.0, 1)}
+        assert M.mixed(docs, some, {"a": 1}).count() == 600
+    assert M.mixing_rates(docs.limit(0), labelled, {"a": 1}).collect() == []
+    with pytest.raises(ValueError):
+        M.mixing_rates(docs, labelled, {"a": 0})
+
+
+def test_solve():
+    assert M.solve([[0, 2], [4, 1]], [2, 9]) == pytest.approx([2, 1])
+
+
+def test_no_python_on_the_main_path(corpus):
+    plan = M.mixing_rates(*corpus, {"a": 1, "b": 1, "c": 1})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
