@@ -31,9 +31,20 @@ STAGES = {
 # Texts of the two rejections found in the page itself.
 INCOMPLETE = "Failed to extract price or ASIN from page"
 GATE_SERVED = "CAPTCHA page served in place of product content"
+# Our own: seeds that no captured page answers.
+NO_PAGE = "No captured page"
+BEYOND_RETRIES = "No captured page within the allowed attempts"
+# Texts of a blocked request, and titles of challenge pages.
+_GATE_TITLE = "(?i)robot check|captcha"
 _BLOCKED = r"(?i)\b(?:503|509|403)\b|blocked|rate\s*limit|robot|bot\s*check"
 
 
+def is_gate(form_hits: Column, input_hits: Column, title_hits: Column) -> Column:
+    """A challenge page, by form, input or title."""
+    title = F.coalesce(F.get(title_hits, F.lit(0))["text"], F.lit(""))
+    return (F.size(form_hits) > 0) | (F.size(input_hits) > 0) | title.rlike(_GATE_TITLE)
+
+
 def error_stage(error: Column, error_type: Column, captcha_seen: Column) -> Column:
     """Timeout, then captcha, then blocked by its text, else navigation."""
     kind = F.lower(F.coalesce(error_type, F.lit("")))

@@ -48,13 +48,20 @@ _WEIGHT = {"div": 1, "td": 2, "th": 2, "tr": 3, "tbody": 4, "thead": 4, "tfoot":
 class Document:
     """One page; element 0 is the page itself."""
 
-    __slots__ = ("tag", "attrs", "parent", "nth", "end", "first_text", "last_text", "texts", "owner", "kind", "index")
+    __slots__ = (
+        "tag", "attrs", "parent", "nth", "end", "first_text", "last_text", "texts", "owner", "kind", "index",
+        "depths", "barriers", "seen", "solid",
+    )
 
     def __init__(self, html: str, wanted: frozenset[str]):
         self.tag, self.attrs, self.parent, self.nth = [""], [{}], [-1], [1]
         self.end, self.first_text, self.last_text = [0], [0], [0]
         self.texts, self.owner, self.kind = [], [], []
         self.index = {key: [] for key in wanted}
+        # Depths of the open elements by name, and by weight: an end tag is settled without a climb.
+        self.depths, self.barriers = {}, [[] for _ in range(max(_WEIGHT.values()) + 1)]
+        # What selectors have found so far, and the texts that are not blank (made when first asked for).
+        self.seen, self.solid = {}, None
         self._read(html)
 
     def _read(self, html: str) -> None:
@@ -75,7 +82,7 @@ class Document:
             name = (name or raw).lower()
             if close:
                 # Nearly every end tag ends the element on top.
-                depth = len(stack) - 1 if tags[stack[-1]] == name else self._opened(stack, name)
+                depth = len(stack) - 1 if tags[stack[-1]] == name else self._opened(name)
                 if depth:
                     if pending:
                         self._flush(pending, stack[-1], quiet)
@@ -92,6 +99,9 @@ class Document:
                 if raw_text:
                     self._text(raw_text, here, name)
             elif name not in _VOID:
+                self.depths.setdefault(name, []).append(len(stack))
+                if weight := _WEIGHT.get(name):
+                    self.barriers[weight].append(len(stack))
                 stack.append(here)
                 children.append(0)
                 if name in _QUIET:
@@ -135,21 +145,26 @@ class Document:
         self.last_text.append(0)
         return here
 
-    def _opened(self, stack: list[int], name: str) -> int:
-        weight = _WEIGHT.get(name, 0)
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[depth]]
-            if tag == name:
-                return depth
-            if _WEIGHT.get(tag, 0) > weight:
+    def _opened(self, name: str) -> int:
+        """Depth of the open element that an end tag closes; 0 if there is none or a heavier one is in the way."""
+        depths = self.depths.get(name)
+        if not depths:
+            return 0
+        for heavier in self.barriers[_WEIGHT.get(name, 0) + 1 :]:
+            if heavier and heavier[-1] > depths[-1]:
                 return 0
-        return 0
+        return depths[-1]
 
     def _close(self, stack, children, quiet, depth) -> None:
         elements, texts = len(self.tag), len(self.texts)
         while len(stack) > depth:
             here = stack.pop()
             children.pop()
+            if here:
+                name = self.tag[here]
+                self.depths[name].pop()
+                if weight := _WEIGHT.get(name):
+                    self.barriers[weight].pop()
             self.end[here], self.last_text[here] = elements, texts
             if quiet and quiet[-1] == here:
                 quiet.pop()
@@ -180,9 +195,18 @@ class Document:
         pieces = [piece for piece in map(str.strip, pieces) if piece]
         return (" " if form == "spaced" else "").join(pieces)
 
-    def inside(self, key: str, scope: int) -> list[int]:
-        found = self.index[key]
-        return found[bisect_left(found, scope + 1) : bisect_left(found, self.end[scope])] if scope else found
+    def head(self, element: int, form: str, size: int = 64) -> str:
+        """How the element's text begins: all of it, or at least ``size`` characters."""
+        if form == "raw" or self.tag[element] in _QUIET:
+            return self.text(element, form)
+        if self.solid is None:
+            self.solid = [i for i, text in enumerate(self.texts) if not self.kind[i] and not text.isspace()]
+        pieces, length, at = [], 0, bisect_left(self.solid, self.first_text[element])
+        while at < len(self.solid) and self.solid[at] < self.last_text[element] and length < size:
+            pieces.append(self.texts[self.solid[at]].strip())
+            length += len(pieces[-1])
+            at += 1
+        return (" " if form == "spaced" else "").join(filter(None, pieces))
 
     def next_element(self, element: int, keys: tuple[str, ...]) -> int | None:
         """First element of the given tags that starts after ``element`` starts."""
@@ -274,38 +298,70 @@ class Selector:
     def keys(self) -> set[str]:
         return {key for key, _, _ in self.chains}
 
-    @staticmethod
-    def _fits(doc: Document, element: int, tests, above) -> bool:
+    def _fits(self, doc: Document, element: int, tests, above, number: int) -> bool:
         for test in tests:
             if not test(doc, element):
                 return False
-        at = doc.parent[element]
-        for tests in above:
-            while at > 0 and not all(test(doc, at) for test in tests):
-                at = doc.parent[at]
-            if at <= 0:
-                return False
+        return not above or self._below(doc, doc.parent[element], above, doc.seen.setdefault((id(self), -1 - number), {}))
+
+    @staticmethod
+    def _below(doc: Document, at: int, above, known: dict[int, bool]) -> bool:
+        """Whether ``at`` and the elements around it hold the compounds ``above``, nearest first.
+
+        The answer is noted for every element on the way, so a page's elements are climbed once.
+        """
+        level, way = 0, []
+        while at > 0 and level < len(above):
+            here = at * len(above) + level
+            if (answer := known.get(here)) is not None:
+                break
+            way.append(here)
+            if all(test(doc, at) for test in above[level]):
+                level += 1
             at = doc.parent[at]
-        return True
+        else:
+            answer = level == len(above)
+        known.update(dict.fromkeys(way, answer))
+        return answer
 
     def matches(self, doc: Document, element: int) -> bool:
-        return any(self._fits(doc, element, tests, above) for tests, above in self.whole)
+        return any(self._fits(doc, element, tests, above, number) for number, (tests, above) in enumerate(self.whole))
+
+    def _next(self, doc: Document, number: int, low: int, high: int) -> int | None:
+        """A chain's first match from ``low`` to ``high``.  Its candidates are tested in page order, each once."""
+        key, tests, above = self.chains[number]
+        state = doc.seen.get((id(self), number))
+        if state is None:
+            state = doc.seen[id(self), number] = [[], 0]
+        found, candidates = state[0], doc.index[key]
+        at = bisect_left(found, low)
+        if at < len(found):
+            return found[at] if found[at] < high else None
+        while state[1] < len(candidates) and (element := candidates[state[1]]) < high:
+            state[1] += 1
+            if self._fits(doc, element, tests, above, number):
+                found.append(element)
+                if element >= low:
+                    return element
+        return None
 
     def all(self, doc: Document, scope: int) -> list[int]:
-        found = set()
-        for key, tests, above in self.chains:
+        out = set()
+        high = doc.end[scope] if scope else len(doc.tag)
+        for number, (key, _, _) in enumerate(self.chains):
             if doc.index[key]:
-                found.update(e for e in doc.inside(key, scope) if self._fits(doc, e, tests, above))
-        return sorted(found)
+                low = scope + 1
+                while (element := self._next(doc, number, low, high)) is not None:
+                    out.add(element)
+                    low = element + 1
+        return sorted(out)
 
     def first(self, doc: Document, scope: int) -> int | None:
         best = None
-        for key, tests, above in self.chains:
+        high = doc.end[scope] if scope else len(doc.tag)
+        for number, (key, _, _) in enumerate(self.chains):
             if doc.index[key]:
-                for element in doc.inside(key, scope):
-                    if best is not None and element > best:
-                        break
-                    if self._fits(doc, element, tests, above):
-                        best = element
-                        break
+                element = self._next(doc, number, scope + 1, high if best is None else best)
+                if element is not None:
+                    best = element
         return best

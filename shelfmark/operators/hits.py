@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,6 +26,7 @@ HIT = T.StructType(
         T.StructField("ord", T.IntegerType()),
         T.StructField("text", T.StringType()),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("clean", T.StringType()),
     ]
 )
 NODE = T.StructType(
@@ -65,25 +67,51 @@ def hits_schema(rules: Sequence[Rule]) -> T.StructType:
     )
 
 
+# A pattern that can only match where the text begins, and has no alternatives.
+_ANCHORED = re.compile(r"(?:\(\?[a-z]+\))?\^[^|]*")
+
+
+class _Rule:
+    """One rule, ready to run on documents."""
+
+    def __init__(self, rule: Rule):
+        self.rank, self.form, self.clean = rule.rank, rule.form, rule.clean
+        self.attrs = [attr for attr in rule.attrs.split(",") if attr]
+        self.pattern = re.compile(rule.pattern) if rule.pattern else None
+        anchored = rule.pattern and _ANCHORED.fullmatch(rule.pattern)
+        self.beginning = regex.compile(rule.pattern) if anchored else None
+        self.selector = None if rule.mode == "nodes" else Selector(rule.selector)
+
+    def hit(self, doc: Document, element: int) -> dict | None:
+        """What the rule reports of an element; None if its text lacks the pattern."""
+        if self.beginning is not None and not self.beginning.match(doc.head(element, self.form), partial=True):
+            return None
+        text = None if self.form == "none" else doc.text(element, self.form)
+        if self.pattern is not None and not self.pattern.search(text or ""):
+            return None
+        have = doc.attrs[element]
+        attrs = {name: have[name] for name in self.attrs if name in have} if self.attrs else None
+        return {"rank": self.rank, "ord": element, "text": text, "attrs": attrs, "clean": self.clean}
+
+
 class _Field:
-    """One field's rules, ready to run on documents."""
+    """One field's rules, by rank."""
 
     def __init__(self, name: str, group: list[Rule], rules: Sequence[Rule]):
         self.name, self.mode = name, group[0].mode
-        self.form = group[0].form
-        self.attrs = [attr for attr in group[0].attrs.split(",") if attr]
-        self.pattern = re.compile(group[0].pattern) if group[0].pattern else None
+        if any(rule.mode != self.mode for rule in group):
+            raise ValueError(f"the rules of field {name!r} have different modes")
+        self.rules = [_Rule(rule) for rule in group]
         if self.mode == "nodes":
+            if len(group) > 1:
+                raise ValueError(f"field {name!r} finds text nodes and so has one rule")
             self.next_tags = tuple(tag for tag in re.split(r"[,\s]+", group[0].selector) if tag)
-            self.selectors = []
-        else:
-            self.selectors = [(rule.rank, Selector(rule.selector)) for rule in group]
         self.children = [_Field(child, rows, rules) for child, rows in _fields(rules, name).items()]
         # Without an element in any of these there is nothing to find; most fields are absent from a page.
-        self.needs = [] if self.mode in ("nodes", "first_or_page") else sorted(set().union(*(s.keys() for _, s in self.selectors)))
+        self.needs = [] if self.mode in ("nodes", "first_or_page") else sorted(set().union(*(r.selector.keys() for r in self.rules)))
 
     def keys(self) -> set[str]:
-        own = set(self.next_tags) if self.mode == "nodes" else set().union(*(s.keys() for _, s in self.selectors))
+        own = set(self.next_tags) if self.mode == "nodes" else set().union(*(r.selector.keys() for r in self.rules))
         return own.union(*(child.keys() for child in self.children))
 
     def run(self, doc: Document, scope: int) -> list[dict]:
@@ -95,40 +123,41 @@ class _Field:
                     break
             else:
                 return []
+        out = []
         if self.mode == "all":
-            found = {}
-            for rank, selector in self.selectors:
-                for element in selector.all(doc, scope):
-                    found.setdefault(element, rank)
-            elements = [(found[element], element) for element in sorted(found)]
+            found: dict[int, dict] = {}
+            for rule in self.rules:
+                for element in rule.selector.all(doc, scope):
+                    if element not in found and (hit := rule.hit(doc, element)):
+                        found[element] = hit
+            out = [found[element] for element in sorted(found)]
         else:
-            firsts = ((rank, selector.first(doc, scope)) for rank, selector in self.selectors)
-            elements = [(rank, element) for rank, element in firsts if element is not None]
-            if self.mode == "first_or_page":
-                elements = elements[:1] or [(None, scope)]
-        out = []
-        for rank, element in elements:
-            # A page standing in for a missing scope reports no text: it would be the whole page.
-            text = None if self.form == "none" or rank is None else doc.text(element, self.form)
-            if self.pattern is not None and not self.pattern.search(text):
-                continue
-            have = doc.attrs[element]
-            attrs = {name: have[name] for name in self.attrs if name in have} if self.attrs else None
-            hit = {"rank": rank, "ord": element, "text": text, "attrs": attrs}
+            for rule in self.rules:
+                element = rule.selector.first(doc, scope)
+                if element is not None and (hit := rule.hit(doc, element)):
+                    out.append(hit)
+                    if self.mode == "first_or_page":
+                        break
+            if self.mode == "first_or_page" and not out:
+                # The page stands in: it has no text of its own, and only text nodes are looked for in it.
+                page = {"rank": None, "ord": scope, "text": None, "attrs": None, "clean": None}
+                return [page | {c.name: c.run(doc, scope) if c.mode == "nodes" else [] for c in self.children}]
+        for hit in out:
             for child in self.children:
-                hit[child.name] = child.run(doc, element)
-            out.append(hit)
+                hit[child.name] = child.run(doc, hit["ord"])
         return out
 
     def _nodes(self, doc: Document, scope: int) -> list[dict]:
-        out = []
+        """Matching texts; of several in one element the first."""
+        out, rule, told = [], self.rules[0], set()
         for at in range(doc.first_text[scope], doc.last_text[scope]):
-            text = doc.texts[at]
-            if not self.pattern.search(text):
+            text, parent = doc.texts[at], doc.owner[at]
+            if parent in told or not rule.pattern.search(text):
                 continue
-            hit, parent = {"ord": at, "text": text}, doc.owner[at]
+            told.add(parent)
+            hit = {"ord": at, "text": text}
             after = doc.next_element(parent, self.next_tags)
-            for name in self.attrs:
+            for name in rule.attrs:
                 which, form = name.split("_")
                 element = parent if which == "parent" else after
                 hit[name] = None if element is None else doc.text(element, form)

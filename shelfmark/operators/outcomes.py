@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import outcomes as fn
 from shelfmark.operators.grouping import first_per
 from shelfmark.operators.hits import extract_hits
-from shelfmark.rules import GATE_RULES
+from shelfmark.rules import GATE_RULES, Rule
 from shelfmark.schemas import OUTCOME
 
 
-def is_gate(form_hits: Column, input_hits: Column, title_hits: Column) -> Column:
-    """A challenge page served in place of content, by form, input or title."""
-    title = F.coalesce(F.get(title_hits, F.lit(0))["text"], F.lit(""))
-    return (F.size(form_hits) > 0) | (F.size(input_hits) > 0) | title.rlike("(?i)robot check|captcha")
-
-
-def page_quality(pages: DataFrame, *, keep: tuple[str, ...] = ("url",)) -> DataFrame:
+def page_quality(pages: DataFrame, *, keep: tuple[str, ...] = ("url",), rules: Sequence[Rule] = GATE_RULES) -> DataFrame:
     """``keep`` columns plus the gate flag of each captured page."""
-    hits = extract_hits(pages, GATE_RULES, keep=keep)
-    return hits.select(*keep, is_gate(F.col("gate_form"), F.col("gate_input"), F.col("page_title")).alias("is_gate"))
+    hits = extract_hits(pages, rules, keep=keep)
+    return hits.select(*keep, fn.is_gate(F.col("gate_form"), F.col("gate_input"), F.col("page_title")).alias("is_gate"))
 
 
 def outcome_columns(table: DataFrame, stage: Column, given: Column) -> DataFrame:
@@ -40,10 +36,13 @@ def fetch_outcomes(fetch_log: DataFrame) -> DataFrame:
     return outcome_columns(failed, stage, F.col("error")).select(*OUTCOME.fieldNames())
 
 
-def choose_attempt(attempts: DataFrame, ok: Column, *, keys: tuple[str, ...] = ("url",)) -> DataFrame:
-    """One row per key: the first good attempt, or else the last one.  Adds ``ok``."""
+def choose_attempt(
+    attempts: DataFrame, ok: Column, *, keys: Sequence[str] = ("url",), first: Sequence[Column] = ()
+) -> DataFrame:
+    """One row per key: the first good attempt, or else the last one.  Adds ``ok``; ``first`` goes before the attempt."""
     order = [
         F.col("ok").desc(),
+        *first,
         F.when(F.col("ok"), F.col("attempt")).otherwise(-F.col("attempt")),
         F.col("captured_at").desc_nulls_last() if "captured_at" in attempts.columns else F.lit(0),
     ]

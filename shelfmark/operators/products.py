@@ -8,25 +8,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import prices, urls
+from shelfmark.functions.outcomes import is_gate
 from shelfmark.functions.text import extract, filled, first_of, first_text, lookup, ordered_distinct, strip
 from shelfmark.operators import deals, sellers
 from shelfmark.operators.hits import extract_hits
-from shelfmark.rules import DEAL_RULES, PRODUCT_RULES, RENDERED_RULES, SELLER_RULES, Rule
+from shelfmark.rules import CONTENT_RULES, DEAL_RULES, GATE_RULES, PRODUCT_RULES, RENDERED_RULES, SELLER_RULES, Rule
 from shelfmark.schemas import PRODUCT, SCHEMA_VERSION, UNFILLED
 
+DEFAULT = [*PRODUCT_RULES, *DEAL_RULES, *SELLER_RULES]
 MIN_IMAGE_SIZE = 200
 MIN_DYNAMIC_SIZE = 500
 MIN_BULLET_CHARS = 5
+# Size markers in image URLs, and all markers.
+_IMAGE_SIZE = r"_(?:SX|SY|SL|SS|US|SR)(\d+)_"
+_IMAGE_MARK = r"\._(AC|SX|SY|SL|SS|US|SR|FM|UX|V1|BG|PK)[^.]*?_\."
 
 
-def title(hits: Column) -> Column:
-    """First non-empty; the page-title fallback loses its ": shop name" tail."""
+# What the clean-ups cut off (the shop's name after a page title; the words around a brand).
+_SHOP_TAIL = r"(?idU)\s*:\s*Amazon\..*"
+_BYLINE_LEAD = r"(?iU)^(?:Visit\s+the\s+|Brand:\s*)"
+_BYLINE_TAIL = r"(?iU)\s+(?:Store|Brand|Shop)$"
+
+
+def cleaned_text(hit: Column) -> Column:
+    """A hit's text after the clean-up of its rule."""
+    text = hit["text"]
+    byline = F.regexp_replace(F.regexp_replace(text, _BYLINE_LEAD, ""), _BYLINE_TAIL, "")
+    return (
+        F.when(hit["clean"] == "shop_tail", F.regexp_replace(text, _SHOP_TAIL, ""))
+        .when(hit["clean"] == "byline", byline)
+        .otherwise(text)
+    )
 
-    def one(hit: Column) -> Column:
-        tail_off = F.regexp_replace(hit["text"], r"(?idU)\s*:\s*Amazon\..*", "")
-        return filled(F.when(hit["rank"] == 2, tail_off).otherwise(hit["text"]))
 
-    return strip(first_of(hits, one))
+def title(hits: Column) -> Column:
+    """First non-empty, cleaned as its rule says."""
+    return strip(first_of(hits, lambda hit: filled(cleaned_text(hit))))
 
 
 def static_price(price_hits: Column, generic_hits: Column) -> Column:
@@ -49,13 +66,13 @@ def review_count(hits: Column) -> Column:
 
 def is_large_image(url: Column) -> Column:
     """By the size marker in the URL; without a marker the image counts as large."""
-    size = extract(url, r"_(?:SX|SY|SL|SS|US|SR)(\d+)_", 1)
+    size = extract(url, _IMAGE_SIZE, 1)
     return size.isNull() | F.coalesce(size.try_cast("decimal(38,0)") >= MIN_IMAGE_SIZE, F.lit(True))
 
 
 def image_base(url: Column) -> Column:
     """URL without its size marker: equal for all sizes of one image."""
-    return F.regexp_replace(url, r"\._(AC|SX|SY|SL|SS|US|SR|FM|UX|V1|BG|PK)[^.]*?_\.", ".")
+    return F.regexp_replace(url, _IMAGE_MARK, ".")
 
 
 def images(image_hits: Column, set_hits: Column) -> Column:
@@ -109,18 +126,11 @@ def _table_value(rows: Column) -> Column:
     return F.transform(F.slice(named, 1, 1), lambda row: F.get(row["value"], F.lit(0))["text"])
 
 
-def byline_brand(hit: Column) -> Column:
-    """"Visit the Sony Store" and "Brand: Sony" to "Sony"; other elements as they are."""
-    lead_off = F.regexp_replace(hit["text"], r"(?iU)^(?:Visit\s+the\s+|Brand:\s*)", "")
-    tail_off = F.regexp_replace(lead_off, r"(?iU)\s+(?:Store|Brand|Shop)$", "")
-    return filled(F.when(hit["rank"] == 1, tail_off).otherwise(hit["text"]))
-
-
 def brand(detail_rows: Column, byline_hits: Column, overview_rows: Column) -> Column:
     """Details table, then byline, then overview table."""
     return F.coalesce(
         F.get(_table_value(detail_rows), F.lit(0)),
-        strip(first_of(byline_hits, byline_brand)),
+        strip(first_of(byline_hits, lambda hit: filled(cleaned_text(hit)))),
         F.get(_table_value(overview_rows), F.lit(0)),
     )
 
@@ -150,7 +160,7 @@ def product_hits(
     pages: DataFrame, *, keep: Sequence[str] = (), rules: Sequence[Rule] | None = None, html: str = "html"
 ) -> DataFrame:
     """One hits row per product page; the rendered page is read only when the static one has no price."""
-    rules = [*PRODUCT_RULES, *DEAL_RULES, *SELLER_RULES] if rules is None else rules
+    rules = DEFAULT if rules is None else rules
     rendered = "rendered_html" if "rendered_html" in pages.columns else None
     return extract_hits(
         pages,
@@ -165,7 +175,7 @@ def product_hits(
 
 def parse_products(hits: DataFrame, *, keep: Sequence[str] = (), rules: Sequence[Rule] | None = None) -> DataFrame:
     """Hits to the full product record plus typed siblings; one row in, one row out, no shuffle."""
-    rules = [*PRODUCT_RULES, *DEAL_RULES, *SELLER_RULES] if rules is None else rules
+    rules = DEFAULT if rules is None else rules
     col = F.col
     shown = rendered_price(col("rendered_price")) if "rendered_price" in hits.columns else F.lit(None).cast("string")
     fields = hits.select(
@@ -208,9 +218,26 @@ def parse_products(hits: DataFrame, *, keep: Sequence[str] = (), rules: Sequence
     )
 
 
-def extract_products(pages: DataFrame, *, keep: Sequence[str] = (), html: str = "html") -> DataFrame:
-    """PAGE to PRODUCT: one Python pass over each page, then column expressions."""
-    return parse_products(product_hits(pages, keep=keep, html=html), keep=keep)
+def extract_products(
+    pages: DataFrame, *, keep: Sequence[str] = (), rules: Sequence[Rule] | None = None, html: str = "html", gate: bool = False
+) -> DataFrame:
+    """PAGE to PRODUCT: one Python pass over each page, then column expressions.
+
+    ``rules`` replace the default product, deal and seller rules.  With ``gate``, a column
+    ``is_gate`` tells challenge pages served in place of a product; the same pass finds them.
+    """
+    rules = list(DEFAULT if rules is None else rules)
+    if not gate:
+        return parse_products(product_hits(pages, keep=keep, rules=rules, html=html), keep=keep, rules=rules)
+    hits = product_hits(pages, keep=keep, rules=[*rules, *GATE_RULES, *CONTENT_RULES], html=html)
+    hits = hits.withColumn("is_gate", served_gate(hits))
+    return parse_products(hits, keep=[*keep, "is_gate"], rules=rules)
+
+
+def served_gate(hits: DataFrame) -> Column:
+    """A challenge by its form, input or title, on a page without any product element."""
+    gate = is_gate(hits["gate_form"], hits["gate_input"], hits["page_title"])
+    return gate & (F.size(hits["content"]) == 0)
 
 
 def is_complete(products: DataFrame) -> Column:

@@ -19,8 +19,7 @@ LIMITS = {
     "wait": (0, 0, 30000),
 }
 DEFAULT_ZIP = "90035"
-MAX_RESULTS, MAX_PAGES = LIMITS["max_results"][2], LIMITS["max_pages"][2]
-RETRIES = LIMITS["retries"][0]
+RETRIES, MAX_RETRIES = LIMITS["retries"][0], LIMITS["retries"][2]
 NOTHING_TO_DO = "a request must give a search term or product URLs"
 
 
@@ -31,10 +30,12 @@ def limit(value: Column, name: str) -> Column:
 
 
 def _number(raw: DataFrame, name: str) -> Column:
-    kind = raw.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        return strip(F.col(name)).try_cast("bigint")
-    return F.col(name).try_cast("bigint")
+    """As a whole number; text of any number of digits counts, beyond 64 bits as the largest or least."""
+    if not isinstance(raw.schema[name].dataType, T.StringType):
+        return F.col(name).try_cast("bigint")
+    text = strip(F.col(name))
+    beyond = F.when(text.startswith("-"), -(2**62)).otherwise(2**62)
+    return F.coalesce(text.try_cast("bigint"), F.when(text.rlike(r"^[+-]?[0-9]{19,}\z"), beyond))
 
 
 def normalize_requests(raw: DataFrame) -> DataFrame:

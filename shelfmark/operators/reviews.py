@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from shelfmark.functions import urls
 from shelfmark.functions.text import extract, lookup
 from shelfmark.operators.grouping import first_per, top_per
 from shelfmark.operators.hits import extract_hits
-from shelfmark.rules import REVIEW_RULES
+from shelfmark.rules import REVIEW_RULES, Rule
 from shelfmark.schemas import PRODUCT, REVIEW, REVIEW_ITEM
 
 STALL_ROUNDS = 3
@@ -34,9 +36,9 @@ def review_date(text: Column) -> Column:
     return F.regexp_replace(text, r"(?idU)^.*?\b(?:on|am)\b\s*", "")
 
 
-def extract_reviews(pages: DataFrame) -> DataFrame:
+def extract_reviews(pages: DataFrame, *, rules: Sequence[Rule] = REVIEW_RULES) -> DataFrame:
     """Review PAGE (one row per url and load round) to REVIEW; no shuffle."""
-    hits = extract_hits(pages, REVIEW_RULES, keep=["url", "round"])
+    hits = extract_hits(pages, rules, keep=["url", "round"])
 
     def text_of(field: str) -> Column:
         return F.get(F.col("r")[field], F.lit(0))["text"]
@@ -79,20 +81,25 @@ def top_reviews(reviews: DataFrame, max_reviews: int) -> DataFrame:
 
 
 def attach_reviews(products: DataFrame, reviews: DataFrame, max_reviews: int) -> DataFrame:
-    """Products with their reviews as an array; a product without any keeps an empty one."""
+    """Products with their reviews as an array; a product without any keeps an empty one.
+
+    Review pages have URLs of their own, so products and reviews meet by item id; by URL where there is none, and
+    for products without an ``asin`` column.
+    """
     if max_reviews <= 0:
         return products
     item = F.struct("review_rank", *REVIEW_ITEM.fieldNames())
+    by_item = "asin" in products.columns
+    keyed = reviews.withColumn("url", F.coalesce("asin", "url")) if by_item else reviews
     lists = (
-        top_reviews(reviews, max_reviews)
-        .groupBy("url")
+        top_reviews(keyed, max_reviews)
+        .groupBy(F.col("url").alias("_key"))
         .agg(F.sort_array(F.collect_list(item)).alias("_items"))
         .select(
-            "url",
+            "_key",
             F.transform("_items", lambda i: F.struct(*(i[name].alias(name) for name in REVIEW_ITEM.fieldNames()))).alias("_items"),
         )
     )
     empty = F.array().cast(PRODUCT["reviews"].dataType)
-    return (
-        products.join(lists, "url", "left").withColumn("reviews", F.coalesce("_items", empty)).drop("_items")
-    )
+    keyed = products.withColumn("_key", F.coalesce("asin", "url") if by_item else F.col("url"))
+    return keyed.join(lists, "_key", "left").withColumn("reviews", F.coalesce("_items", empty)).drop("_items", "_key")

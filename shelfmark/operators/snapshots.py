@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.urls import url_key
 from shelfmark.operators.grouping import first_per
+from shelfmark.operators.membership import possible
 from shelfmark.schemas import SNAPSHOT_VERSION
 
 
@@ -39,14 +40,28 @@ def latest(snapshots: DataFrame) -> DataFrame:
     return first_per(snapshots, ["url_key"], [F.col("cached_at").desc_nulls_last(), tie])
 
 
+def newest_only(snapshots: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of captures that ``keys`` (url_key) ask for, about the newest ones, without moving any page text.
+
+    The newest write per key is found on narrow rows, reduced before they are shuffled; a Bloom filter of
+    those writes then picks the captures where they are read.  A few others pass, so
+    :func:`latest` must follow; the newest of a wanted key always passes.
+    """
+    tied = snapshots.withColumn("tie", F.xxhash64("html"))
+    # The largest time, then the least tie; a NULL time is the oldest.
+    last = F.max(F.struct(F.col("cached_at").alias("at"), F.bitwise_not("tie").alias("tie")))
+    chosen = tied.groupBy("url_key").agg(last.alias("last")).join(keys.distinct(), "url_key", "left_semi")
+    wanted = chosen.select(F.xxhash64("url_key", F.col("last.at"), F.bitwise_not(F.col("last.tie"))))
+    return possible(tied, F.xxhash64("url_key", "cached_at", "tie"), wanted).drop("tie")
+
+
 def lookup(seeds: DataFrame, snapshots: DataFrame, as_of: Column) -> DataFrame:
     """Every seed with ``status`` (``absent`` if never stored) and, for a hit, page and time.
 
-    Only captures of wanted keys take part: the semi join runs before the page text
-    is sorted for the newest version, and Spark filters its scan by those keys.
+    The newest captures of wanted keys are chosen on narrow rows; only their page texts are moved.
     """
     wanted = seeds.select(url_key(F.col("url")).alias("url_key")).distinct()
-    stored = with_status(latest(snapshots.join(wanted, "url_key", "left_semi")), as_of)
+    stored = with_status(latest(newest_only(snapshots, wanted)), as_of)
     hit = F.col("status") == "hit"
     found = stored.select(
         "url_key", "status", F.when(hit, F.col("html")).alias("html"), F.when(hit, F.col("cached_at")).alias("cached_at")
@@ -89,6 +104,9 @@ def stats(snapshots: DataFrame, as_of: Column, lookups: DataFrame | None = None)
         return stored.withColumns({"hits": F.lit(0), "misses": F.lit(0), "hit_rate": F.lit(0.0)})
     log = lookups.agg(
         F.count_if(F.col("status") == "hit").alias("hits"), F.count_if(F.col("status") != "hit").alias("misses")
-    ).withColumn("hit_rate", F.coalesce(F.try_divide("hits", F.col("hits") + F.col("misses")), F.lit(0.0)))
-    # Two single-row aggregates side by side.
-    return stored.join(log)
+    )
+    # Two single-row aggregates, put together by one more over both.
+    both = stored.unionByName(log, allowMissingColumns=True).agg(
+        *(F.max(name).alias(name) for name in ("total_entries", "total_bytes", "expired_entries", "hits", "misses"))
+    )
+    return both.withColumn("hit_rate", F.coalesce(F.try_divide("hits", F.col("hits") + F.col("misses")), F.lit(0.0)))

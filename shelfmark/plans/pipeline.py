@@ -1,33 +1,60 @@
-"""Whole runs: seeds and captured pages in, products and outcomes out."""
+"""Whole runs: seeds and captured pages in, products and outcomes out.
+
+No page text is ever shuffled: a Bloom filter of the wanted URLs drops other pages where they are
+read, the rest is parsed there, and only product rows are moved, reduced per URL and attempt
+before each shuffle.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.outcomes import INCOMPLETE, error_stage
+from shelfmark.functions.outcomes import BEYOND_RETRIES, GATE_SERVED, INCOMPLETE, NO_PAGE, error_stage
 from shelfmark.functions.urls import url_key
-from shelfmark.operators.links import pending
+from shelfmark.operators.grouping import first_per
+from shelfmark.operators.membership import possible
 from shelfmark.operators.outcomes import choose_attempt, outcome_columns
 from shelfmark.operators.products import extract_products, is_complete
-from shelfmark.operators.requests import RETRIES, url_seeds
+from shelfmark.operators.requests import MAX_RETRIES, RETRIES, url_seeds
 from shelfmark.operators.reviews import attach_reviews
 from shelfmark.operators.search import walk_search
-from shelfmark.operators.snapshots import latest, with_status
+from shelfmark.operators.snapshots import newest_only, with_status
+from shelfmark.rules import SEARCH_RULES, Rule
 from shelfmark.schemas import OUTCOME, PRODUCT
 
 
 @dataclass(frozen=True)
 class Run:
-    """What a run yields: one row per URL in exactly one of the two tables."""
+    """What a run yields: every pending seed in exactly one of the two tables.
+
+    Both come from ``rows`` (one row a seed, ``ok`` tells which).  Taking both from a lazy run parses
+    the pages twice; :func:`write_run` writes the rows once and gives the two tables from there.
+    """
 
     products: DataFrame
     outcomes: DataFrame
+    rows: DataFrame
+
+
+def _tables(rows: DataFrame, extra: Sequence[str]) -> Run:
+    made = [*OUTCOME.fieldNames(), "ok"]
+    siblings = [name for name in rows.columns if name not in {*PRODUCT.fieldNames(), *made, *extra}]
+    products = rows.where("ok").select(*extra, *PRODUCT.fieldNames(), *siblings)
+    return Run(products, rows.where("NOT ok").select(*extra, *OUTCOME.fieldNames()), rows)
+
 
+def write_run(run: Run, path: str) -> Run:
+    """Write a run's rows, partitioned by ``ok``, and return it as read from there."""
+    extra = [name for name in run.outcomes.columns if name not in OUTCOME.fieldNames()]
+    run.rows.write.partitionBy("ok").parquet(path)
+    return _tables(run.rows.sparkSession.read.schema(run.rows.schema).parquet(path), extra)
 
-_ATTEMPT = ["url", "attempt", "html", "rendered_html", "captured_at", "error", "error_type", "captcha_seen", "from_cache"]
+
+_ATTEMPT = ["url", "attempt", "html", "rendered_html", "captured_at", "error", "error_type", "captcha_seen", "cached", "status"]
 
 
 def _as_attempts(table: DataFrame, defaults: dict[str, Column]) -> DataFrame:
@@ -39,37 +66,105 @@ def _as_attempts(table: DataFrame, defaults: dict[str, Column]) -> DataFrame:
         )
     ).select(
         "url",
-        F.col("attempt").cast("int"),
+        F.greatest(F.col("attempt").cast("int"), F.lit(0)).alias("attempt"),
         *(F.col(name).cast("string") for name in ("html", "rendered_html")),
         F.col("captured_at").cast("timestamp"),
         *(F.col(name).cast("string") for name in ("error", "error_type")),
-        *(F.coalesce(F.col(name).cast("boolean"), F.lit(False)).alias(name) for name in ("captcha_seen", "from_cache")),
+        *(F.coalesce(F.col(name).cast("boolean"), F.lit(False)).alias(name) for name in ("captcha_seen", "cached")),
+        F.coalesce(F.col("status").cast("string"), F.lit("hit")).alias("status"),
+        F.xxhash64("html", "error", "error_type").alias("tie"),
     )
 
 
 def attempts_for(
+    seeds: DataFrame, pages: DataFrame, snapshots: DataFrame | None, *, as_of: Column, retries: int = RETRIES
+) -> DataFrame:
+    """Every page that may answer a seed: the newest snapshot as attempt 0, then the fetches.
+
+    A fetch without a number, or with one below 1, is the first.  Fetches beyond ``retries`` stay as one row
+    number ``retries + 1`` without their page, to tell why a URL has no product.  Nothing is shuffled here; some
+    rows of other URLs and some older snapshots are among the result.
+    """
+    wanted = seeds.select("url").distinct()
+    fetched = pages.withColumn("attempt", F.greatest(F.coalesce("attempt", F.lit(1)), F.lit(1)) if "attempt" in pages.columns else F.lit(1))
+    near = F.col("attempt") <= retries
+    texts = [name for name in ("html", "rendered_html") if name in fetched.columns]
+    fetched = fetched.withColumns({name: F.when(near, F.col(name)) for name in texts} | {"attempt": F.least(F.col("attempt"), F.lit(retries + 1))})
+    found = _as_attempts(possible(fetched, F.col("url"), wanted), {})
+    if snapshots is None:
+        return found
+    keys = wanted.select(url_key(F.col("url")).alias("url_key"))
+    stored = with_status(newest_only(snapshots, keys), as_of).withColumnRenamed("cached_at", "captured_at")
+    cached = _as_attempts(stored.withColumn("attempt", F.lit(0)), {"cached": F.lit(True)})
+    return cached.unionByName(found)
+
+
+def _best(parsed: DataFrame) -> DataFrame:
+    """One row for each URL and attempt: the newest snapshot if it is valid; of fetches a good one, the newest."""
+    good = F.when(F.col("attempt") > 0, F.col("ok").cast("int")).otherwise(0)
+    order = [good.desc(), F.col("captured_at").desc_nulls_last(), F.col("tie")]
+    return first_per(parsed, ["url", "attempt"], order).where("status = 'hit'")
+
+
+def run_seeds(
     seeds: DataFrame,
     pages: DataFrame,
-    snapshots: DataFrame | None,
     *,
+    snapshots: DataFrame | None = None,
     as_of: Column,
     retries: int = RETRIES,
+    rules: Sequence[Rule] | None = None,
 ) -> DataFrame:
-    """Every page that may answer a seed: a valid snapshot as attempt 0, then the fetches in order.
+    """One row for every seed: product columns, outcome columns, and ``ok``.
 
-    The semi joins move only captures of wanted URLs, and they run before parsing.
+    ``seeds`` has ``url``, ``retries`` (at most the argument) and any columns that tell seeds of one URL
+    apart; equal seeds count once.
     """
-    wanted = seeds.select("url").distinct()
-    fetched = _as_attempts(pages, {"attempt": F.lit(1)}).where(F.col("attempt").between(1, retries))
-    found = fetched.join(wanted, "url", "left_semi")
-    if snapshots is None:
-        return found
-    keys = wanted.select(url_key(F.col("url")).alias("url_key"))
-    stored = with_status(latest(snapshots.join(keys, "url_key", "left_semi")), as_of).where("status = 'hit'")
-    cached = _as_attempts(
-        stored.withColumnRenamed("cached_at", "captured_at"), {"attempt": F.lit(0), "from_cache": F.lit(True)}
+    seeds = seeds.distinct()
+    own = [name for name in seeds.columns if name not in ("url", "retries")]
+    attempts = attempts_for(seeds, pages, snapshots, as_of=as_of, retries=retries)
+    kept = ["attempt", "captured_at", "error", "error_type", "captcha_seen", "cached", "status", "tie"]
+    parsed = extract_products(attempts, keep=kept, rules=rules, gate=True)
+    best = _best(parsed.withColumn("ok", is_complete(parsed) & F.col("error").isNull()))
+    asked = seeds.select(*(F.col(name).alias(f"_{name}") for name in seeds.columns))
+    found = asked.join(best, F.col("_url") == F.col("url"), "left")
+    # A fetch beyond a seed's own retries counts only as a sign that there was one.
+    beyond = F.col("attempt") > F.col("_retries")
+    rank = F.when(F.col("attempt").isNull(), 2).when(beyond, 1).otherwise(0)
+    found = found.withColumns({"_why": rank, "ok": F.coalesce(F.col("ok"), F.lit(False)) & (rank == 0)})
+    found = found.withColumn("attempt", F.when(rank == 0, F.col("attempt")))
+    chosen = choose_attempt(found, F.col("ok"), keys=tuple(f"_{name}" for name in seeds.columns), first=[F.col("_why")])
+
+    failed = F.col("error").isNotNull() | F.col("error_type").isNotNull()
+    gate = F.coalesce(F.col("is_gate"), F.lit(False))
+    stage = (
+        F.when(F.col("_why") > 0, "navigation")
+        .when(failed, error_stage(F.col("error"), F.col("error_type"), F.col("captcha_seen")))
+        .when(gate, "captcha")
+        .otherwise("parse")
     )
-    return cached.unionByName(found)
+    reason = (
+        F.when(F.col("_why") == 2, NO_PAGE)
+        .when(F.col("_why") == 1, BEYOND_RETRIES)
+        .when(failed, F.col("error"))
+        .when(gate, GATE_SERVED)
+        .otherwise(INCOMPLETE)
+    )
+    scraped = F.when(F.col("cached"), F.col("captured_at")).otherwise(as_of.cast("timestamp"))
+    rows = chosen.withColumns({"url": F.col("_url"), "from_cache": F.col("cached"), "scraped_at": F.when(F.col("ok"), scraped)})
+    rows = outcome_columns(rows, F.when(~F.col("ok"), stage), F.when(~F.col("ok"), reason))
+    rows = rows.withColumn("message", F.when(~F.col("ok"), F.col("message")))
+    siblings = [name for name in parsed.columns if name not in {*PRODUCT.fieldNames(), *kept, "is_gate", "ok"}]
+    told = [name for name in OUTCOME.fieldNames() if name != "url"]
+    return rows.select(*(F.col(f"_{name}").alias(name) for name in own), *PRODUCT.fieldNames(), *siblings, *told, "ok")
+
+
+def _pending(seeds: DataFrame, processed: DataFrame | None) -> DataFrame:
+    """Seeds whose URL was not processed, or that ask for a fresh run."""
+    if processed is not None:
+        done = processed.select(F.col("url").alias("_done")).distinct()
+        seeds = seeds.join(done, seeds["url"] == done["_done"], "left").where(F.col("_done").isNull() | F.col("fresh_run"))
+    return seeds.drop("_done", "fresh_run")
 
 
 def build_products(
@@ -83,40 +178,62 @@ def build_products(
     retries: int = RETRIES,
     max_reviews: int = 0,
     fresh_run: bool = False,
+    rules: Sequence[Rule] | None = None,
 ) -> Run:
     """URL to product for every pending seed.
 
     A valid snapshot is used if its product is complete, else the first complete
-    fetch within ``retries``.  A URL without any gets one outcome: its last error.
-    Pages are parsed once, in one pass; only product rows are shuffled to choose.
+    fetch within ``retries``.  Every other URL gets one outcome: its last error, a challenge
+    page, an incomplete page, or that there is no captured page.
     """
-    todo = pending(seeds, processed, fresh_run=fresh_run)
-    attempts = attempts_for(todo, pages, snapshots, as_of=as_of, retries=retries)
-    kept = ["attempt", "captured_at", "error", "error_type", "captcha_seen", "cached"]
-    parsed = extract_products(attempts.withColumnRenamed("from_cache", "cached"), keep=kept)
-    chosen = choose_attempt(parsed, is_complete(parsed) & F.col("error").isNull())
-
-    good = chosen.where("ok").withColumns(
-        {
-            "from_cache": F.col("cached"),
-            "scraped_at": F.when(F.col("cached"), F.col("captured_at")).otherwise(as_of.cast("timestamp")),
-        }
-    )
-    siblings = [name for name in parsed.columns if name not in PRODUCT.fieldNames() and name not in kept]
-    products = good.select(*PRODUCT.fieldNames(), *siblings)
+    todo = seeds.select("url", F.lit(retries).alias("retries"), F.lit(fresh_run).alias("fresh_run"))
+    rows = run_seeds(_pending(todo, processed), pages, snapshots=snapshots, as_of=as_of, retries=retries, rules=rules)
     if reviews is not None:
-        products = attach_reviews(products, reviews, max_reviews)
+        rows = attach_reviews(rows, reviews, max_reviews)
+    return _tables(rows, [])
 
-    failed = F.col("error").isNotNull() | F.col("error_type").isNotNull()
-    stage = F.when(failed, error_stage(F.col("error"), F.col("error_type"), F.col("captcha_seen"))).otherwise("parse")
-    reason = F.when(failed, F.col("error")).otherwise(F.lit(INCOMPLETE))
-    outcomes = outcome_columns(chosen.where("NOT ok"), stage, reason).select(*OUTCOME.fieldNames())
-    return Run(products, outcomes)
+
+def run_requests(
+    requests: DataFrame,
+    pages: DataFrame,
+    *,
+    search_pages: DataFrame | None = None,
+    snapshots: DataFrame | None = None,
+    reviews: DataFrame | None = None,
+    processed: DataFrame | None = None,
+    as_of: Column,
+    rules: Sequence[Rule] | None = None,
+    search_rules: Sequence[Rule] = SEARCH_RULES,
+) -> Run:
+    """Normalised requests to products and outcomes, each with its ``request_id``.
+
+    A URL-mode request stands for its listed URLs, a search-mode request for what a walk over its
+    query's result pages finds (``query``, ``domain`` and ``result_rank`` tell where).  Every request keeps its own
+    ``retries``, ``max_results``, ``max_pages``, ``max_reviews`` and ``fresh_run``; two requests for one query or
+    URL get their own rows.  A rejected request gets one outcome without a URL.
+    """
+    own = ["request_id", "retries", "max_reviews", "fresh_run"]
+    none = {"query": F.lit(None).cast("string"), "domain": F.lit(None).cast("string"), "result_rank": F.lit(None).cast("int")}
+    seeds = url_seeds(requests).select(*own, "url").withColumns(none)
+    if search_pages is not None:
+        asked = requests.where("mode = 'search' AND reject IS NULL").withColumnRenamed("search_term", "query")
+        walked = walk_search(search_pages, limits=asked.select("request_id", "query", "domain", "max_results", "max_pages"), rules=search_rules)
+        found = walked.where("request_id IS NOT NULL").select("request_id", "query", "domain", "result_rank", "url")
+        seeds = seeds.unionByName(found.join(asked.select(*own), "request_id").select(*own, "url", *none))
+    todo = _pending(seeds, processed)
+    rows = run_seeds(todo, pages, snapshots=snapshots, as_of=as_of, retries=MAX_RETRIES, rules=rules)
+    if reviews is not None:
+        most = requests.agg(F.max("max_reviews")).first()[0] or 0
+        rows = attach_reviews(rows, reviews, most).withColumn("reviews", F.slice("reviews", 1, F.col("max_reviews")))
+    extra = ["request_id", *none]
+    rejected = requests.where("reject IS NOT NULL").select("request_id", F.lit("scrape").alias("stage"), F.col("reject").alias("reason"), F.lit(False).alias("ok"))
+    rows = rows.drop("max_reviews").unionByName(rejected, allowMissingColumns=True)
+    return _tables(rows, extra)
 
 
 def products_for_requests(requests: DataFrame, pages: DataFrame, **options) -> Run:
-    """URL-mode requests: every listed URL, cleaned, once."""
-    return build_products(url_seeds(requests).select("url").distinct(), pages, **options)
+    """The URL-mode requests alone."""
+    return run_requests(requests.where("mode = 'urls' AND reject IS NULL"), pages, **options)
 
 
 def products_for_searches(
@@ -126,6 +243,7 @@ def products_for_searches(
     max_results: int = 5,
     max_pages: int = 3,
     limits: DataFrame | None = None,
+    search_rules: Sequence[Rule] = SEARCH_RULES,
     **options,
 ) -> Run:
     """Search mode: walk each query's result pages, then the product of every result.
@@ -133,8 +251,7 @@ def products_for_searches(
     Products carry ``query``, ``domain`` and ``result_rank``; a result that fails is
     an outcome and never stops the others.
     """
-    results = walk_search(search_pages, max_results=max_results, max_pages=max_pages, limits=limits).select(
-        "query", "domain", "result_rank", "url"
-    )
+    walked = walk_search(search_pages, max_results=max_results, max_pages=max_pages, limits=limits, rules=search_rules)
+    results = walked.select("query", "domain", "result_rank", "url")
     run = build_products(results.select("url").distinct(), pages, **options)
-    return Run(results.join(run.products, "url"), run.outcomes)
+    return Run(results.join(run.products, "url"), run.outcomes, run.rows)

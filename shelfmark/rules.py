@@ -8,13 +8,19 @@ replace them, or load them from a table with :func:`rules_from_table`.
 ``rank``     priority inside a field; the lowest rank that finds something wins.
 ``mode``     ``first``  the first element of each selector, in rank order
              ``all``    every element any of the field's selectors finds, in page order
-             ``first_or_page``  only for scopes: the first ranked match, else the page
+             ``first_or_page``  only for scopes: the first ranked match, else the page, in which
+                        only ``nodes`` rules look
              ``nodes``  text nodes matching ``pattern``; ``selector`` then names the
                         tags of the following element to report
 ``form``     ``tight`` / ``spaced`` / ``raw`` text, or ``none``
+``clean``    what is cut off the text before it counts: ``shop_tail`` (": Shop name" at its end),
+             ``byline`` ("Visit the ... Store", "Brand: ..."), or nothing
 ``attrs``    attributes to report, separated by commas; for ``nodes`` which texts around the
              node: ``parent_tight``, ``parent_spaced``, ``next_tight``, ``next_spaced``
 ``pattern``  regular expression the text must contain, else there is no hit
+
+All rules of a field have one mode, which decides the field's shape; the other columns count
+rule by rule.
 """
 
 from __future__ import annotations
@@ -36,6 +42,7 @@ RULE_SCHEMA = T.StructType(
         T.StructField("form", T.StringType(), False),
         T.StructField("attrs", T.StringType(), False),
         T.StructField("pattern", T.StringType(), True),
+        T.StructField("clean", T.StringType(), True),
     ]
 )
 
@@ -54,12 +61,18 @@ class Rule:
     form: str = "tight"
     attrs: str = ""
     pattern: str | None = None
+    clean: str | None = None
 
 
 def ranked(page_kind: str, field: str, selectors: list[str], scope: str = "", **options) -> list[Rule]:
     return [Rule(page_kind, scope, field, rank, css, **options) for rank, css in enumerate(selectors, 1)]
 
 
+def cleaned(rules: list[Rule], clean: dict[int, str]) -> list[Rule]:
+    """The rules, those of some ranks with a clean-up."""
+    return [replace(rule, clean=clean.get(rule.rank)) for rule in rules]
+
+
 # A character class of the currency symbols prices are shown with.
 CURRENCY = "[$£€¥₹]"
 
@@ -165,7 +178,7 @@ CARD_REVIEW_COUNT = [
 ]
 
 PRODUCT_RULES: list[Rule] = [
-    *ranked("product", "title", TITLE),
+    *cleaned(ranked("product", "title", TITLE), {2: "shop_tail"}),
     *ranked("product", "price", PRICE, pattern=CURRENCY),
     *ranked("product", "generic_price", [ANY_PRICE], mode="all", form="none"),
     *ranked("product", "shown", [".a-offscreen"], scope="generic_price"),
@@ -180,7 +193,7 @@ PRODUCT_RULES: list[Rule] = [
     *ranked("product", "detail_row", DETAIL_ROW, mode="all", form="none"),
     *ranked("product", "head", ["th, .a-span3"], scope="detail_row"),
     *ranked("product", "value", ["td, .a-span9"], scope="detail_row"),
-    *ranked("product", "brand", BRAND),
+    *cleaned(ranked("product", "brand", BRAND), {1: "byline"}),
     *ranked("product", "overview_row", ["#productOverview_feature_div tr, .po-brand"], mode="all", form="none"),
     *ranked("product", "head", ["td:first-child, .a-span3"], scope="overview_row"),
     *ranked("product", "value", ["td:nth-child(2), .a-span9"], scope="overview_row"),
@@ -219,6 +232,8 @@ GATE_RULES: list[Rule] = [
     *ranked("product", "gate_input", ["input[name='captcha']"], form="none"),
     *ranked("product", "page_title", ["title"]),
 ]
+# Elements that only a product page has.
+CONTENT_RULES: list[Rule] = ranked("product", "content", ["#productTitle, #dp, #centerCol"], form="none")
 RENDERED_RULES: list[Rule] = ranked("rendered", "rendered_price", PRICE, pattern=CURRENCY)
 SEARCH_RULES: list[Rule] = [
     *ranked("search", "card", CARD, mode="all", form="none"),
@@ -254,7 +269,8 @@ def rules_from_table(table: DataFrame, page_kind: str | None = None) -> list[Rul
     """Read a rule table; refuses one that is too large to be configuration."""
     if page_kind is not None:
         table = table.where(F.col("page_kind") == page_kind)
-    rows = table.select(*RULE_SCHEMA.fieldNames()).limit(MAX_RULES + 1).collect()
+    have = [F.col(n) if n in table.columns else F.lit(None).cast("string").alias(n) for n in RULE_SCHEMA.fieldNames()]
+    rows = table.select(*have).limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"a rule table may hold at most {MAX_RULES} rows")
     return sorted((Rule(**row.asDict()) for row in rows), key=lambda r: (r.page_kind, r.scope, r.field, r.rank))

@@ -15,10 +15,15 @@ _META = "struct<url:string,cached_at:double,ttl_seconds:int,version:string>"
 _META_KEYS = ["url", "cached_at", "ttl_seconds", "version"]
 
 
-def read_pages(spark: SparkSession, path: str, page_kind: str | None = None) -> DataFrame:
-    """PAGE table.  A page kind is a filter Spark pushes into the scan (or prunes to a partition)."""
+def read_pages(spark: SparkSession, path: str, page_kind: str | None = None, *, partitions: int | None = None) -> DataFrame:
+    """PAGE table.  A page kind is a filter Spark pushes into the scan (or prunes to a partition).
+
+    Parsing costs far more than reading.  Where few large files would give too few tasks, lower
+    ``spark.sql.files.maxPartitionBytes``, or ask for ``partitions``, which deals the rows out by a shuffle.
+    """
     pages = spark.read.schema(PAGE).parquet(path)
-    return pages if page_kind is None else pages.where(F.col("page_kind") == page_kind)
+    pages = pages if page_kind is None else pages.where(F.col("page_kind") == page_kind)
+    return pages if partitions is None else pages.repartition(partitions)
 
 
 def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -38,16 +43,6 @@ def read_page_files(spark: SparkSession, path: str, page_kind: str = "product")
     )
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """A table that was read into fewer partitions than there are cores, dealt out evenly.
-
-    Parsing costs far more than reading, and one small file is one task.  Large
-    inputs already have more partitions than cores and pass through without a shuffle.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
-
-
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT).parquet(path)
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.urls import url_key
-from shelfmark.sources.pages import spread
 
 SHOP = "https://www.amazon.com"
 
@@ -22,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def page_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose rows become pages: dealt out before it is rendered, while rows are small."""
-    return spread(table(spark, sf_dir, name))
+    return table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism)
 
 
 def join(*parts: Column | str) -> Column:
