@@ -217,7 +217,9 @@ def run_requests(
     seeds = url_seeds(requests).select(*own, "url").withColumns(none)
     if search_pages is not None:
         asked = requests.where("mode = 'search' AND reject IS NULL").withColumnRenamed("search_term", "query")
-        walked = walk_search(search_pages, limits=asked.select("request_id", "query", "domain", "max_results", "max_pages"), rules=search_rules)
+        # A captured result page names its host, with or without "www.".
+        hosts = F.explode(F.array("domain", F.concat(F.lit("www."), "domain"))).alias("domain")
+        walked = walk_search(search_pages, limits=asked.select("request_id", "query", hosts, "max_results", "max_pages"), rules=search_rules)
         found = walked.where("request_id IS NOT NULL").select("request_id", "query", "domain", "result_rank", "url")
         seeds = seeds.unionByName(found.join(asked.select(*own), "request_id").select(*own, "url", *none))
     todo = _pending(seeds, processed)

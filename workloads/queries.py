@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import outcomes, prices, urls
@@ -13,6 +13,7 @@ from shelfmark.operators import outcomes as outcome_jobs
 from shelfmark.operators.hits import extract_hits
 from shelfmark.plans import pipeline
 from shelfmark.rules import DEAL_RULES, GATE_RULES, PRODUCT_RULES, SELLER_RULES, Rule, rules_from_table, rules_table
+from shelfmark.schemas import PRODUCT, UNFILLED
 from shelfmark.session import work_folder
 from shelfmark.sources import pages as page_sources
 from shelfmark.sources import sinks
@@ -357,7 +358,9 @@ def product_extract(spark, sf_dir):
 @query(
     "product_images",
     """
-    SELECT p_partkey AS key, 4 AS n_images, b || '._AC_SL1000_.jpg|' || b || 'd.jpg|' || b || 'c._AC_SL1500_.jpg|' || b || 'b._AC_SX600_.jpg' AS images
+    SELECT p_partkey AS key, CASE p_partkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 0 END AS n_images,
+           CASE p_partkey % 3 WHEN 0 THEN b || '._AC_SL1000_.jpg|' || b || 'd.jpg|' || b || 'c._AC_SL1500_.jpg|' || b || 'b._AC_SX600_.jpg'
+             WHEN 1 THEN b || 'e._SL500_.jpg|' || b || 'f.jpg' ELSE '' END AS images
     FROM (SELECT p_partkey, 'https://img.example/I/' || p_partkey AS b FROM part)""",
 )
 def product_images(spark, sf_dir):
@@ -367,7 +370,8 @@ def product_images(spark, sf_dir):
 
 @query(
     "product_bullets",
-    "SELECT p_partkey AS key, 'Kind: ' || p_type || '|Size ' || p_size || ' mm' AS bullets FROM part",
+    """SELECT p_partkey AS key, CASE p_partkey % 3 WHEN 0 THEN 'Kind: ' || p_type || '|Size ' || p_size || ' mm'
+       WHEN 1 THEN 'Weight ' || p_size || ' g' ELSE '' END AS bullets FROM part""",
 )
 def product_bullets(spark, sf_dir):
     return part_products(spark, sf_dir).select("key", F.array_join("bullets", "|").alias("bullets"))
@@ -613,7 +617,7 @@ def review_stall(spark, sf_dir):
     f"""
     WITH {_REVIEWS_SQL}, top AS (SELECT url, count(*) AS n, min_by(body, review_rank) AS first FROM numbered WHERE round <= 2 GROUP BY url)
     SELECT p_partkey AS key, coalesce(n, 0)::INT AS n_reviews, first AS first_review
-    FROM part LEFT JOIN top ON top.url = {_URL_SQL}""",
+    FROM part LEFT JOIN top ON top.url = '{SHOP}/dp/' || {_ID_SQL}""",
 )
 def product_reviews(spark, sf_dir):
     rows = reviews.extract_reviews(render.review_pages(page_table(spark, sf_dir, "conversations")))
@@ -751,15 +755,15 @@ def fetch_outcomes(spark, sf_dir):
 @query(
     "attempt_choice",
     """
-    WITH g AS (SELECT user_id, min(event_id) FILTER (event_type = 'view') AS good, max(event_id) AS last FROM events
-               WHERE event_type <> 'view' OR value > 60 GROUP BY user_id)
+    WITH g AS (SELECT user_id, min(event_id) FILTER (event_type = 'view' AND value > 60) AS good, max(event_id) AS last FROM events
+               GROUP BY user_id)
     SELECT user_id, coalesce(good, last) AS event_id, good IS NOT NULL AS ok FROM g""",
 )
 def attempt_choice(spark, sf_dir):
-    """Per user the first good fetch, else the last failed one."""
-    events = table(spark, sf_dir, "events").where("event_type <> 'view' OR value > 60")
-    log = fetch_log(events).join(events.select("event_id", "user_id"), "event_id")
-    chosen = outcome_jobs.choose_attempt(log, F.col("html").isNotNull())
+    """Per user the first good fetch (with a page, and a value that says it is whole), else the last one."""
+    events = table(spark, sf_dir, "events")
+    log = fetch_log(events).join(events.select("event_id", "user_id", "value"), "event_id")
+    chosen = outcome_jobs.choose_attempt(log, F.col("html").isNotNull() & (F.col("value") > 60))
     return chosen.select("user_id", "event_id", "ok")
 
 
@@ -947,7 +951,236 @@ def stream_products(spark, sf_dir):
         pages.write.mode("append").parquet(f"{folder}/pages")
     stream = read_page_stream(spark, f"{folder}/pages", schema=pages.schema)
     started = start_products(
-        product_stream(stream), path=f"{folder}/products", checkpoint=f"{folder}/checkpoint", processed_path=f"{folder}/processed"
+        product_stream(stream, once=True), path=f"{folder}/products", checkpoint=f"{folder}/checkpoint", processed_path=f"{folder}/processed"
     )
     started.awaitTermination()
     return spark.read.parquet(f"{folder}/products").select("url", "title", "price", "asin")
+
+
+# ------------------------------------------------- whole records and other sources
+
+
+@query(
+    "product_record",
+    f"""
+    WITH s AS ({_SALE_SQL}),
+    d AS (SELECT s.*, s_name, l_linenumber % 7 AS kind,
+                 CASE WHEN l_returnflag = 'R' THEN 'Lightning Deal' WHEN l_returnflag = 'A' THEN '10% Off today'
+                      WHEN l_linestatus = 'O' THEN 'Coupon' END AS deal_type,
+                 l_linenumber % 7 % 5 <> 4 AND before_c > now_c AS saves FROM s JOIN supplier ON s_suppkey = l_suppkey)
+    SELECT {_OFFER_SQL} AS url, 'Offer ' || l_partkey AS title, {_sql_us("now_c")} AS price, '4.5 out of 5' AS rating, 'In Stock' AS availability,
+           'B' || lpad(l_partkey::VARCHAR, 9, '0') AS asin, CASE WHEN l_linenumber % 7 % 5 <> 4 THEN {_sql_us("before_c")} END AS original_price,
+           CASE WHEN saves THEN ((before_c - now_c) * 100 // before_c) || '%' END AS discount_percentage, deal_type,
+           saves OR deal_type IS NOT NULL AS is_on_sale,
+           CASE WHEN saves THEN '$' || ((before_c - now_c) // 100) || '.' || lpad(((before_c - now_c) % 100)::VARCHAR, 2, '0') END AS savings_amount,
+           s_name AS seller_name, l_returnflag = 'A' OR kind = 2 AS fulfilled_by_amazon,
+           ((l_quantity::INT % 5) || '.' || (l_linenumber % 10)) AS seller_rating, (l_partkey + 1000)::VARCHAR AS seller_rating_count,
+           CASE WHEN l_linestatus = 'O' THEN 'Nation' || l_suppkey END AS ships_from, kind IN (0, 2, 3) AS buybox_owner,
+           '1.0' AS schema_version, false AS from_cache, 35 AS n_fields, 8 AS n_unfilled FROM d""",
+)
+def product_record(spark, sf_dir):
+    """The whole record of a page that shows a product, a deal and a seller.
+
+    The price block ranks before the centre column as a buy box, so a seller named only there (kind 4) owns none,
+    and a note elsewhere on the page (kind 6) says nothing about fulfilment."""
+    out = products.extract_products(render.offer_pages(page_table(spark, sf_dir, "lineitem")))
+    unfilled = sum((F.col(name).isNull().cast("int") for name in UNFILLED), F.lit(0))
+    return out.select(
+        "url", "title", "price", "rating", "availability", "asin", "original_price", "discount_percentage", "deal_type", "is_on_sale", "savings_amount",
+        "seller_name", "fulfilled_by_amazon", "seller_rating", "seller_rating_count", "ships_from", "buybox_owner", "schema_version", "from_cache",
+        F.lit(len(PRODUCT)).alias("n_fields"), unfilled.alias("n_unfilled"),
+    )
+
+
+@query(
+    "rules_reordered",
+    """SELECT p_partkey AS key, CASE p_partkey % 2 WHEN 0 THEN 'x' ELSE p_name || ' ' || p_brand END AS title, p_brand AS brand FROM part""",
+)
+def rules_reordered(spark, sf_dir):
+    """A rule table with the page title before the heading: clean-ups stay with their rules."""
+    rows = rules_table(spark, products.DEFAULT)
+    titles = F.col("field") == "title"
+    rules = rules_from_table(rows.withColumn("rank", F.when(titles, 10 - F.col("rank")).otherwise(F.col("rank"))))
+    out = products.extract_products(render.product_pages(page_table(spark, sf_dir, "part")), keep=["key"], rules=rules)
+    return out.select("key", "title", "brand")
+
+
+@query(
+    "result_urls",
+    f"WITH {_CARDS_SQL} SELECT 'order ' || l_orderkey AS query, 'www.amazon.com' AS domain, page_num, card_pos, url FROM cards",
+)
+def result_urls(spark, sf_dir):
+    return search.result_urls(render.search_pages(page_table(spark, sf_dir, "lineitem")))
+
+
+@query(
+    "snapshot_scan",
+    """SELECT sha256(url) AS url_key, CASE page_id % 6 WHEN 1 THEN 'expired' WHEN 2 THEN 'version' WHEN 3 THEN 'bad_meta' WHEN 4 THEN 'no_meta'
+              WHEN 5 THEN 'no_html' ELSE 'hit' END AS status, CASE WHEN page_id % 6 <> 5 THEN strlen(html) END AS html_bytes FROM pages""",
+)
+def snapshot_scan(spark, sf_dir):
+    """Pages stored as a directory of page and meta files, some of them stale or broken."""
+    folder = work_folder(spark, "snapshot-files")
+    files = render.snapshot_files(table(spark, sf_dir, "pages"), _AS_OF)
+    render.write_files(files, folder)
+    found = snapshots.with_status(page_sources.scan_snapshot_dir(spark, folder), at(_AS_OF))
+    return found.select("url_key", "status", F.octet_length("html").cast("bigint").alias("html_bytes"))
+
+
+@query("page_files", "SELECT 'page' || page_id || '.html' AS name, strlen(html) AS html_bytes, 'product' AS page_kind FROM pages")
+def page_files(spark, sf_dir):
+    """Pages written as one file each, and read as a page table."""
+    folder = work_folder(spark, "page-files")
+    pages = table(spark, sf_dir, "pages")
+    render.write_files(pages.select(join("page", F.col("page_id"), ".html").alias("name"), F.col("html").alias("text")), folder)
+    found = page_sources.read_page_files(spark, folder)
+    return found.select(F.regexp_extract("url", "[^/]+$", 0).alias("name"), F.octet_length("html").cast("bigint").alias("html_bytes"), "page_kind")
+
+
+@query(
+    "json_lines",
+    f"SELECT {_URL_SQL} AS url, p_name || ' ' || p_brand AS title, {_ANY_PRICE_SQL} AS price, {_ID_SQL} AS asin, NULL::VARCHAR AS manufacturer FROM part",
+)
+def json_lines(spark, sf_dir):
+    """Products written as JSON lines, and read back."""
+    path = work_folder(spark, "json")
+    sinks.write_json(part_products(spark, sf_dir), path)
+    return spark.read.schema("url string, title string, price string, asin string, manufacturer string").json(path)
+
+
+@query("cleared", "SELECT event_id FROM events WHERE event_type = 'view'")
+def cleared(spark, sf_dir):
+    """A store that was cleared holds only what came after."""
+    stored = render.snapshot_rows(table(spark, sf_dir, "events"))
+    later = table(spark, sf_dir, "events").where("event_type = 'view'").select("event_id")
+    return snapshots.clear(stored).unionByName(stored.join(later, "event_id", "left_semi")).select("event_id")
+
+
+# --------------------------------------------------------------- runs, complete
+
+
+@query(
+    "seeds_accounted",
+    f"""
+    WITH s AS (SELECT *, p_partkey % 7 AS kind, {_LISTED_SQL} AS url FROM part)
+    SELECT url, kind IN (0, 5) AND p_partkey % 6 <> 5 AS ok,
+           CASE WHEN kind IN (0, 5) AND p_partkey % 6 <> 5 THEN NULL WHEN kind IN (1, 2) THEN 'navigation' WHEN kind = 3 THEN 'captcha' WHEN kind = 6 THEN 'timeout' ELSE 'parse' END AS stage,
+           CASE WHEN kind IN (0, 5) AND p_partkey % 6 <> 5 THEN NULL WHEN kind = 1 THEN '{outcomes.NO_PAGE}' WHEN kind = 2 THEN '{outcomes.BEYOND_RETRIES}' WHEN kind = 3 THEN '{outcomes.GATE_SERVED}'
+                WHEN kind = 6 THEN 'late' ELSE '{outcomes.INCOMPLETE}' END AS reason FROM s""",
+)
+def seeds_accounted(spark, sf_dir):
+    """Every seed comes out once.  Key mod 7: 0 a good page, 1 no page, 2 a page beyond the retries, 3 a challenge
+    page, 4 an incomplete page, 5 a page without an attempt number, 6 a failed fetch after a challenge page."""
+    key = F.col("key")
+    kind = key % 7
+    pages = listed_pages(page_table(spark, sf_dir, "part"))
+    gate = F.lit("<html><title>Robot Check</title><form id='captcha-form'></form></html>")
+    html = F.when(kind.isin(3, 6), gate).when(kind == 4, F.lit("<h1 id='productTitle'>only a title</h1>")).otherwise(F.col("html"))
+    attempt = F.when(kind == 2, 3).when(kind != 5, 1)
+    fetched = pages.where(kind != 1).select("key", "url", html.alias("html"), "captured_at", attempt.alias("attempt"))
+    failed = pages.where(kind == 6).select("key", "url", F.lit(2).alias("attempt"), F.lit("late").alias("error"), F.lit("TimeoutError").alias("error_type"))
+    run = pipeline.build_products(pages.select("url"), fetched.unionByName(failed, allowMissingColumns=True), as_of=at(_AS_OF))
+    # Written once, both tables read from there.
+    written = pipeline.write_run(run, work_folder(spark, "run"))
+    done = written.products.select("url", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("stage"), F.lit(None).cast("string").alias("reason"))
+    return done.unionByName(written.outcomes.select("url", F.lit(False).alias("ok"), "stage", "reason"))
+
+
+@query(
+    "walk_large_limits",
+    """
+    WITH c AS (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey % 3 ORDER BY l_partkey) AS r FROM (
+               SELECT DISTINCT l_partkey, 0 AS l_orderkey FROM lineitem)),
+    w AS (SELECT l_partkey, l_partkey % 3 AS q, r, (r - 1) // 2 + 1 AS page_num FROM c)
+    SELECT 'third ' || q AS query, r::INT AS result_rank, page_num::INT AS page_num, 'https://www.amazon.com/dp/B' || lpad(l_partkey::VARCHAR, 9, '0') AS url
+    FROM w WHERE page_num <= CASE q WHEN 0 THEN 1000000 WHEN 1 THEN 30 ELSE 1000000 END AND r <= CASE q WHEN 0 THEN 1000000 WHEN 1 THEN 1000 ELSE 250 END""",
+)
+def walk_large_limits(spark, sf_dir):
+    """Walks over more pages and results than any request may ask for; two limits of one query count as the larger."""
+    parts = table(spark, sf_dir, "lineitem").select("l_partkey").distinct()
+    nth = F.row_number().over(Window.partitionBy(F.col("l_partkey") % 3).orderBy("l_partkey"))
+    card = join("<div data-component-type='s-search-result'><h2><a class='a-link-normal' href='/dp/", item_id(F.col("l_partkey")), "'>x</a></h2></div>")
+    cards = parts.select((F.col("l_partkey") % 3).alias("q"), nth.alias("nth"), card.alias("card"))
+    pages = cards.groupBy("q", F.expr("CAST((nth - 1) DIV 2 + 1 AS INT)").alias("page_num")).agg(F.sort_array(F.collect_list(F.struct("nth", "card"))).alias("cards"))
+    pages = pages.select(
+        join("third ", F.col("q")).alias("query"), F.lit("www.amazon.com").alias("domain"), "page_num",
+        F.array_join(F.transform("cards", lambda c: c["card"]), "").alias("html"),
+    )
+    rows = [("third 0", 3, 1_000_000), ("third 0", 1_000_000, 3), ("third 1", 30, 1000), ("third 2", 1_000_000, 250)]
+    limits = spark.createDataFrame(rows, "query string, max_pages int, max_results int").withColumn("domain", F.lit("www.amazon.com"))
+    return search.walk_search(pages, limits=limits).select("query", "result_rank", "page_num", "url")
+
+
+def _run_requests(spark: SparkSession, sf_dir: str) -> pipeline.Run:
+    """Customers as requests: a search (twice, with other limits), or a list of two URLs."""
+    key = F.col("c_custkey")
+    customer = table(spark, sf_dir, "customer")
+    one = customer.select(
+        key.alias("request_id"),
+        F.when(key % 3 == 0, join("order ", key)).alias("search_term"),
+        F.when(key % 3 != 0, join(SHOP, choose(key, "/dp/", "/gp/product/", "/x/dp/", "/dp/"), item_id(key), "?tag=x\n", SHOP, "/dp/", item_id(key + 1_000_000))).alias("product_urls"),
+        (key % 5 + 1).alias("max_results"), (key % 2 + 1).alias("max_pages"), (key % 3).alias("retries"),
+    )
+    two = one.where("search_term IS NOT NULL").withColumns({"request_id": F.col("request_id") + 1_000_000, "max_results": F.lit(2), "max_pages": F.lit(1)})
+    clean = requests.normalize_requests(one.unionByName(two))
+    pages = listed_pages(page_table(spark, sf_dir, "part")).withColumn("attempt", (F.col("key") % 2 + 1).cast("int"))
+    return pipeline.run_requests(clean, pages, search_pages=render.search_pages(page_table(spark, sf_dir, "lineitem")), as_of=at(_AS_OF))
+
+
+@query(
+    "requests_run",
+    f"""
+    WITH {_walk_sql('2', '5')},
+    asked AS (SELECT c_custkey AS k, c_custkey AS request_id, c_custkey % 5 + 1 AS max_results, c_custkey % 2 + 1 AS max_pages, greatest(1, c_custkey % 3) AS retries FROM customer),
+    searches AS (SELECT * FROM asked WHERE k % 3 = 0 UNION ALL SELECT k, k + 1000000, 2, 1, retries FROM asked WHERE k % 3 = 0),
+    seeds AS (
+      SELECT request_id, retries, 'order ' || k AS query, result_rank, url, l_partkey AS part FROM searches JOIN t ON l_orderkey = k AND result_rank <= max_results AND page_num <= max_pages
+      UNION ALL SELECT request_id, retries, NULL, NULL, '{SHOP}' || CASE k % 4 WHEN 1 THEN '/gp/product/' WHEN 2 THEN '/x/dp/' ELSE '/dp/' END || 'B' || lpad(k::VARCHAR, 9, '0'), k
+        FROM asked WHERE k % 3 <> 0
+      UNION ALL SELECT request_id, retries, NULL, NULL, '{SHOP}/dp/B' || lpad((k + 1000000)::VARCHAR, 9, '0'), -1 FROM asked WHERE k % 3 <> 0)
+    SELECT request_id, query, result_rank, url, p_partkey IS NOT NULL AND part % 2 + 1 <= retries AND part % 6 <> 5 AS ok,
+           CASE WHEN p_partkey IS NULL THEN '{outcomes.NO_PAGE}' WHEN part % 2 + 1 > retries THEN '{outcomes.BEYOND_RETRIES}' WHEN part % 6 = 5 THEN '{outcomes.INCOMPLETE}' END AS reason
+    FROM seeds LEFT JOIN part ON p_partkey = part""",
+)
+def requests_run(spark, sf_dir):
+    run = _run_requests(spark, sf_dir)
+    own = ["request_id", "query", "result_rank", "url"]
+    return run.rows.select(*own, "ok", "reason")
+
+
+@query(
+    "late_pages",
+    f"SELECT {_ID_SQL} AS asin FROM part WHERE p_partkey % 6 <> 5 AND p_partkey % 3 <> 1",
+)
+def late_pages(spark, sf_dir):
+    """A third of the pages arrives hours behind the rest and is left out."""
+    folder = work_folder(spark, "late")
+    pages = render.product_pages(page_table(spark, sf_dir, "part")).drop("rendered_html")
+    late = F.col("key") % 3 == 1
+    last = F.to_timestamp(F.lit("2024-01-01 12:00:00"))
+    for part in (pages.where(~late).withColumn("captured_at", last), pages.where(late)):
+        part.drop("key").write.mode("append").parquet(f"{folder}/pages")
+        stream = read_page_stream(spark, f"{folder}/pages", schema=part.drop("key").schema)
+        start_products(product_stream(stream), path=f"{folder}/products", checkpoint=f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/products").select("asin")
+
+
+@query(
+    "stream_outcomes",
+    f"""
+    WITH s AS (SELECT p_partkey, {_LISTED_SQL} AS url, p_partkey % 7 = 3 AS gate FROM part)
+    SELECT url, CASE WHEN gate THEN 'captcha' ELSE 'parse' END AS stage, CASE WHEN gate THEN '{outcomes.GATE_SERVED}' ELSE '{outcomes.INCOMPLETE}' END AS reason
+    FROM s WHERE gate OR p_partkey % 6 = 5""",
+)
+def stream_outcomes(spark, sf_dir):
+    """Pages that give no product leave an outcome, as in the batch; a page that comes again leaves no second one."""
+    folder = work_folder(spark, "rejects")
+    pages = listed_pages(page_table(spark, sf_dir, "part"))
+    gate = F.lit("<html><title>Robot Check</title></html>")
+    pages = pages.withColumn("html", F.when(F.col("key") % 7 == 3, gate).otherwise(F.col("html"))).drop("key")
+    for _ in range(2):
+        pages.write.mode("append").parquet(f"{folder}/pages")
+    stream = product_stream(read_page_stream(spark, f"{folder}/pages", schema=pages.schema), once=True, rejects=True)
+    started = start_products(stream, path=f"{folder}/products", checkpoint=f"{folder}/checkpoint", outcomes_path=f"{folder}/outcomes")
+    started.awaitTermination()
+    return spark.read.parquet(f"{folder}/outcomes").select("url", "stage", "reason")

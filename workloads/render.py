@@ -122,6 +122,10 @@ def product_pages(part: DataFrame) -> DataFrame:
         "<div id='feature-bullets'><ul><li><span>Kind:</span> <b>", part["p_type"], "</b><li>tiny<li><span>KIND: ",
         F.lower(part["p_type"]), "</span></li><li> Size ", part["p_size"], " mm </li></ul></div>",
     )
+    weight = join("eight ", part["p_size"], " ")
+    bullets = choose(
+        key, bullets, join("<div id='feature-bullets'><li>abcd</li><li> W", weight, "g<li>w", weight, "G</li></div>"), "<ul><li>not a bullet</ul>"
+    )
     availability = choose(
         key,
         "<div id='availability'><span> In Stock </span></div>",
@@ -149,6 +153,15 @@ def product_pages(part: DataFrame) -> DataFrame:
         "._AC_SX900_.jpg&quot;:[900,900]}'><img data-old-hires='", base, "._AC_SL1000_.jpg' src='", base,
         "._AC_US40_.jpg'><img src='", base, "d.jpg'></div>",
     )
+    gallery = choose(
+        key,
+        gallery,
+        join(
+            "<div id='imgTagWrapperId'><img data-old-hires='' src='", base, "._AC_US40_.jpg'><img src='", base, "e._SL500_.jpg'>"
+            "<img data-old-hires='", base, "e._SL1500_.jpg' src='", base, "f.jpg'></div>",
+        ),
+        "<div id='imgTagWrapperId' data-a-dynamic-image='not json'></div>",
+    )
     html = join(
         "<!doctype html><html><head>", title, asin, "<script>var a='<div id=productTitle>no</div>'</script></head><body>",
         price_block, rating, count, gallery, bullets, availability, branding, "</body></html>",
@@ -173,8 +186,7 @@ def sale_cents(line: DataFrame) -> tuple[Column, Column]:
     return before - F.call_function("div", before * percent, F.lit(100)), before
 
 
-def deal_pages(line: DataFrame) -> DataFrame:
-    """``lineitem`` as pages with a current price, an original price and deal markup."""
+def deal_html(line: DataFrame) -> Column:
     now, before = sale_cents(line)
     kind = line["l_linenumber"] % 7
     was = choose(
@@ -191,15 +203,18 @@ def deal_pages(line: DataFrame) -> DataFrame:
         .otherwise(F.lit("<i class='a-badge-span'>Brand New</i>"))
     )
     coupon = F.when(line["l_linestatus"] == "O", F.lit("<div class='a-section couponClippableBlock'></div>")).otherwise(F.lit(""))
-    html = join(
+    return join(
         "<body><div id='corePriceDisplay_desktop_feature_div'><span class='aok-offscreen'>$", us(now), " </span></div>",
         was, deal, coupon, "</body>",
     )
-    return line.select(offer_key(line).alias("url"), html.alias("html"))
 
 
-def seller_pages(line: DataFrame) -> DataFrame:
-    """``lineitem`` as pages with seller, buy box, fulfilment and ships-from markup."""
+def deal_pages(line: DataFrame) -> DataFrame:
+    """``lineitem`` as pages with a current price, an original price and deal markup."""
+    return line.select(offer_key(line).alias("url"), deal_html(line).alias("html"))
+
+
+def seller_html(line: DataFrame) -> Column:
     own = join("Supplier#", F.lpad(line["l_suppkey"].cast("string"), 9, "0"))
     rival = join("Supplier#", F.lpad(((line["l_suppkey"] + 1) % 7).cast("string"), 9, "0"))
     kind, flag = line["l_linenumber"] % 7, line["l_returnflag"]
@@ -226,10 +241,21 @@ def seller_pages(line: DataFrame) -> DataFrame:
         "<span id='avgRating'>", F.format_number(line["l_partkey"] + 1000, 0), " ratings</span>",
     )
     ships = F.when(line["l_linestatus"] == "O", join("<div id='shipsFrom'>Ships from Nation", line["l_suppkey"], "</div>")).otherwise(F.lit(""))
-    html = join("<body>", byline, box, tabular, note, rating, ships, "</body>")
-    return line.select(
-        offer_key(line).alias("url"), own.alias("own"), kind.alias("kind"), flag.alias("flag"), html.alias("html")
-    )
+    return join("<body>", byline, box, tabular, note, rating, ships, "</body>")
+
+
+def seller_pages(line: DataFrame) -> DataFrame:
+    """``lineitem`` as pages with seller, buy box, fulfilment and ships-from markup."""
+    return line.select(offer_key(line).alias("url"), seller_html(line).alias("html"))
+
+
+def offer_pages(line: DataFrame) -> DataFrame:
+    """``lineitem`` as whole product pages: title, id, price, deal and seller."""
+    head = join(
+        "<h1 id='productTitle'> Offer ", line["l_partkey"], " </h1><meta name='asin' content='", item_id(line["l_partkey"]), "'>"
+        "<span data-hook='rating-out-of-text'>4.5 out of 5</span><div id='availability'><span>In Stock</span></div>",
+    )
+    return line.select(offer_key(line).alias("url"), join(head, deal_html(line), seller_html(line)).alias("html"))
 
 
 CARDS_PER_PAGE = 2
@@ -330,3 +356,36 @@ def snapshot_rows(events: DataFrame) -> DataFrame:
         F.when(F.col("event_type") == "purchase", F.lit("0")).otherwise(F.lit("1")).alias("version"),
         F.when(F.col("event_type") != "click", F.col("event_type") != "signup").alias("meta_ok"),
     )
+
+
+def snapshot_files(pages: DataFrame, as_of: str) -> DataFrame:
+    """``pages`` as files (name, text) of a snapshot directory.  Page number mod 6: 0 valid, 1 expired,
+    2 of another version, 3 with broken meta data, 4 without any, 5 without a page."""
+    kind, name = F.col("page_id") % 6, url_key(F.col("url"))
+    now = F.unix_timestamp(F.lit(as_of))
+    meta = F.to_json(
+        F.struct(
+            "url",
+            F.when(kind == 1, now - 7200).otherwise(now - 60).cast("double").alias("cached_at"),
+            F.lit(3600).alias("ttl_seconds"),
+            F.when(kind == 2, "0").otherwise("1").alias("version"),
+        )
+    )
+    meta = F.when(kind == 3, F.substring(meta, 1, 9)).otherwise(meta)
+    html = pages.where(kind != 5).select(join(name, ".html").alias("name"), F.col("html").alias("text"))
+    return html.union(pages.where(kind != 4).select(join(name, ".meta.json"), meta))
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Each row (name, text) as a file of that name; a task that is run again writes the same."""
+
+    def write(rows) -> None:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for row in rows:
+            with store.open_output_stream(f"{base}/{row.name}") as out:
+                out.write(row.text.encode())
+
+    files.foreachPartition(write)
