@@ -36,71 +36,94 @@ def words(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
-def _places(text: Column, tokens: Column) -> Column:
-    """A text's features as places 1 to FEATURES."""
-    plain = F.coalesce(text, F.lit(""))
-    count = F.size(tokens) + 1
-    distinct = F.array_distinct(tokens)
-    symbols = F.length(plain) - F.length(F.translate(plain, "#*$%&|<>", ""))
+def _features(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``text``, which goes) by feature, as ``place`` from 1 to FEATURES; place 0 stands for the row itself.
+
+    Adds ``n_tokens``.
+    """
+    plain = F.coalesce("text", F.lit(""))
+    rows = rows.withColumn("words", words(F.col("text"))).withColumns(
+        {
+            "n_tokens": F.size("words").cast("bigint"),
+            "symbols": F.length(plain) - F.length(F.translate(plain, "#*$%&|<>", "")),
+            "distinct": F.array_distinct("words"),
+        }
+    )
+    count = F.col("n_tokens") + 1
     classes = F.array(
+        F.lit(None).cast("string"),
         F.concat(F.lit("# length "), F.floor(F.log2(count)).cast("string")),
-        F.concat(F.lit("# distinct "), F.floor(10 * F.size(distinct) / count).cast("string")),
-        F.concat(F.lit("# symbols "), F.floor(10 * F.least(symbols / count, F.lit(2.0))).cast("string")),
+        F.concat(F.lit("# distinct "), F.floor(10 * F.size("distinct") / count).cast("string")),
+        F.concat(F.lit("# symbols "), F.floor(10 * F.least(F.col("symbols") / count, F.lit(2.0))).cast("string")),
     )
-    return F.transform(F.concat(distinct, classes), lambda w: (F.pmod(F.xxhash64(w), F.lit(FEATURES)) + 1).cast("int"))
+    rest = [name for name in rows.columns if name not in ("text", "words", "symbols", "distinct")]
+    each = rows.select(*rest, F.explode(F.concat(classes, "distinct")).alias("feature"))
+    place = F.when(F.col("feature").isNotNull(), F.pmod(F.xxhash64("feature"), F.lit(FEATURES)) + 1).otherwise(F.lit(0))
+    return each.select(*rest, place.cast("int").alias("place"))
 
 
 @dataclass
 class Classifier:
+    """``weights``: (place, w0, w1, ...), a row for every place, columns in the order of ``domains``."""
+
     domains: list[str]
     priors: list[float]
-    weights: list[list[float]]  # by domain, then place
-
-    def chances(self, places: Column) -> Column:
-        """An array of probabilities, in the order of ``domains`` (empty without domains)."""
-        if not self.domains:
-            return F.array().cast("array<double>")
-        scale = SHARPNESS / F.sqrt(F.size(places).cast("double"))
-        scores = []
-        for prior, weights in zip(self.priors, self.weights, strict=True):
-            table = F.from_json(F.lit(str([round(w, 5) for w in weights])), "array<double>")
-            scores.append(_summed(places, table) * scale + prior)
-        return _softmax(F.array(*scores))
+    weights: DataFrame
 
 
-def _summed(places: Column, table: Column) -> Column:
-    return F.aggregate(places, F.lit(0.0), lambda a, i: a + F.element_at(table, i))
-
-
-def _softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda s: F.exp(s - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
-
-
-def train(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE) -> Classifier:
+def train(docs: DataFrame, labelled: DataFrame, folder: str, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE) -> Classifier:
     """From ``labelled`` (id, domain). Rows with a NULL are left out; an id counts once, with its least domain.
 
     Of more than ``sample`` ids about so many are used, chosen by a hash of the id; only they are broadcast to
     the scan of the texts. Without any labelled text there is no domain.
     """
+    spark = docs.sparkSession
     rows = labelled.toDF("id", "domain").dropna().groupBy("id").agg(F.min("domain").alias("domain"))
     share = min(1.0, sample / max(1, rows.count()))
     chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    known = texts.join(F.broadcast(chosen), "id").select("domain", _places(F.col("text"), words(F.col("text"))).alias("places"))
-    sizes = {row["domain"]: row["count"] for row in known.groupBy("domain").count().collect()}
-    counts = known.select("domain", F.explode(F.array_distinct("places")).alias("place")).groupBy("domain", "place").count().collect()
+    known = _features(texts.join(F.broadcast(chosen), "id").select("domain", "text"))
+    known.groupBy("domain", "place").count().write.parquet(f"{folder}/counts")
+    counts = spark.read.parquet(f"{folder}/counts")  # at most FEATURES + 1 rows for a domain
+    sizes = {row["domain"]: row["count"] for row in counts.filter("place = 0").collect()}
     domains, total = sorted(sizes), sum(sizes.values())
-    have = {(row["domain"], row["place"]): row["count"] for row in counts}  # at most FEATURES for a domain
-    overall = [sum(have.get((d, place), 0) for d in domains) for place in range(1, FEATURES + 1)]
-    shares = [(n + 0.01) / (total + 0.02) for n in overall]
+    of = [F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("count"))), F.lit(0)).alias(f"n{k}") for k, d in enumerate(domains)]
+    by_place = spark.range(0, FEATURES + 1).select(F.col("id").cast("int").alias("place")).join(counts, "place", "left")
+    by_place = by_place.groupBy("place").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), *of)
+    overall = (F.col("n") + 0.01) / (total + 0.02)
     weights = [
-        [math.log((have.get((d, i + 1), 0) + PRIOR * share) / (sizes[d] + PRIOR)) - math.log(share) for i, share in enumerate(shares)]
-        for d in domains
+        F.when(F.col("place") == 0, 0.0).otherwise(F.log((F.col(f"n{k}") + PRIOR * overall) / (sizes[d] + PRIOR)) - F.log(overall)).alias(f"w{k}")
+        for k, d in enumerate(domains)
     ]
-    return Classifier(domains, [math.log(sizes[d] / total) for d in domains], weights)
+    by_place.select("place", *weights).write.parquet(f"{folder}/weights")
+    return Classifier(domains, [math.log(sizes[d] / total) for d in domains], spark.read.parquet(f"{folder}/weights"))
+
+
+def members(docs: DataFrame, classifier: Classifier, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Each row of ``docs`` as (id, row, n_tokens, chances); ``row`` is a hash of id and text.
+
+    Weights are a table of FEATURES + 1 rows, so it is broadcast; what a document's features say is summed before the shuffle.
+    """
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    rows = rows.withColumn("row", F.xxhash64("id", "text"))
+    n = len(classifier.domains)
+    joined = _features(rows).join(F.broadcast(classifier.weights), "place")
+    summed = joined.groupBy("row", "id", "n_tokens").agg(
+        F.count_if(F.col("place") == 0).alias("times"), F.count("*").alias("features"), *(F.sum(f"w{k}").alias(f"s{k}") for k in range(n))
+    )
+    # Repeated rows have been summed together.
+    scale = SHARPNESS / F.sqrt(F.col("features") / F.col("times"))
+    scores = [F.col(f"s{k}") / F.col("times") * scale + classifier.priors[k] for k in range(n)]
+    found = summed.select("id", "row", "n_tokens", "times", *(score.alias(f"s{k}") for k, score in enumerate(scores)))
+    if n:
+        top = F.greatest(*(F.col(f"s{k}") for k in range(n))) if n > 1 else F.col("s0")
+        found = found.withColumns({f"s{k}": F.exp(F.col(f"s{k}") - top) for k in range(n)})
+        whole = sum((F.col(f"s{k}") for k in range(n)), F.lit(0.0))
+        chances = F.array(*(F.col(f"s{k}") / whole for k in range(n)))
+    else:
+        chances = F.array().cast("array<double>")
+    found = found.select("id", "row", "n_tokens", chances.alias("chances"), "times")
+    return found.withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))).drop("times", "time")
 
 
 def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -162,30 +185,27 @@ def fit(members: DataFrame, domains: list[str], targets: dict[str, float], steps
 
 @dataclass
 class Mix:
-    classifier: Classifier
+    domains: list[str]
     steps: list[list[float]]
+    members: DataFrame  # id, row, n_tokens, chances
+
+    def rate(self) -> Column:
+        return rate(F.col("n_tokens"), F.col("chances"), self.steps)
 
 
-def fit_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_column: str = "doc_id", text_column: str = "text") -> tuple[Mix, DataFrame]:
-    """The mix and the written table of members: id, n_tokens, chances."""
+def fit_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_column: str = "doc_id", text_column: str = "text") -> Mix:
     if not any(w > 0 for w in targets.values()) or any(w < 0 for w in targets.values()):
         raise ValueError("targets are nonnegative weights with a positive sum")
     spark = docs.sparkSession
-    classifier = train(docs, labelled, id_column, text_column)
     folder = work_folder(spark, "mixing")
-    _members(docs, classifier, id_column, text_column).write.parquet(f"{folder}/members")
-    members = spark.read.parquet(f"{folder}/members")
-    return Mix(classifier, fit(members, classifier.domains, targets)), members
-
-
-def _members(docs: DataFrame, classifier: Classifier, id_column: str, text_column: str) -> DataFrame:
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("words", words(F.col("text")))
-    rows = rows.select("id", F.size("words").cast("bigint").alias("n_tokens"), _places(F.col("text"), F.col("words")).alias("places"))
-    return rows.select("id", "n_tokens", classifier.chances(F.col("places")).alias("chances"))
+    classifier = train(docs, labelled, folder, id_column, text_column)
+    members(docs, classifier, id_column, text_column).write.parquet(f"{folder}/members")
+    found = spark.read.parquet(f"{folder}/members")
+    return Mix(classifier.domains, fit(found, classifier.domains, targets), found)
 
 
 def copies(rate: Column, identity: Column) -> Column:
-    """A whole number with that mean: the fraction is decided by a hash of the id (0 for a NULL rate)."""
+    """A whole number with that mean: the fraction is decided by a hash of the id."""
     part = F.pmod(F.xxhash64(identity, F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     return (F.floor(rate) + F.when(part < rate - F.floor(rate), 1).otherwise(0)).cast("bigint")
 
@@ -197,20 +217,17 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     are such. Repeated rows are documents of their own with equal rates. If the labelled table names none of the
     documents, or only domains without a target, every rate is 1. An empty table gives an empty one.
     """
-    mix, members = fit_mix(docs, labelled, targets, id_column, text_column)
-    weight = rate(F.col("n_tokens"), F.col("chances"), mix.steps)
-    chances = F.map_from_arrays(F.array(*map(F.lit, mix.classifier.domains)), F.col("chances"))
-    rows = members.select(F.col("id").alias(id_column), "n_tokens", chances.alias("chances"), weight.alias("rate"))
+    mix = fit_mix(docs, labelled, targets, id_column, text_column)
+    domains = F.array(*map(F.lit, mix.domains)).cast("array<string>")
+    chances = F.map_from_arrays(domains, F.col("chances"))
+    rows = mix.members.select(F.col("id").alias(id_column), "n_tokens", chances.alias("chances"), mix.rate().alias("rate"))
     return rows.withColumn("copies", copies(F.col("rate"), F.col(id_column)))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents, all columns, each as often as its copies say. One pass over the texts, no join."""
-    mix, _ = fit_mix(docs, labelled, targets, id_column, text_column)
-    tokens = words(F.col(text_column))
-    rows = docs.withColumn("mixing_words", tokens)
-    rows = rows.withColumn("mixing_chances", mix.classifier.chances(_places(F.col(text_column), F.col("mixing_words"))))
-    weight = rate(F.size("mixing_words").cast("bigint"), F.col("mixing_chances"), mix.steps)
-    rows = rows.withColumn("mixing_copies", copies(weight, F.col(id_column)))
-    each = F.explode(F.sequence(F.lit(1), F.col("mixing_copies").cast("int")))
-    return rows.filter("mixing_copies > 0").withColumn("mixing_copy", each).select(*docs.columns)
+    """The documents, all columns, each as often as its copies say."""
+    mix = fit_mix(docs, labelled, targets, id_column, text_column)
+    times = mix.members.select(F.col("row").alias("mixing_row"), copies(mix.rate(), F.col("id")).alias("mixing_copies")).distinct()
+    rows = docs.withColumn("mixing_row", F.xxhash64(id_column, text_column)).join(times.filter("mixing_copies > 0"), "mixing_row")
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), "mixing_copies"))
+    return rows.withColumn("mixing_copy", each).select(*docs.columns)

@@ -26,13 +26,14 @@ def totals(found):
     return {d: sum(r.rate * r.chances[d] * r.n_tokens for r in found) / tokens for d in found[0].chances}
 
 
-@pytest.mark.parametrize("targets", [{"a": 0.2, "b": 0.3, "c": 0.5}, {"a": 1, "b": 1, "c": 1}, {"a": 0.9, "b": 0.1}])
-def test_expected_totals_match(corpus, targets):
+# Every document is a little of each domain, so a target of 0 can only be come near to.
+@pytest.mark.parametrize("targets, near", [({"a": 0.2, "b": 0.3, "c": 0.5}, 0.01), ({"a": 1, "b": 1, "c": 1}, 0.01), ({"a": 0.9, "b": 0.1}, 0.05)])
+def test_expected_totals_match(corpus, targets, near):
     found = M.mixing_rates(*corpus, targets).collect()
     whole = sum(targets.values())
     assert all(r.rate >= 0 for r in found)
     for domain, share in totals(found).items():
-        assert share == pytest.approx(targets.get(domain, 0) / whole, abs=0.01)
+        assert share == pytest.approx(targets.get(domain, 0) / whole, abs=near)
 
 
 def test_copies_have_the_rates_as_their_mean(corpus):
@@ -44,7 +45,7 @@ def test_copies_have_the_rates_as_their_mean(corpus):
 def test_a_mix_that_fits_is_left_alone(corpus):
     docs, labelled = corpus
     found = M.mixing_rates(docs, labelled, {"a": 1, "b": 1, "c": 1}).collect()
-    again = M.mixing_rates(docs, labelled, totals([r for r in found if r.n_tokens]) if False else {d: sum(r.chances[d] * r.n_tokens for r in found) for d in "abc"}).collect()
+    again = M.mixing_rates(docs, labelled, {d: sum(r.chances[d] * r.n_tokens for r in found) for d in "abc"}).collect()
     assert all(r.rate == pytest.approx(1, abs=0.01) for r in again)
 
 
