@@ -1,8 +1,13 @@
 """The page helper: tolerance of captured markup, texts, and the selector subset."""
 
+import random
+import time
+
 import pytest
 
+from shelfmark import rules
 from shelfmark.operators._markup import Document, Selector
+from shelfmark.operators.hits import _Field, _fields
 
 
 def select(html, css, scope_css=None):
@@ -92,3 +97,74 @@ def test_broken_markup_is_read_in_linear_time(piece):
         return time.perf_counter() - started
 
     assert seconds(100_000) < 40 * seconds(10_000) + 1
+
+
+def nested(seed, size):
+    """Any markup: open and closed elements of all kinds the rules look for, at any depth."""
+    rng = random.Random(seed)
+    parts = ["<div>", "<span class='a-offscreen'>", "<ul>", "<li>", "</div>", "</ul>", "</table>", "<table id='prodDetails'>", "<tr>", "<td>", "word ", "</b>", "<b>",
+             "<a href='/dp/B1'>", "sold by ", "<p>", "<i data-hook='review'>", "<div id='buybox'>", "<div class='a-price'>", "<section data-component-type='s-search-result'>"]
+    return "".join(rng.choice(parts) for _ in range(size // 9))
+
+
+SHAPES = {
+    "stray end tags": lambda n: "<b>" * (n // 7) + "</i>" * (n // 7),
+    "end tags behind a barrier": lambda n: "<b><table>" + "<i>" * (n // 7) + "</b>" * (n // 8),
+    "nested spans with text": lambda n: "<span>x" * (n // 7),
+    "nested spans with blanks": lambda n: "<span> " * (n // 7),
+    "nested blocks with prices": lambda n: "<div><b class='a-offscreen'></b>" * (n // 31),
+    "nested cards": lambda n: "<p data-component-type='s-search-result'><i class='a-price'>" * (n // 60),
+    "nested rows": lambda n: "<table id='prodDetails'><tr><td>" * (n // 32),
+    "random": lambda n: nested(3, n),
+}
+RULE_SETS = [[*rules.PRODUCT_RULES, *rules.DEAL_RULES], rules.SELLER_RULES, [*rules.GATE_RULES, *rules.CONTENT_RULES], rules.SEARCH_RULES, rules.REVIEW_RULES]
+
+
+def seconds(page):
+    started = time.process_time()
+    for group in RULE_SETS:
+        fields = [_Field(name, rows, group) for name, rows in _fields(group).items()]
+        doc = Document(page, frozenset().union(*(f.keys() for f in fields)))
+        for field in fields:
+            field.run(doc, 0)
+    return time.process_time() - started
+
+
+@pytest.mark.parametrize("shape", list(SHAPES))
+def test_reading_and_rules_are_linear(shape):
+    """A page ten times as long costs about ten times as much, for all rule sets."""
+    small = min(seconds(SHAPES[shape](100_000)) for _ in range(2))
+    assert seconds(SHAPES[shape](1_000_000)) < 30 * small + 1
+
+
+def climbing(doc, element, compounds):
+    """Descendant matching, element by element."""
+    at, left = doc.parent[element], list(compounds)
+    while at > 0 and left:
+        if all(test(doc, at) for test in left[0]):
+            left.pop(0)
+        at = doc.parent[at]
+    return not left
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_selectors_find_what_a_climb_finds(seed):
+    for group in RULE_SETS:
+        selectors = [Selector(rule.selector) for rule in group if rule.mode != "nodes"]
+        doc = Document(nested(seed, 4_000), frozenset().union(*(s.keys() for s in selectors)))
+        scopes = [0, *random.Random(seed).sample(range(1, len(doc.tag)), 5)]
+        for selector in selectors:
+            for scope in scopes:
+                high = doc.end[scope] if scope else len(doc.tag)
+                want = sorted({e for key, tests, above in selector.chains for e in doc.index[key]
+                               if scope < e < high and all(t(doc, e) for t in tests) and climbing(doc, e, above)})
+                assert selector.all(doc, scope) == want
+                assert selector.first(doc, scope) == (want[0] if want else None)
+
+
+def test_heads_begin_like_texts():
+    doc = Document(nested(5, 3_000), frozenset(["*"]))
+    for element in doc.index["*"]:
+        for form in ("tight", "spaced"):
+            text, head = doc.text(element, form), doc.head(element, form, 20)
+            assert text.startswith(head) and (head == text or len(head) >= 20)

@@ -11,6 +11,7 @@ from shelfmark.operators.reviews import top_reviews
 from shelfmark.plans import pipeline
 from shelfmark.rules import PRODUCT_RULES, SEARCH_RULES, SELLER_RULES
 from shelfmark.schemas import PAGE, REVIEW
+from shelfmark.sources.pages import as_snapshots
 
 
 def plan(frame):
@@ -60,10 +61,28 @@ def test_search_pages_are_parsed_once_for_the_whole_run(spark, pages):
     assert final.count("MapInArrow") == 2
 
 
-def test_page_text_is_not_in_the_shuffle_of_products(spark, pages):
-    run = pipeline.build_products(pages.select("url"), pages, as_of=F.current_timestamp())
-    final = plan(run.products).split("MapInArrow")[0]
-    assert "html" not in final
+def _exchanges(frame):
+    """(columns, lines below) of every exchange of a formatted plan."""
+    text = frame._jdf.queryExecution().explainString(frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    found = re.findall(r"\(\d+\) (Exchange|BroadcastExchange)[^\n]*\nInput \[\d+\]: \[([^\]]*)\]", text)
+    assert found
+    return [columns for _, columns in found]
+
+
+def test_page_text_is_in_no_shuffle(spark, pages):
+    """With sides too large to broadcast: nothing below or above the parse moves a page."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = as_snapshots(pages.withColumn("captured_at", F.current_timestamp()), 3600)
+        run = pipeline.build_products(pages.select("url"), pages, snapshots=stored, processed=pages.select("url"), as_of=F.current_timestamp())
+        for frame in (run.products, run.outcomes):
+            assert not [c for c in _exchanges(frame) if "html" in c]
+            text = plan(frame)
+            # Captures of one URL are reduced on every partition before they are shuffled.
+            assert re.search(r"WindowGroupLimit.*Partial", text)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_hit_columns_follow_the_rules():

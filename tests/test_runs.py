@@ -1,0 +1,177 @@
+"""Runs and walks: every seed comes out once, requests keep their own limits, no cap but the given one."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from shelfmark.functions.outcomes import BEYOND_RETRIES, GATE_SERVED, NO_PAGE
+from shelfmark.operators import requests, reviews, search, snapshots
+from shelfmark.operators.membership import possible
+from shelfmark.plans import pipeline
+from shelfmark.sources import pages as sources
+
+URL = "https://x/dp/B0000000{:02d}".format
+GATE = "<title>Robot Check</title>"
+
+
+def now():
+    return F.to_timestamp(F.lit("2024-03-01 00:00:00"))
+
+
+def page(price):
+    return f"<i id='priceblock_dealprice'>{price}</i>"
+
+
+def result_page(numbers):
+    return "".join(f"<p data-component-type='s-search-result'><a class='a-link-normal s-link-style' href='/dp/B{n:09d}'>x</a></p>" for n in numbers)
+
+
+def walk_pages(spark, query, pages, size):
+    rows = [(query, "d", n + 1, result_page(range(n * size, n * size + size))) for n in range(pages)]
+    return spark.createDataFrame(rows, "query string, domain string, page_num int, html string")
+
+
+LIMITS = "query string, domain string, max_pages int, max_results int"
+
+
+def test_limits_may_be_large(spark):
+    pages = walk_pages(spark, "q", 30, 20)
+    limits = spark.createDataFrame([("q", "d", 30, 500)], LIMITS)
+    assert search.walk_search(pages, limits=limits).count() == 500
+    assert search.walk_search(pages, max_pages=30, max_results=500).count() == 500
+
+
+def test_rows_of_one_query_count_as_the_largest(spark):
+    pages = walk_pages(spark, "q", 6, 10)
+    limits = spark.createDataFrame([("q", "d", 1, 3), ("q", "d", 3, 50)], LIMITS)
+    assert search.walk_search(pages, limits=limits).count() == 30
+
+
+def test_requests_of_one_query_walk_on_their_own(spark):
+    pages = walk_pages(spark, "q", 6, 10).union(walk_pages(spark, "other", 2, 4))
+    limits = spark.createDataFrame([(1, "q", "d", 1, 3), (2, "q", "d", 3, 50), (3, "q", "d", 6, 25)], "request_id bigint, " + LIMITS)
+    walked = search.walk_search(pages, limits=limits)
+    got = {r.request_id: r["count"] for r in walked.groupBy("request_id").count().collect()}
+    # The query without a limits row keeps the default.
+    assert got == {1: 3, 2: 30, 3: 25, None: 5}
+    assert [r.result_rank for r in walked.where("request_id = 3").orderBy("result_rank").collect()] == list(range(1, 26))
+
+
+def test_no_limits_at_all(spark):
+    pages = walk_pages(spark, "q", 2, 4)
+    assert search.walk_search(pages, limits=spark.createDataFrame([], LIMITS)).count() == 5
+
+
+FETCH = "url string, attempt int, html string, error string, error_type string"
+
+
+@pytest.fixture
+def fetches(spark):
+    rows = [
+        (URL(1), 1, page("$1"), None, None),
+        (URL(2), 3, page("$2"), None, None),
+        (URL(3), 1, GATE, None, None),
+        (URL(5), None, page("$5"), None, None),
+        (URL(6), 1, GATE, None, None),
+        (URL(6), 2, None, "HTTP 503", "Error"),
+        (URL(7), 1, "<p>nothing", None, None),
+        (URL(8), 0, page("$8"), None, None),
+        (URL(9), 1, page("$9"), None, None),
+        (None, 1, page("$0"), None, None),
+    ]
+    return spark.createDataFrame(rows, FETCH)
+
+
+WANTED = {
+    URL(2): ("navigation", BEYOND_RETRIES), URL(3): ("captcha", GATE_SERVED), URL(4): ("navigation", NO_PAGE), URL(6): ("blocked", "HTTP 503"),
+    URL(7): ("parse", "Failed to extract price or ASIN from page"),
+}
+
+
+def test_every_seed_comes_out_once(spark, fetches, tmp_path):
+    seeds = spark.createDataFrame([(URL(n),) for n in [*range(1, 9), 1, 4]], "url string")
+    run = pipeline.build_products(seeds, fetches, as_of=now())
+    written = pipeline.write_run(run, str(tmp_path / "run"))
+    for tables in (run, written):
+        assert sorted(r.price for r in tables.products.collect()) == ["$1", "$5", "$8"]
+        found = tables.outcomes.collect()
+        assert {r.url: (r.stage, r.reason) for r in found} == WANTED
+        assert all(r.message == f"[{r.stage}] {r.reason}: {r.url}" + (f"\nHINT: {r.hint}" if r.hint else "") for r in found)
+
+
+def test_processed_and_fresh(spark, fetches):
+    seeds = spark.createDataFrame([(URL(1),), (URL(4),)], "url string")
+    done = spark.createDataFrame([(URL(1),), (URL(1),), (None,)], "url string")
+    run = pipeline.build_products(seeds, fetches, processed=done, as_of=now())
+    assert run.products.count() == 0 and [r.url for r in run.outcomes.collect()] == [URL(4)]
+    assert pipeline.build_products(seeds, fetches, processed=done, as_of=now(), fresh_run=True).products.count() == 1
+
+
+def test_requests_keep_their_own_settings(spark, fetches):
+    raw = spark.createDataFrame(
+        [
+            (1, None, f"{URL(2)}\n{URL(1)}", 3, 0, False),
+            (2, None, f"{URL(2)}\n{URL(1)}", 1, 5, False),
+            (3, None, URL(1), 1, 1, True),
+            (4, "q", None, 2, 0, False),
+            (5, "q", None, 2, 0, False),
+            (6, " ", "", 2, 0, False),
+        ],
+        "request_id bigint, search_term string, product_urls string, retries int, max_reviews int, fresh_run boolean",
+    ).withColumn("max_results", F.when(F.col("request_id") == 5, 1).otherwise(2))
+    clean = requests.normalize_requests(raw)
+    results = spark.createDataFrame([("q", "amazon.com", 1, result_page([9, 4]).replace("/dp/B0", "https://x/dp/B0"))], "query string, domain string, page_num int, html string")
+    shown = spark.createDataFrame([(URL(1), "B000000001", 1, n, f"t{n}", "5", None, True, 0) for n in range(3)],
+                                  "url string, asin string, round int, pos int, text string, rating string, date string, verified boolean, helpful_votes int")
+    done = spark.createDataFrame([(URL(1),)], "url string")
+    run = pipeline.run_requests(clean, fetches, search_pages=results, reviews=shown, processed=done, as_of=now())
+    got = {(r.request_id, r.url): (r.price, r.result_rank, len(r.reviews)) for r in run.products.collect()}
+    # The first URL was processed; only the third request asks for it again.
+    assert got == {(1, URL(2)): ("$2", None, 0), (3, URL(1)): ("$1", None, 1), (4, URL(9)): ("$9", 1, 0), (5, URL(9)): ("$9", 1, 0)}
+    told = {(r.request_id, r.url): r.reason for r in run.outcomes.collect()}
+    assert told == {(2, URL(2)): BEYOND_RETRIES, (4, URL(4)): NO_PAGE, (6, None): requests.NOTHING_TO_DO}
+
+
+@pytest.mark.parametrize(("given", "want"), [("9" * 20, 200), ("-" + "9" * 30, 1), ("+7", 7), ("1e3", 5), ("", 5), ("9" * 18, 200)])
+def test_numbers_of_any_length(spark, given, want):
+    raw = spark.createDataFrame([(given,)], "max_results string")
+    assert requests.normalize_requests(raw).first().max_results == want
+
+
+def test_reviews_meet_products_by_item(spark):
+    products = spark.createDataFrame([("https://x/dp/B000000001?a=1", "B000000001"), ("u", None)], "url string, asin string")
+    products = products.withColumn("reviews", F.array().cast("array<struct<text:string,rating:string,date:string,verified:boolean,helpful_votes:int>>"))
+    rows = [("https://x/reviews/B000000001", "B000000001", 1, 0, "t", "5", None, True, 1), ("u", None, 1, 0, "v", "5", None, True, 1)]
+    shown = spark.createDataFrame(rows, "url string, asin string, round int, pos int, text string, rating string, date string, verified boolean, helpful_votes int")
+    out = reviews.attach_reviews(products, shown, 2).orderBy("url").collect()
+    assert [[r.text for r in row.reviews] for row in out] == [["t"], ["v"]]
+
+
+def test_possible_keeps_all_that_is_wanted(spark):
+    table = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id").cast("string")).alias("k"))
+    wanted = spark.range(100, 300).select(F.col("id").cast("string"))
+    kept = {r.k for r in possible(table, F.col("k"), wanted).collect()}
+    assert {str(n) for n in range(100, 300)} <= kept and len(kept) < 400 and None not in kept
+    assert possible(table, F.col("k"), wanted.limit(0)).count() == 0
+    # A small array lets more through, and loses nothing.
+    some = {r.k for r in possible(table, F.col("k"), wanted, bits=1 << 12).collect()}
+    assert kept <= some | kept and {str(n) for n in range(100, 300)} <= some
+    assert "SortMergeJoin" not in possible(table, F.col("k"), wanted)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_url_without_broadcasts(spark):
+    """Captures of one URL with most of all rows: chosen before anything is shuffled."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hot = spark.range(3_000).select(
+            F.lit(URL(1)).alias("url"), F.when(F.col("id") == 2_000, F.lit(page("$7"))).otherwise(F.lit("<p>")).alias("html"),
+            F.timestamp_seconds("id").alias("captured_at"),
+        )
+        stored = sources.as_snapshots(hot, 1)
+        run = pipeline.build_products(hot.select("url"), hot, snapshots=stored, as_of=now())
+        assert [r.price for r in run.products.collect()] == ["$7"]
+        seeds = hot.select("url").distinct()
+        found = snapshots.lookup(seeds, stored, F.timestamp_seconds(F.lit(3_000)))
+        assert [(r.status, r.html) for r in found.collect()] == [("hit", "<p>")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
