@@ -29,11 +29,13 @@ _MARKERS = [
     "US$", "MX$", "R$", "A$", "C$", "S$", "HK$", "CDN$", "$", "£",
     "€", "¥", "₹", "₩", "₽", "zł", "Rp", "RM",
 ]
+# Fixed value: a number as valid prices show it.
 _NUMERIC = (
     r"\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?|\d{1,3}(?:\.\d{3})+,\d{1,2}|\d+(?:,\d{1,2})?"
 )
 # Fixed values: "X out of 5" in the shops' languages.
 _RATING_PHRASE = r"(?iU)(\d+[.,]?\d*)\s*(?:von|sur|de|su|av|aus|van|da|af|di|over|of|out\s*of)\s*5\b"
+# Fixed value: a number from 0 to 5 as valid ratings show it.
 _RATING_NUMBER = r"(?:[0-4](?:\.[0-9])?|5(?:\.0)?)"
 
 

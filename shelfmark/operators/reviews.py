@@ -17,7 +17,10 @@ from shelfmark.schemas import PRODUCT, REVIEW, REVIEW_ITEM
 STALL_ROUNDS = 3
 # Vote counts written as words.
 _NUMBER_WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
+# The sentence around a vote count, a rating's wording, and what stands before a date.
 _HELPFUL = r"\s*(?:person|people)\s*found\s+this\s+helpful"
+_STARS = r"(?U)([\d.]+)\s*out\s*of\s*5"
+_BEFORE_DATE = r"(?idU)^.*?\b(?:on|am)\b\s*"
 
 
 def helpful_votes(text: Column) -> Column:
@@ -28,12 +31,12 @@ def helpful_votes(text: Column) -> Column:
 
 
 def review_rating(text: Column) -> Column:
-    return F.coalesce(extract(text, r"(?U)([\d.]+)\s*out\s*of\s*5", 1), text)
+    return F.coalesce(extract(text, _STARS, 1), text)
 
 
 def review_date(text: Column) -> Column:
     """Without the sentence up to the first word "on" or "am"."""
-    return F.regexp_replace(text, r"(?idU)^.*?\b(?:on|am)\b\s*", "")
+    return F.regexp_replace(text, _BEFORE_DATE, "")
 
 
 def extract_reviews(pages: DataFrame, *, rules: Sequence[Rule] = REVIEW_RULES) -> DataFrame:

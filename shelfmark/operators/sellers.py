@@ -10,15 +10,23 @@ from shelfmark.functions.text import extract, filled, first_of, strip
 
 # Phrases in the tabular box that mean marketplace fulfilment.
 _FULFILMENT = "fulfilled by amazon|ships from amazon|shipped from amazon"
+# What stands before a seller's or a place's name, and link texts that are no names.
 _SOLD_BY = r"(?idU)^\s*sold\s+by\b\s*:?\s*(.*)$"
+_BEFORE_SELLER = r"(?iU)^(?:Visit the|Sold by:?\s*)"
+_NO_SELLER = "^(?:see|visit|more)"
+_BEFORE_PLACE = r"(?iU)^(?:ships from|ships from:?\s*)"
+_NOTED_PLACE = r"(?idU)^.*?Ships from:\s*"
+# Stars and counts of a seller's rating.
+_STARS = r"(?U)([\d.]+)\s*out\s*of\s*5"
+_COUNT = r"(?iU)([\d,]+)\s*(?:ratings?|reviews?)"
 
 
 def seller_name(ranked_hits: Column, sold_by_nodes: Column) -> Column:
     """Ranked elements without generic link texts, then the element after "Sold by:"."""
 
     def named(hit: Column) -> Column:
-        name = strip(F.regexp_replace(hit["text"], r"(?iU)^(?:Visit the|Sold by:?\s*)", ""))
-        usable = (F.char_length(name) > 1) & ~F.lower(name).rlike("^(?:see|visit|more)")
+        name = strip(F.regexp_replace(hit["text"], _BEFORE_SELLER, ""))
+        usable = (F.char_length(name) > 1) & ~F.lower(name).rlike(_NO_SELLER)
         return F.when(usable, name)
 
     after_label = first_of(sold_by_nodes, lambda n: F.when(F.char_length(n["next_tight"]) > 1, n["next_tight"]))
@@ -37,8 +45,8 @@ def seller_rating(rating_hits: Column, feedback: Column) -> Column:
 
     def step(found: Column, hit: Column) -> Column:
         done = found["rating"].isNotNull() & found["count"].isNotNull()
-        stars = extract(hit["text"], r"(?U)([\d.]+)\s*out\s*of\s*5", 1)
-        count = F.replace(extract(hit["text"], r"(?iU)([\d,]+)\s*(?:ratings?|reviews?)", 1), F.lit(","), F.lit(""))
+        stars = extract(hit["text"], _STARS, 1)
+        count = F.replace(extract(hit["text"], _COUNT, 1), F.lit(","), F.lit(""))
         return F.when(done, found).otherwise(
             F.struct(
                 F.coalesce(stars, found["rating"]).alias("rating"),
@@ -72,11 +80,11 @@ def ships_from(ranked_hits: Column, buybox: Column) -> Column:
     """Ranked elements, then a "Ships from:" text of the buy box (of the page if there is none)."""
 
     def place(hit: Column) -> Column:
-        name = strip(F.regexp_replace(hit["text"], r"(?iU)^(?:ships from|ships from:?\s*)", ""))
+        name = strip(F.regexp_replace(hit["text"], _BEFORE_PLACE, ""))
         return F.when(F.char_length(hit["text"]) > 3, filled(name))
 
     def noted(node: Column) -> Column:
-        name = strip(F.regexp_replace(node["parent_tight"], r"(?idU)^.*?Ships from:\s*", ""))
+        name = strip(F.regexp_replace(node["parent_tight"], _NOTED_PLACE, ""))
         return F.when(F.char_length(name) > 2, name)
 
     return F.coalesce(
