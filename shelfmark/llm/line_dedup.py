@@ -87,8 +87,8 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_column: str = "doc_
     """The documents, all columns, with recurring lines gone from the text, and ``n_lines`` (lines with a word) and
     ``n_dropped`` added (prefixed ``lines_`` where such a column exists).
 
-    Rows are documents: rows that repeat an id and a text count each. Lines without a word are never dropped, and
-    lines that stay keep their bytes and order. A NULL text stays NULL, with 0 lines; a text whose
+    Rows that repeat an id and a text are one document (though each counts when constant tokens are found) and get the same
+    result. Lines without a word are never dropped, and lines that stay keep their bytes and order. A NULL text stays NULL, with 0 lines; a text whose
     lines all recur becomes "".
     """
     folder = work_folder(docs.sparkSession, "line-dedup")

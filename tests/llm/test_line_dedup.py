@@ -91,9 +91,13 @@ def test_one_document_alone_repeats_nothing(spark):
 
 def test_null_ids_repeated_rows_and_columns(spark):
     rows = [(None, "a b c d e", 1), (1, "a b c d e", 2), (1, "a b c d e", 2), (2, None, 3)]
+    twice = L.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, n_lines int"))
+    assert {r.n_dropped for r in twice.collect()} == {0}  # two documents hold it
+    rows[0:0] = [(4, "a b c d e", 1)]
     frame = L.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, n_lines int"))
     assert frame.columns == ["doc_id", "text", "n_lines", "lines_n_lines", "n_dropped"]
-    assert sorted((str(r.doc_id), r.text, r.n_lines, r.lines_n_lines, r.n_dropped) for r in frame.collect()) == [("1", "", 2, 1, 1), ("1", "", 2, 1, 1), ("2", None, 3, 0, 0), ("None", "", 1, 1, 1)]
+    found = sorted((str(r.doc_id), r.text, r.n_lines, r.lines_n_lines, r.n_dropped) for r in frame.collect())
+    assert found == [("1", "", 2, 1, 1), ("1", "", 2, 1, 1), ("2", None, 3, 0, 0), ("4", "", 1, 1, 1), ("None", "", 1, 1, 1)]
 
 
 def test_empty_table(spark):
