@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm._joins import split_join
+
 HASHES = 2
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 30
@@ -86,8 +88,8 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         *docs.columns, F.col(id_column).alias(keep), F.lit(1).cast("bigint").alias(size), F.lit(True).alias(kept), sha
     )
     maybe = rows.filter("exact_maybe").drop("exact_maybe")
-    groups = maybe.groupBy(F.col(sha).alias("exact_key")).agg(F.min(id_column).alias(keep), F.count("*").alias(size))
-    grouped = maybe.join(groups, maybe[sha] == groups["exact_key"])
+    groups = maybe.groupBy(sha).agg(F.min(id_column).alias(keep), F.count("*").alias(size))
+    grouped = split_join(maybe, groups, [sha])
     grouped = grouped.withColumn(kept, F.col(id_column).eqNullSafe(F.col(keep)))
     return alone.unionByName(grouped.select(*docs.columns, keep, size, kept, sha))
 

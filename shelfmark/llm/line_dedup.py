@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm._joins import split_join
 from shelfmark.llm.exact_dedup import filter_bits, maybe_repeated, repeated_positions
 from shelfmark.session import work_folder
 
@@ -62,13 +63,13 @@ def recurring_lines(docs: DataFrame, folder: str, min_docs: int = MIN_DOCS, id_c
     shapes.write.parquet(f"{folder}/shapes")
     shapes = spark.read.parquet(f"{folder}/shapes")
     leaves = shapes.groupBy("leaf").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
-    tokens = shapes.join(leaves, "leaf").select("shape", "leaf", "docs", F.posexplode(F.split("shaped", " ")).alias("at", "token"))
+    tokens = split_join(shapes, leaves, ["leaf"]).select("shape", "leaf", "docs", F.posexplode(F.split("shaped", " ")).alias("at", "token"))
     tokens = tokens.select("shape", "leaf", "docs", "at", F.when(F.col("token") != VARIABLE, F.xxhash64("token")).alias("token"))
     constant = (
         tokens.filter("token IS NOT NULL").groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs)
         .select("leaf", "at", "token", F.lit(1).alias("constant"))
     )
-    seen = tokens.join(constant, ["leaf", "at", "token"], "left")
+    seen = split_join(tokens, constant, ["leaf", "at", "token"], "left")
     shown = F.when(F.col("constant") == 1, F.col("token")).otherwise(0)
     patterns = seen.groupBy("shape", "leaf").agg(
         F.count("constant").alias("fixed"),
@@ -79,7 +80,7 @@ def recurring_lines(docs: DataFrame, folder: str, min_docs: int = MIN_DOCS, id_c
     patterns = patterns.filter(100 * F.col("fixed") >= MIN_CONSTANT_PERCENT * F.col("n")).select("shape", F.xxhash64("leaf", "h1", "h2").alias("pattern"))
     holding = shared.select("row", "shape").join(patterns, "shape")
     recurring = holding.select("row", "pattern").distinct().groupBy("pattern").count().filter(F.col("count") >= min_docs).select("pattern")
-    dropped = holding.join(recurring, "pattern").select("row", "shape")
+    dropped = split_join(holding, recurring, ["pattern"]).select("row", "shape")
     return dropped.groupBy("row").agg(F.collect_set("shape").alias("shapes"))  # at most a document's own lines
 
 

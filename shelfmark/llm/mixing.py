@@ -1,7 +1,8 @@
 """Mixing documents to target weights by soft membership, with DataFrame functions alone.
 
-A naive Bayes classifier, trained on a bounded sample of a labelled table, gives every document a probability for
-each domain. Documents then get nonnegative rates r, so that the expected tokens of the domains,
+A classifier, trained on a bounded sample of a labelled table, gives every document a probability for
+each domain: naive Bayes weights, moved towards 0 by what chance may explain, are summed to the evidence for each
+domain, and the shares of the domains among labelled texts of like evidence are the probabilities. Documents then get nonnegative rates r, so that the expected tokens of the domains,
 S_k = sum of r * p_k * tokens, come to their targets T_k: least squares by projected gradient steps. With c = p * tokens
 a step is r <- max(0, r - c . g), g = G^-1 (S - T), G = sum of c c' over documents with a rate above 0 (domains by
 domains); G^-1 measures the error in coordinates in which one step is the right length. Steps begin at r = 1, so
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 from shelfmark.session import work_folder
 
 SAMPLE = 16_000  # labelled rows the classifier is trained on, about, at most
-FEATURES = 1 << 14
-PRIOR = 50  # texts' worth of the overall share in a domain's share of a feature
-SHARPNESS = 1.5
+FEATURES = 1 << 18
+PRIOR = 5  # texts' worth of the overall share in a domain's share of a feature
+MARGIN = 2.0  # standard errors that a weight is moved towards 0
+BIN, BINS = 1.0, 8  # width of a class of evidence, and classes to either side of 0
+BACKING = 4  # texts' worth of naive Bayes in the shares of a class
 STEPS = 25
 TOLERANCE = 1e-3  # of the targets' sum
 WHITE_RUN = r"[\x20\x09-\x0D]+"
@@ -64,11 +67,26 @@ def _features(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Classifier:
-    """``weights``: (place, w0, w1, ...), a row for every place, columns in the order of ``domains``."""
+    """``weights``: (place, w0, w1, ...), places that say something, and place 0; ``classes``: (class, n, n0, n1, ...), labelled
+    texts by class of evidence and domain. Columns are in the order of ``domains``."""
 
     domains: list[str]
-    priors: list[float]
+    shares: list[float]
     weights: DataFrame
+    classes: DataFrame
+
+
+def _evidence(features: DataFrame, keys: list[str], classifier: Classifier) -> DataFrame:
+    """``keys``, ``times`` (rows with these keys), the evidence s0, s1, ... for each domain, and its class.
+
+    Weights are at most FEATURES + 1 rows, so they are broadcast; a document's features are summed before the shuffle.
+    """
+    n = len(classifier.domains)
+    joined = features.join(F.broadcast(classifier.weights), "place")
+    sums = joined.groupBy(*keys).agg(F.count_if(F.col("place") == 0).alias("times"), *(F.sum(f"w{k}").alias(f"s{k}") for k in range(n)))
+    sums = sums.withColumns({f"s{k}": F.col(f"s{k}") / F.col("times") for k in range(n)})  # repeated rows were summed together
+    bins = [F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col(f"s{k}") / BIN))).cast("int").cast("string") for k in range(n)]
+    return sums.withColumn("class", F.concat_ws(" ", *bins) if n else F.lit(""))
 
 
 def train(docs: DataFrame, labelled: DataFrame, folder: str, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE) -> Classifier:
@@ -82,46 +100,57 @@ def train(docs: DataFrame, labelled: DataFrame, folder: str, id_column: str = "d
     share = min(1.0, sample / max(1, rows.count()))
     chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    known = _features(texts.join(F.broadcast(chosen), "id").select("domain", "text"))
-    known.groupBy("domain", "place").count().write.parquet(f"{folder}/counts")
-    counts = spark.read.parquet(f"{folder}/counts")  # at most FEATURES + 1 rows for a domain
-    sizes = {row["domain"]: row["count"] for row in counts.filter("place = 0").collect()}
+    known = texts.join(F.broadcast(chosen), "id").select(F.xxhash64("id", "text").alias("row"), "domain", "text")
+    _features(known).select("row", "domain", "place").write.parquet(f"{folder}/known")
+    known = spark.read.parquet(f"{folder}/known")
+    # Weights come from one half of the texts, the shares of the domains by evidence from the other.
+    half = F.pmod(F.xxhash64("row", F.lit(29)), F.lit(2))
+    counts = known.filter(half == 0).groupBy("domain", "place").count()
+    sizes = {row["domain"]: row["count"] for row in known.filter("place = 0").groupBy("domain").count().collect()}
     domains, total = sorted(sizes), sum(sizes.values())
-    of = [F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("count"))), F.lit(0)).alias(f"n{k}") for k, d in enumerate(domains)]
-    by_place = spark.range(0, FEATURES + 1).select(F.col("id").cast("int").alias("place")).join(counts, "place", "left")
-    by_place = by_place.groupBy("place").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), *of)
-    overall = (F.col("n") + 0.01) / (total + 0.02)
-    weights = [
-        F.when(F.col("place") == 0, 0.0).otherwise(F.log((F.col(f"n{k}") + PRIOR * overall) / (sizes[d] + PRIOR)) - F.log(overall)).alias(f"w{k}")
-        for k, d in enumerate(domains)
-    ]
-    by_place.select("place", *weights).write.parquet(f"{folder}/weights")
-    return Classifier(domains, [math.log(sizes[d] / total) for d in domains], spark.read.parquet(f"{folder}/weights"))
+    firsts = {row["domain"]: row["count"] for row in counts.filter("place = 0").collect()}
+    half_total = sum(firsts.values())
+
+    def by_domain(column: str):
+        return [F.coalesce(F.sum(F.when(F.col("domain") == d, F.col(column))), F.lit(0)).alias(f"n{k}") for k, d in enumerate(domains)]
+
+    places = counts.groupBy("place").agg(F.sum("count").alias("n"), *by_domain("count"))
+    overall = (F.col("n") + 0.01) / (half_total + 0.02)
+    weights = []
+    for k, d in enumerate(domains):
+        odds = F.log((F.col(f"n{k}") + PRIOR * overall) / (firsts.get(d, 0) + PRIOR)) - F.log(overall)
+        error = MARGIN / F.sqrt(F.col(f"n{k}") + PRIOR * overall)
+        sure = F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - error)
+        weights.append(F.when(F.col("place") == 0, 0.0).otherwise(sure).alias(f"w{k}"))
+    telling = F.col("place") == 0
+    for k in range(len(domains)):
+        telling = telling | (F.col(f"w{k}") != 0)
+    none = spark.range(1).select(F.lit(0).alias("place"), *(F.lit(0.0).alias(f"w{k}") for k in range(len(domains))))
+    places.select("place", *weights).filter(telling & (F.col("place") > 0)).union(none).write.parquet(f"{folder}/weights")
+    found = Classifier(domains, [sizes[d] / total for d in domains], spark.read.parquet(f"{folder}/weights"), None)
+    seen = _evidence(known.filter(half == 1), ["row", "domain"], found).groupBy("class").agg(F.sum("times").alias("n"), *by_domain("times"))
+    seen.write.parquet(f"{folder}/classes")
+    found.classes = spark.read.parquet(f"{folder}/classes")
+    return found
 
 
 def members(docs: DataFrame, classifier: Classifier, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Each row of ``docs`` as (id, row, n_tokens, chances); ``row`` is a hash of id and text.
 
-    Weights are a table of FEATURES + 1 rows, so it is broadcast; what a document's features say is summed before the shuffle.
+    Chances are the shares of the domains among labelled texts of the same class of evidence, backed by naive Bayes where there are few.
+    The classes are at most as many as labelled texts in the sample, so they are broadcast.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("id", "text"))
+    features = _features(rows.withColumn("row", F.xxhash64("id", "text")))
+    found = _evidence(features, ["row", "id", "n_tokens"], classifier).join(F.broadcast(classifier.classes), "class", "left")
     n = len(classifier.domains)
-    joined = _features(rows).join(F.broadcast(classifier.weights), "place")
-    summed = joined.groupBy("row", "id", "n_tokens").agg(
-        F.count_if(F.col("place") == 0).alias("times"), F.count("*").alias("features"), *(F.sum(f"w{k}").alias(f"s{k}") for k in range(n))
-    )
-    # Repeated rows have been summed together.
-    scale = SHARPNESS / F.sqrt(F.col("features") / F.col("times"))
-    scores = [F.col(f"s{k}") / F.col("times") * scale + classifier.priors[k] for k in range(n)]
-    found = summed.select("id", "row", "n_tokens", "times", *(score.alias(f"s{k}") for k, score in enumerate(scores)))
+    chances = F.array().cast("array<double>")
     if n:
-        top = F.greatest(*(F.col(f"s{k}") for k in range(n))) if n > 1 else F.col("s0")
-        found = found.withColumns({f"s{k}": F.exp(F.col(f"s{k}") - top) for k in range(n)})
+        top = F.greatest(*(F.col(f"s{k}") for k in range(n)), F.lit(-1e300))
+        found = found.withColumns({f"s{k}": F.exp(F.col(f"s{k}") - top) * share for k, share in enumerate(classifier.shares)})
         whole = sum((F.col(f"s{k}") for k in range(n)), F.lit(0.0))
-        chances = F.array(*(F.col(f"s{k}") / whole for k in range(n)))
-    else:
-        chances = F.array().cast("array<double>")
+        backed = [F.coalesce(F.col(f"n{k}"), F.lit(0)) + BACKING * F.col(f"s{k}") / whole for k in range(n)]
+        chances = F.array(*(b / (F.coalesce("n", F.lit(0)) + BACKING) for b in backed))
     found = found.select("id", "row", "n_tokens", chances.alias("chances"), "times")
     return found.withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))).drop("times", "time")
 

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.llm._joins import split_join
 from shelfmark.session import work_folder
 
 ARCHIVE_BYTES = 64 << 20  # a task begins another archive after so many
@@ -183,7 +184,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_column:
         .select("key", "target")
     )
     target = F.when(F.col("page_id") < F.col("target"), F.col("target"))
-    rows = rows.join(last, "key", "left").select("page_id", "url", "payload", target.alias("target"))
+    rows = split_join(rows, last, ["key"], "left").select("page_id", "url", "payload", target.alias("target"))
     rows.mapInArrow(partial(_write, folder=f"{folder}/archives"), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
