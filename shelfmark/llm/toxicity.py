@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE = 16_000  # labelled texts that the model is fitted on, about, at most
-STEMS = (4, 5, 6)  # lengths of word beginnings that are entries of their own
+STEMS = (4, 5, 6, 7, 8)  # lengths of word beginnings that are entries of their own
 LONGEST = 24  # letters of an entry
 MIN_TEXTS = 4  # toxic texts that an entry must stand in
 MIN_ODDS = 2.0  # log-odds of an entry after the margin
@@ -110,7 +110,7 @@ def strength(folded: str, machine: ahocorasick.Automaton | None) -> float:
         elif length > best.get(start, (0, 0.0))[0]:
             best[start] = (length, weight)
     total = sum(weight for at, (_, weight) in best.items() if not any(a <= at < b for a, b in free))
-    return total / math.log2(4 + len(plain) / 1024)
+    return total / math.log2(2 + len(plain) / 16384)
 
 
 def lexicon(counts: list[tuple[str, int, int]], toxic: int, other: int) -> dict[str, float]:
