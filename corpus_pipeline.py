@@ -10,20 +10,22 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfmark.llm.bpe import bpe_round_trip
 from shelfmark.llm.exact_dedup import exact_dedup
 from shelfmark.llm.mixing import mixed
 from shelfmark.llm.near_dedup import near_dedup
-from shelfmark.llm.quality import quality_filter
-from shelfmark.llm.queries import TARGETS, domains
+from shelfmark.llm.quality import fit, quality_filter
+from shelfmark.llm.queries import TARGETS, domains, fit_split
 from shelfmark.session import configure, ship, work_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the compression bands."""
+    """Documents that pass the base rules and the compression bands, which clean labelled documents set."""
     configure(ship(spark))
-    return quality_filter(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_filter(docs, limits=fit(docs, labels, usable=fit_split(F.col("id"))))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

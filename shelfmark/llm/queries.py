@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, token_counts, token_files, toxicity, warc
@@ -37,6 +37,11 @@ def domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain"))
 
 
+def fit_split(identity: Column) -> Column:
+    """Ids whose labels quality limits may be fitted on: those that toxicity may use, too."""
+    return F.crc32(identity.cast("string").cast("binary")) % 3 != 1
+
+
 @query(
     "op1_near_dedup",
     r"""
@@ -109,7 +114,9 @@ def op4_line_dedup(spark, sf_dir):
 
 @query("op5_quality")
 def op5_quality(spark, sf_dir):
-    found = quality.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    limits = quality.fit(docs, table(spark, sf_dir, "labels"), usable=fit_split(F.col("id")))
+    found = quality.judged(docs, keep=["doc_id"], limits=limits)
     names = [*quality.COUNTS, "base_failed", "kept", "ratio", "n_chunks", "bad_chunks"]
     return found.select("doc_id", *(F.col(f"quality_{name}").alias(name) for name in names))
 
