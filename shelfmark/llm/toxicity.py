@@ -6,7 +6,8 @@ other alphabets become Latin ones, and digits and signs inside a word become the
 The lexicon is learned from a bounded sample of labelled texts: whole words and beginnings of words that toxic
 texts hold far more often than others. An entry's weight is its log-odds less a margin for chance. A
 text's strength is the sum of weights (of entries that begin at the same place the longest counts, and nothing counts inside
-an exception phrase), divided by a slowly growing function of its length. One logistic step, fitted
+an exception phrase), divided by what chance hits come to in a clean text of its length: a floor for short texts, the expected sum, and
+some standard deviations. So the strength of clean texts has a bound that no length passes. One logistic step, fitted
 on the same sample, turns the strength into a probability.
 """
 
@@ -37,6 +38,9 @@ MARGIN = 1.5  # standard errors
 MAX_ENTRIES = 20_000
 COUNTED = 1 << 19  # features that a task holds before it passes their counts on
 THRESHOLD = 0.7
+FLOOR = 4.0  # sum of weights that any text is allowed, about that of one entry
+DEVIATIONS = 3.0  # standard deviations of the sum of chance hits that a text is allowed
+PRIOR_SIZE = 100_000  # characters' worth of CHANCE in what is learned about chance hits
 
 # Phrases in which a lexicon word does no harm.
 EXCEPTIONS = (
@@ -75,6 +79,20 @@ def features(folded: str) -> set[str]:
     return {w + " " for w in words} | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
 
 
+@dataclass(frozen=True)
+class Chance:
+    """Sum of chance hits' weights in clean texts: mean and variance per character."""
+
+    rate: float
+    spread: float
+
+    def allowed(self, size: float) -> float:
+        return FLOOR + self.rate * size + DEVIATIONS * math.sqrt(self.spread * size)
+
+
+CHANCE = Chance(5e-5, 2e-4)  # before labels say more
+
+
 @dataclass
 class Model:
     """``entries``: " idiot " is a word, " idio" a beginning."""
@@ -83,6 +101,7 @@ class Model:
     exceptions: tuple[str, ...] = EXCEPTIONS
     slope: float = 1.0
     offset: float = -4.0
+    chance: Chance = CHANCE
     key: str = field(default_factory=lambda: uuid4().hex)
 
     def automaton(self) -> ahocorasick.Automaton | None:
@@ -97,10 +116,11 @@ class Model:
         return machine
 
 
-def strength(folded: str, machine: ahocorasick.Automaton | None) -> float:
-    if machine is None:
-        return 0.0
+def weighed(folded: str, machine: ahocorasick.Automaton | None) -> tuple[float, int]:
+    """Sum of the weights of a text's hits, and its length in characters."""
     plain = " " + _BREAK.sub(" ", folded) + " "
+    if machine is None:
+        return 0.0, len(plain)
     best: dict[int, tuple[int, float]] = {}
     free: list[tuple[int, int]] = []
     for end, (length, weight) in machine.iter(plain):
@@ -109,8 +129,19 @@ def strength(folded: str, machine: ahocorasick.Automaton | None) -> float:
             free.append((start, end))
         elif length > best.get(start, (0, 0.0))[0]:
             best[start] = (length, weight)
-    total = sum(weight for at, (_, weight) in best.items() if not any(a <= at < b for a, b in free))
-    return total / math.log2(2 + len(plain) / 16384)
+    return float(sum(weight for at, (_, weight) in best.items() if not any(a <= at < b for a, b in free))), len(plain)
+
+
+def strength(folded: str, machine: ahocorasick.Automaton | None, chance: Chance = CHANCE) -> float:
+    total, size = weighed(folded, machine)
+    return total / chance.allowed(size)
+
+
+def chance_hits(totals: np.ndarray, sizes: np.ndarray) -> Chance:
+    """From clean texts' sums and lengths."""
+    whole = sizes.sum() + PRIOR_SIZE
+    rate = (totals.sum() + CHANCE.rate * PRIOR_SIZE) / whole
+    return Chance(float(rate), float((((totals - rate * sizes) ** 2).sum() + CHANCE.spread * PRIOR_SIZE) / whole))
 
 
 def lexicon(counts: list[tuple[str, int, int]], toxic: int, other: int) -> dict[str, float]:
@@ -168,21 +199,23 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _MACHINES: dict[str, ahocorasick.Automaton | None] = {}
 
 
-def _strengths(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
     model = sent.value
     if model.key not in _MACHINES:
         _MACHINES.clear()
         _MACHINES[model.key] = model.automaton()
     machine = _MACHINES[model.key]
     for batch in batches:
-        values = [strength(fold(text or ""), machine) for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["id", "strength"])
+        values = [weighed(fold(text or ""), machine) for text in batch.column(1).to_pylist()]
+        totals, sizes = pa.array([v[0] for v in values], pa.float64()), pa.array([v[1] for v in values], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), totals, sizes], ["id", "total", "size"])
 
 
 def _scored(rows: DataFrame, model: Model) -> DataFrame:
-    """``rows`` (id, text) to (id, strength)."""
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("strength", T.DoubleType())])
-    return rows.mapInArrow(partial(_strengths, sent=rows.sparkSession.sparkContext.broadcast(model)), schema)
+    """``rows`` (id, text) to (id, total, size)."""
+    fields = [T.StructField("id", rows.schema["id"].dataType), T.StructField("total", T.DoubleType()), T.StructField("size", T.LongType())]
+    schema = T.StructType(fields)
+    return rows.mapInArrow(partial(_sums, sent=rows.sparkSession.sparkContext.broadcast(model)), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_column: str = "doc_id", text_column: str = "text",
@@ -208,8 +241,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
     top = telling.orderBy(F.desc("p"), "feature").limit(MAX_ENTRIES).collect()
     model = Model(lexicon([(r.feature, r.p, r.n) for r in top], toxic, other))
     measured = _scored(known.select(F.col("label").alias("id"), "text"), model).collect()
-    values, marks = np.array([r.strength for r in measured]), np.array([r.id for r in measured], dtype=float)
-    model.slope, model.offset = logistic(values, marks) if len(marks) else (1.0, -4.0)
+    if measured:
+        totals, sizes, marks = (np.array([r[name] for r in measured], dtype=float) for name in ("total", "size", "id"))
+        model.chance = chance_hits(totals[marks == 0], sizes[marks == 0])
+        values = totals / np.array([model.chance.allowed(size) for size in sizes])
+        model.slope, model.offset = logistic(values, marks)
     return model
 
 
@@ -220,6 +256,8 @@ def toxicity(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     same score, NULL ids are rows like others, other columns are not read.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    chance = 1 / (1 + F.exp(-(F.col("strength") * model.slope + model.offset)))
+    size = F.col("size")
+    allowed = FLOOR + model.chance.rate * size + DEVIATIONS * F.sqrt(model.chance.spread * size)
+    chance = 1 / (1 + F.exp(-(F.col("total") / allowed * model.slope + model.offset)))
     scored = _scored(rows, model).select(F.col("id").alias(id_column), chance.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -85,3 +85,25 @@ def test_repeated_and_null_labels(spark):
     docs = spark.createDataFrame([(i % 50, text(i % 50 % 2 == 0, i % 50)) for i in range(100)] + [(None, "grobnar")], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(50)] * 2 + [(None, 1), (3, None)], "doc_id bigint, toxic int")
     assert X.toxicity(docs, X.fit(docs, labels)).count() == 101
+
+
+def test_chance_hits_do_not_add_up(spark):
+    """Entries that stand in clean texts now and then; texts joined from held-out clean ones, with a toxic passage and without."""
+    generator = random.Random(5)
+    stems = ["ta", "lo", "min", "ker", "vas", "ou", "del", "pri", "sen", "gol"]
+
+    def passage(toxic):
+        words = ["".join(generator.choices(stems, k=generator.choice([2, 3]))) for _ in range(200)]
+        for _ in range(6 if toxic else generator.random() < 0.05):
+            words[generator.randrange(200)] = generator.choice(INSULTS)
+        return " ".join(words)
+
+    rows = [(i, passage(i % 9 == 0), int(i % 9 == 0)) for i in range(1800)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    model = X.fit(docs, spark.createDataFrame([r[::2] for r in rows], "doc_id bigint, toxic int"))
+    sizes = [50, 100, 200, 400]  # passages, of more than 1,000 characters each
+    joined = ["\n".join(passage(False) for _ in range(n)) for n in sizes for _ in range(3)]
+    assert all(r.predicted == 0 for r in score(spark, model, joined).values())
+    toxic = " ".join(passage(True) for _ in range(3))
+    held = ["\n".join([*(passage(False) for _ in range(n)), toxic]) for n in (0, 5, 20, 50) for _ in range(3)]
+    assert all(r.predicted == 1 for r in score(spark, model, held).values())
