@@ -33,10 +33,12 @@ MIN_BUCKETS = 16
 LEVEL = 3
 WORDS, NUMBERS, TEXTS = 0, 1, 2
 
-# Texts of these characters alone are cut by one pattern; others by the tokenizer's own normaliser and splitter.
-_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-įı-ɏ]*")
-# Fixed value: the word pattern of the tokenizer file, for such characters in lower case.
+# Fixed value: the word pattern of the tokenizer file, for the characters of _PLAIN in lower case.
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ɏß]+|[0-9]|[^\\sa-zà-öø-ɏß0-9]+")
+_LETTERS = re.compile("[a-zà-öø-ɏß]+")
+# Texts of these characters alone are cut by one pattern; others by the tokenizer's own normaliser and splitter. The small forms of
+# some capitals (Ə, Ɔ, Ɛ, İ) are not among the pattern's letters.
+_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e" + "".join(c for c in map(chr, range(0xC0, 0x250)) if _LETTERS.fullmatch(c.lower())) + "]*")
 
 
 class Splitter:

@@ -58,6 +58,14 @@ def test_bpe_matches_the_library(docs):
     assert sorted(found, key=str) == sorted(wanted, key=str)
 
 
+def test_latin_letters_are_cut_as_by_the_library():
+    splitter, tokenizer = bpe._splitter(WORD), library(WORD)
+    for code in range(0xC0, 0x250):
+        for text in (f"a{chr(code)}b", chr(code), f"{chr(code)}{chr(code)} x{chr(code)}"):
+            normal = tokenizer.normalizer.normalize_str(text)
+            assert splitter.split(text) == [normal[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(normal)], hex(code)
+
+
 def test_bpe_with_many_blocks_and_groups(docs, monkeypatch):
     split = bpe._Block
     monkeypatch.setattr(bpe, "BLOCK_BYTES", 1000)
