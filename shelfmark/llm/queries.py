@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, token_counts, token_files, toxicity, warc
+from shelfmark.llm import (
+    bpe, exact_dedup, hard_negatives, lexical, line_dedup, mixing, near_dedup, quality, sharding, token_counts, token_files, toxicity, warc,
+)
+from shelfmark.session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,3 +167,83 @@ def op9_token_files(spark, sf_dir):
 def op10_exact_dedup(spark, sf_dir):
     found = exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query(
+    "op11_sharding",
+    r"""
+    WITH powers AS (
+      SELECT list(v ORDER BY b) AS crc FROM (
+        SELECT b, list_reduce(list_prepend(b, generate_series(1, 8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+        FROM (SELECT unnest(generate_series(0::BIGINT, 255::BIGINT)) AS b))),
+    d AS (
+      SELECT *, coalesce('=' || source, '') AS s, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+             list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, doc_id NULLS FIRST, text NULLS FIRST) - 1 AS r, count(*) OVER (PARTITION BY s) AS n FROM d),
+    line AS (SELECT *, row_number() OVER (ORDER BY (2 * r + 1)::DOUBLE / (2 * n), n, s) - 1 AS g, count(*) OVER () AS total FROM ranked)
+    SELECT doc_id, CAST(len(bytes) + 8 AS BIGINT) AS size,
+           xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) AS text_crc32,
+           'rows' AS law, CAST(g * 24 // total AS INTEGER) AS shard, CAST(g - (g * 24 // total * total + 23) // 24 AS BIGINT) AS slot,
+           CAST(NULL AS INTEGER) AS grown_shard
+    FROM line, powers""",
+)
+def op11_sharding(spark, sf_dir):
+    found = sharding.write_shards(table(spark, sf_dir, "documents"), work_folder(spark, "shards"), shards=24)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return found.select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("bigint").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query(
+    "op12_hard_negatives",
+    r"""
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.c, b.c) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.c) = len(b.c) WHERE a.vec_id % 50 = 0),
+    p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+           id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 3""",
+)
+def op12_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    asked = rows.select(
+        F.col("vec_id").alias("id"), label.alias("label"), hard_negatives.whole_components(F.col("embedding")).alias("vector"), (F.col("vec_id") % 50 == 0).alias("anchor")
+    )
+    return hard_negatives.hard_negatives(asked)
+
+
+@query(
+    "op13_lexical_search",
+    r"""
+    WITH t AS (
+      SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    i AS (
+      SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+    whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM d),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM t SEMI JOIN i USING (term) GROUP BY doc_id, term),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, whole GROUP BY term, docs),
+    part AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // l))) AS part FROM tf JOIN w USING (term) JOIN d USING (doc_id), whole),
+    s AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM i JOIN part USING (term) GROUP BY item_id, doc_id HAVING sum(part) > 0)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s
+    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
+)
+def op13_lexical_search(spark, sf_dir):
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

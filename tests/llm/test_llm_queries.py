@@ -18,8 +18,8 @@ def test_query(spark, name):
     assert oracle.differences(queries.QUERIES[name](spark, SF_DIR), oracle.connect(SF_DIR), queries.ORACLES[name]) is None
 
 
-def test_ten_queries():
-    assert [int(name[2:].split("_")[0]) for name in queries.QUERIES] == list(range(1, 11))
+def test_the_queries():
+    assert [int(name[2:].split("_")[0]) for name in queries.QUERIES] == list(range(1, 14))
 
 
 def test_stages_one_by_one(spark, tmp_path):
