@@ -62,7 +62,8 @@ def _indexed(rows: DataFrame, folder: str) -> DataFrame:
 class _Bucket:
     """A bucket's rows, the longest first, and sorted lists of their normalised components."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, first: int = FIRST):
+        self.first = first
         vectors = _matrix(table)
         lengths = table["length"].to_numpy()
         order = np.argsort(-lengths, kind="stable")
@@ -87,10 +88,10 @@ class _Bucket:
 
     def candidates(self, anchor: np.ndarray, length: float, least: int) -> np.ndarray | slice:
         """Rows after the first ones that may have a score of ``least`` or more."""
-        rest = slice(FIRST, None)
-        if len(self.ids) <= FIRST or least <= 0:
+        rest = slice(self.first, None)
+        if len(self.ids) <= self.first or least <= 0:
             return rest
-        reach = length * self.lengths[FIRST]
+        reach = length * self.lengths[self.first]
         if least > reach * (1 + SLACK):
             return slice(0, 0)
         turn = np.arccos(min(1.0, least / reach)) + SLACK
@@ -110,7 +111,7 @@ class _Bucket:
         for coordinate, least_value, greatest in zip(focus, low, high, strict=True):
             values = self.unit[found, coordinate]
             found = found[(values >= least_value) & (values <= greatest)]
-        return found[found >= FIRST]
+        return found[found >= self.first]
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
@@ -124,20 +125,20 @@ def _best(ids: np.ndarray, scores: np.ndarray, low: int, high: int, k: int) -> n
     return inside[np.lexsort((ids[inside], -scores[inside]))[:k]]
 
 
-def _searcher(k: int, same_label: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _searcher(k: int, same_label: bool, first_rows: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A function from a bucket's rows and a block's anchors to the ``k`` best rows of each band of an anchor."""
 
     def search(rows: pa.Table, anchors: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if rows.num_rows and anchors.num_rows:
-            bucket = _Bucket(rows)
+            bucket = _Bucket(rows, first_rows)
             asked = zip(
                 anchors["id"].to_pylist(), anchors["label"].to_pylist(), anchors["length"].to_pylist(), _matrix(anchors), anchors["bands"].to_pylist(), strict=True
             )
             for identity, label, length, vector, bands in asked:
                 allowed = bucket.labels == label
                 allowed = allowed & (bucket.ids != identity) if same_label else ~allowed
-                first = np.nonzero(allowed[:FIRST])[0]
+                first = np.nonzero(allowed[:first_rows])[0]
                 scores = bucket.scores(first, vector, length)
                 lows = []
                 for band in bands:
@@ -168,7 +169,7 @@ def _search(rows: DataFrame, anchors: DataFrame, pairs: DataFrame, k: int, same_
     keys = ["dims", "bucket", "block"]
     # New names, as both sides come from one table of pairs.
     right = right.withColumns({f"met_{name}": F.col(name) for name in keys}).drop(*keys)
-    return left.groupBy(*keys).cogroup(right.groupBy(*(f"met_{name}" for name in keys))).applyInArrow(_searcher(k, same_label), FOUND)
+    return left.groupBy(*keys).cogroup(right.groupBy(*(f"met_{name}" for name in keys))).applyInArrow(_searcher(k, same_label, FIRST), FOUND)
 
 
 def _pairs(buckets: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -232,7 +233,8 @@ def hard_negatives(
     asked = anchors.join(bounds, "id", "left").withColumn("bands", open_bands(F.coalesce("kth", F.lit(LEAST)))).drop("kth")
     others = order.where("nth > 1").drop("nth")
     more = _search(table, asked, _pairs(others, blocks_of(asked, own), own), positives, True)
-    _top(first.union(more), ["anchor_id"], positives).write.parquet(f"{folder}/positives")
+    # A bucket that ends one label and begins the next can be met in both turns.
+    _top(first.union(more).distinct(), ["anchor_id"], positives).write.parquet(f"{folder}/positives")
     found = spark.read.parquet(f"{folder}/positives")
 
     # Negatives: a band of scores for each positive. Below 0 the band is empty, as it is where no whole number lies in it.

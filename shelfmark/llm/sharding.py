@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.session import work_folder
 
-ZONE_ROWS = 4096
+ZONE_ROWS = 1024
 SEED = 17
 
 
@@ -103,4 +103,4 @@ def write_shards(docs: DataFrame, path: str, shards: int, seed: int = SEED, id_c
     rows = placed(docs, shards, seed, id_column, source_column)
     shard, slot = rows.columns[-2:]
     rows.sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns)
