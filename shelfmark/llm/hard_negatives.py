@@ -54,8 +54,16 @@ def _indexed(rows: DataFrame, folder: str) -> DataFrame:
     once = kept.groupBy("id").agg(least.alias("row")).select("id", "row.*").withColumn("vector", F.col("vector").cast("array<int>"))
     order = [F.size("vector"), F.col("label"), F.col("length").desc(), F.col("id")]
     dealt = once.repartitionByRange(*order).sortWithinPartitions(*order)
-    bucket = F.shiftright(F.monotonically_increasing_id(), BUCKET.bit_length() - 1)
-    dealt.withColumns({"dims": F.size("vector"), "bucket": bucket}).write.parquet(f"{folder}/rows")
+    dealt.withColumns({"dims": F.size("vector"), "place": F.monotonically_increasing_id()}).write.parquet(f"{folder}/sorted")
+    table = rows.sparkSession.read.parquet(f"{folder}/sorted")
+    # Buckets are cut from the whole order, so that their number does not depend on that of the partitions.
+    part = F.shiftright("place", 33)
+    parts = table.groupBy(part.alias("part")).count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("part", before.alias("before"))  # a row for each partition
+    table = table.withColumn("part", part).join(starts, "part")
+    at = F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    table.withColumn("bucket", F.shiftright(at, BUCKET.bit_length() - 1)).drop("part", "before", "place").write.parquet(f"{folder}/rows")
     return rows.sparkSession.read.parquet(f"{folder}/rows")
 
 
