@@ -39,9 +39,9 @@ def review_date(text: Column) -> Column:
     return F.regexp_replace(text, _BEFORE_DATE, "")
 
 
-def extract_reviews(pages: DataFrame, *, rules: Sequence[Rule] = REVIEW_RULES) -> DataFrame:
-    """Review PAGE (one row per url and load round) to REVIEW; no shuffle."""
-    hits = extract_hits(pages, rules, keep=["url", "round"])
+def extract_reviews(pages: DataFrame, *, rules: Sequence[Rule] = REVIEW_RULES, keep: Sequence[str] = ()) -> DataFrame:
+    """Review PAGE (one row per url and load round) to REVIEW and the columns ``keep``; no shuffle."""
+    hits = extract_hits(pages, rules, keep=["url", "round", *keep])
 
     def text_of(field: str) -> Column:
         return F.get(F.col("r")[field], F.lit(0))["text"]
@@ -55,9 +55,9 @@ def extract_reviews(pages: DataFrame, *, rules: Sequence[Rule] = REVIEW_RULES) -
         "helpful_votes": helpful_votes(text_of("votes")),
     }
     return (
-        hits.select("url", "round", F.posexplode("review").alias("pos", "r"))
+        hits.select("url", "round", *keep, F.posexplode("review").alias("pos", "r"))
         .withColumns(columns)
-        .select(*REVIEW.fieldNames())
+        .select(*REVIEW.fieldNames(), *keep)
     )
 
 
