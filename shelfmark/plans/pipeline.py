@@ -27,6 +27,10 @@ from shelfmark.rules import SEARCH_RULES, Rule
 from shelfmark.schemas import OUTCOME, PRODUCT
 
 
+# What a walk says about a result.
+_FOUND = ("query", "domain", "result_rank")
+
+
 @dataclass(frozen=True)
 class Run:
     """What a run yields: every pending seed in exactly one of the two tables.
@@ -186,11 +190,16 @@ def build_products(
     fetch within ``retries``.  Every other URL gets one outcome: its last error, a challenge
     page, an incomplete page, or that there is no captured page.
     """
-    todo = seeds.select("url", F.lit(retries).alias("retries"), F.lit(fresh_run).alias("fresh_run"))
+    return _answered(seeds.select("url"), pages, [], snapshots, reviews, processed, as_of, retries, max_reviews, fresh_run, rules)
+
+
+def _answered(seeds, pages, extra, snapshots, reviews, processed, as_of, retries, max_reviews, fresh_run, rules) -> Run:
+    """A run over ``seeds`` (url and the columns ``extra``, which come along with products and outcomes)."""
+    todo = seeds.select("url", *extra, F.lit(retries).alias("retries"), F.lit(fresh_run).alias("fresh_run"))
     rows = run_seeds(_pending(todo, processed), pages, snapshots=snapshots, as_of=as_of, retries=retries, rules=rules)
     if reviews is not None:
         rows = attach_reviews(rows, reviews, max_reviews)
-    return _tables(rows, [])
+    return _tables(rows, extra)
 
 
 def run_requests(
@@ -217,9 +226,9 @@ def run_requests(
     seeds = url_seeds(requests).select(*own, "url").withColumns(none)
     if search_pages is not None:
         asked = requests.where("mode = 'search' AND reject IS NULL").withColumnRenamed("search_term", "query")
-        # A captured result page names its host, with or without "www.".
-        hosts = F.explode(F.array("domain", F.concat(F.lit("www."), "domain"))).alias("domain")
-        walked = walk_search(search_pages, limits=asked.select("request_id", "query", hosts, "max_results", "max_pages"), rules=search_rules)
+        # A captured result page names its host, with or without "www."; both belong to one walk.
+        shown = search_pages.withColumns({"host": F.col("domain"), "domain": F.regexp_replace("domain", r"^www\.", "")})
+        walked = walk_search(shown, limits=asked.select("request_id", "query", "domain", "max_results", "max_pages"), rules=search_rules)
         found = walked.where("request_id IS NOT NULL").select("request_id", "query", "domain", "result_rank", "url")
         seeds = seeds.unionByName(found.join(asked.select(*own), "request_id").select(*own, "url", *none))
     todo = _pending(seeds, processed)
@@ -246,14 +255,20 @@ def products_for_searches(
     max_pages: int = 3,
     limits: DataFrame | None = None,
     search_rules: Sequence[Rule] = SEARCH_RULES,
-    **options,
+    snapshots: DataFrame | None = None,
+    reviews: DataFrame | None = None,
+    processed: DataFrame | None = None,
+    as_of: Column,
+    retries: int = RETRIES,
+    max_reviews: int = 0,
+    fresh_run: bool = False,
+    rules: Sequence[Rule] | None = None,
 ) -> Run:
     """Search mode: walk each query's result pages, then the product of every result.
 
-    Products carry ``query``, ``domain`` and ``result_rank``; a result that fails is
-    an outcome and never stops the others.
+    Every result is in exactly one of the tables, with ``query``, ``domain`` and ``result_rank`` (and ``request_id``, where the limits have one); a result that fails is
+    an outcome and never stops the others.  A URL that several queries found is parsed once and comes out for each.
     """
     walked = walk_search(search_pages, max_results=max_results, max_pages=max_pages, limits=limits, rules=search_rules)
-    results = walked.select("query", "domain", "result_rank", "url")
-    run = build_products(results.select("url").distinct(), pages, **options)
-    return Run(results.join(run.products, "url"), run.outcomes, run.rows)
+    found = [name for name in ("request_id", *_FOUND) if name in walked.columns]
+    return _answered(walked.select(*found, "url"), pages, found, snapshots, reviews, processed, as_of, retries, max_reviews, fresh_run, rules)

@@ -1,5 +1,7 @@
 """Runs and walks: every seed comes out once, requests keep their own limits, no cap but the given one."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +177,36 @@ def test_a_hot_url_without_broadcasts(spark):
         assert [(r.status, r.html) for r in found.collect()] == [("hit", "<p>")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def search_page(host, query, number, *parts, minute=0):
+    cards = "".join(f"<div data-component-type='s-search-result'><h2><a class='a-link-normal' href='/dp/B{n:09d}'>t</a></h2></div>" for n in parts)
+    return (query, host, number, cards, datetime(2024, 1, 1, 0, minute))
+
+
+SEARCH_PAGES = "query string, domain string, page_num int, html string, captured_at timestamp"
+
+
+def test_written_search_runs_keep_who_found_what(spark, tmp_path):
+    shown = spark.createDataFrame([search_page("shop.x", "a", 1, 1, 2), search_page("shop.x", "b", 1, 2, 3, 1)], SEARCH_PAGES)
+    pages = spark.createDataFrame([(f"https://shop.x/dp/B{n:09d}", f"<b id='priceblock_ourprice'>${n}</b>") for n in (1, 2)], "url string, html string")
+    run = pipeline.products_for_searches(shown, pages, as_of=F.current_timestamp())
+    for made in (run, pipeline.write_run(run, f"{tmp_path}/run")):
+        found = [(r.query, r.domain, r.result_rank, r.price) for r in made.products.collect()]
+        assert sorted(found) == [("a", "shop.x", 1, "$1"), ("a", "shop.x", 2, "$2"), ("b", "shop.x", 1, "$2"), ("b", "shop.x", 3, "$1")]
+        lost = [(r.query, r.domain, r.result_rank, r.url, r.stage) for r in made.outcomes.collect()]
+        assert lost == [("b", "shop.x", 2, "https://shop.x/dp/B000000003", "navigation")]
+
+
+def test_a_request_is_one_walk_over_both_hosts(spark):
+    """Pages captured with and without "www." are pages of one walk, the newest capture of a number counts, links keep their host."""
+    rows = [
+        search_page("www.amazon.de", "q", 1, 1, 2), search_page("amazon.de", "q", 1, 3, 4, minute=5), search_page("www.amazon.de", "q", 2, 5, 6),
+        search_page("www.amazon.com", "q", 1, 9),
+    ]
+    asked = requests.normalize_requests(spark.createDataFrame([(1, "q", "amazon.de", "3")], "request_id int, search_term string, domain string, max_results string"))
+    pages = spark.createDataFrame([], "url string, html string")
+    run = pipeline.run_requests(asked, pages, search_pages=spark.createDataFrame(rows, SEARCH_PAGES), as_of=F.current_timestamp())
+    assert sorted((r.result_rank, r.domain, r.url) for r in run.outcomes.collect()) == [
+        (1, "amazon.de", "https://amazon.de/dp/B000000003"), (2, "amazon.de", "https://amazon.de/dp/B000000004"), (3, "amazon.de", "https://www.amazon.de/dp/B000000005"),
+    ]

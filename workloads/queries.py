@@ -867,6 +867,29 @@ def search_to_products(spark, sf_dir):
     return run.products.select("query", "result_rank", "url", "title", "price")
 
 
+@query(
+    "search_accounted",
+    f"""
+    WITH {_walk_sql('2', '3')}
+    SELECT 'order ' || l_orderkey AS query, 'www.amazon.com' AS domain, result_rank, url, p_partkey IS NOT NULL AND p_partkey % 6 <> 5 AS ok,
+           CASE WHEN p_partkey IS NULL THEN 'navigation' WHEN p_partkey % 6 = 5 THEN 'parse' END AS stage
+    FROM walked LEFT JOIN part ON p_partkey = l_partkey AND p_partkey % 10 <> 7""",
+)
+def search_accounted(spark, sf_dir):
+    """Every result of every query is a product or an outcome, as read back from the written run; a tenth of the pages is missing."""
+    run = pipeline.products_for_searches(
+        render.search_pages(page_table(spark, sf_dir, "lineitem")),
+        listed_pages(page_table(spark, sf_dir, "part").where("p_partkey % 10 <> 7")),
+        max_results=3,
+        max_pages=2,
+        as_of=at(_AS_OF),
+    )
+    written = pipeline.write_run(run, work_folder(spark, "searches"))
+    found = ["query", "domain", "result_rank", "url"]
+    done = written.products.select(*found, F.lit(True).alias("ok"), F.lit(None).cast("string").alias("stage"))
+    return done.unionByName(written.outcomes.select(*found, F.lit(False).alias("ok"), "stage"))
+
+
 def _url_run(spark: SparkSession, sf_dir: str) -> pipeline.Run:
     """Every part is a seed.  Key mod 5: 0 snapshot and fetch, 1 expired snapshot and fetch,
     2 a failed and a good fetch, 3 only failed fetches, 4 processed before."""
