@@ -42,10 +42,10 @@ def _positions(value: Column, bits: int) -> list[Column]:
     return [F.shiftrightunsigned(hashed, 32 * i).bitwiseAND(F.lit(bits - 1)) for i in range(HASHES)]
 
 
-def repeated_positions(values: DataFrame, column: str, bits: int) -> DataFrame:
-    """The filter: (page, words), a page of 64-bit words; bits hit by two rows or more are set."""
+def repeated_positions(values: DataFrame, column: str, bits: int, times: int = 2) -> DataFrame:
+    """The filter: (page, words), a page of 64-bit words; bits hit by ``times`` rows or more are set."""
     hit = values.select(F.explode(F.array_distinct(F.array(*_positions(F.col(column), bits)))).alias("p"))
-    often = hit.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1")
+    often = hit.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") >= times)
     mark = F.expr(f"shiftleft(1L, CAST(p % {WORD} AS INT))")
     words = often.groupBy(F.expr(f"p DIV {WORD}").alias("w")).agg(F.bit_or(mark).alias("marks"))
     entry = F.struct(F.expr(f"CAST(w % {PAGE_WORDS} AS INT)"), F.col("marks"))

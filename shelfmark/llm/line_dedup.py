@@ -24,18 +24,31 @@ LEADING = 4
 MIN_DOCS = 3
 MIN_CONSTANT_PERCENT = 50
 VARIABLE = "<*>"
-WHITE_RUN = r"[\x20\x09-\x0D]+"
+DIGIT_TOKEN = "[^ ]*[0-9][^ ]*"
+SEVERAL = ["  ", "\t", "\x0b", "\x0c", "\r"]  # white space that is not one space
+LINE_WITH_A_WORD = r"[^\x20\x09-\x0D][^\n]*+"
 
 
-def shape(line: Column) -> Column:
-    """A line with single spaces, none at its ends, and "<*>" for every token that has a digit."""
-    # Most lines have single spaces only; looking for others costs far less than replacing all.
-    plain = F.trim(F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, WHITE_RUN, " ")).otherwise(line))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(plain)
+def shaped(rows: DataFrame, text: Column, name: str) -> DataFrame:
+    """Adds the lines of ``text`` with single spaces, none at their ends, and "<*>" for every token that has a digit; NULL has one empty line.
+
+    Texts are looked at whole, and lines only of those that hold digits; few are rewritten. Each step is a column of its own, so
+    that none is worked out twice.
+    """
+    a, b, c = (f"{name}_{step}" for step in range(3))
+    rows = rows.withColumn(a, F.coalesce(text, F.lit("")))
+    several = F.lit(False)
+    for run in SEVERAL:
+        several = several | F.contains(F.col(a), F.lit(run))
+    rows = rows.withColumn(b, F.when(several, F.regexp_replace(a, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(F.col(a)))
+    ends = F.contains(F.col(b), F.lit(" \n")) | F.contains(F.col(b), F.lit("\n "))
+    rows = rows.withColumn(c, _lines(F.trim(F.when(ends, F.regexp_replace(b, " ?\n ?", "\n")).otherwise(F.col(b)))))
+    masked = F.transform(c, lambda line: F.when(line.rlike("[0-9]"), F.regexp_replace(line, DIGIT_TOKEN, VARIABLE)).otherwise(line))
+    return rows.withColumn(name, F.when(F.col(a).rlike("[0-9]"), masked).otherwise(F.col(c))).drop(a, b, c)
 
 
 def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
+    return F.split(text, "\n")
 
 
 def _number(shaped: Column) -> Column:
@@ -49,8 +62,8 @@ def _row(id_column: str, text_column: str) -> Column:
 def recurring_lines(docs: DataFrame, folder: str, min_docs: int = MIN_DOCS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(row, shapes): for each document, by a hash of id and text, the hashes of its lines that recur."""
     spark = docs.sparkSession
-    held = F.array_distinct(F.transform(_lines(F.col(text_column)), shape))
-    lines = docs.select(_row(id_column, text_column).alias("row"), F.explode(held).alias("shaped")).filter("shaped <> ''")
+    rows = shaped(docs.select(_row(id_column, text_column).alias("row"), F.col(text_column).alias("text")), F.col("text"), "shaped")
+    lines = rows.select("row", F.explode(F.array_distinct("shaped")).alias("shaped")).filter("shaped <> ''")
     leaf = F.xxhash64(_number(F.col("shaped")), F.substring_index("shaped", " ", LEADING))
     lines = lines.select("row", "shaped", leaf.alias("leaf"))
 
@@ -96,16 +109,25 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_column: str = "doc_
     folder = work_folder(docs.sparkSession, "line-dedup")
     dropped = recurring_lines(docs, folder, min_docs, id_column, text_column)
     n_lines, n_dropped = (f"lines_{n}" if n in docs.columns else n for n in ("n_lines", "n_dropped"))
-    found = docs.withColumn("lines_row", _row(id_column, text_column)).join(
-        dropped.select(F.col("row").alias("lines_row"), F.col("shapes").alias("lines_gone")), "lines_row", "left"
-    )
-    lines = _lines(F.col(text_column))
-    count = F.size(F.filter(lines, lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
-    found = found.withColumn(n_lines, count.cast("bigint"))
-    stays = F.filter(lines, lambda line: ~F.array_contains("lines_gone", F.xxhash64(shape(line))))
-    changed = F.col("lines_gone").isNotNull()
-    found = found.withColumn("lines_left", F.when(changed, stays))
-    found = found.withColumn(n_dropped, F.when(changed, F.size(lines) - F.size("lines_left")).otherwise(0).cast("bigint"))
-    text = F.when(changed, F.concat_ws("\n", "lines_left")).otherwise(F.col(text_column))
-    columns = [text.alias(name) if name == text_column else F.col(name) for name in docs.columns]
-    return found.select(*columns, n_lines, n_dropped)
+    dropped.select(F.col("row").alias("lines_row"), F.col("shapes").alias("lines_gone")).write.parquet(f"{folder}/dropped")
+    dropped = docs.sparkSession.read.parquet(f"{folder}/dropped")
+    bits = filter_bits(dropped.count())
+    pages = repeated_positions(dropped.select("lines_row"), "lines_row", bits, times=1)
+    rows = maybe_repeated(docs.withColumn("lines_row", _row(id_column, text_column)), "lines_row", pages, bits, "lines_touched")
+    # Texts that lose no line stay where they are.
+    whole = rows.filter("NOT lines_touched").withColumn("lines_gone", F.lit(None).cast("array<bigint>"))
+    touched = rows.filter("lines_touched").join(dropped, "lines_row", "left")
+
+    def cut(rows: DataFrame) -> DataFrame:
+        """The columns of a document after its lines went."""
+        text, changed = F.col(text_column), F.col("lines_gone").isNotNull()
+        rows = shaped(rows, F.when(changed, text), "lines_shaped")
+        stays = F.filter(_lines(text), lambda line, i: ~F.array_contains("lines_gone", F.xxhash64(F.get("lines_shaped", i))))
+        rows = rows.withColumn("lines_left", F.when(changed, stays))
+        gone = F.when(changed, F.size("lines_shaped") - F.size("lines_left")).otherwise(0).cast("bigint")
+        count = F.coalesce(F.regexp_count(text, F.lit(LINE_WITH_A_WORD)), F.lit(0)).cast("bigint")
+        left = F.when(changed, F.concat_ws("\n", "lines_left")).otherwise(text)
+        columns = [left.alias(name) if name == text_column else F.col(name) for name in docs.columns]
+        return rows.select(*columns, count.alias(n_lines), gone.alias(n_dropped))
+
+    return cut(whole).unionByName(cut(touched))
