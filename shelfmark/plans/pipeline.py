@@ -81,20 +81,21 @@ def _as_attempts(table: DataFrame, defaults: dict[str, Column]) -> DataFrame:
 
 
 def attempts_for(
-    seeds: DataFrame, pages: DataFrame, snapshots: DataFrame | None, *, as_of: Column, retries: int = RETRIES
+    seeds: DataFrame, pages: DataFrame, snapshots: DataFrame | None, *, as_of: Column, retries: int = RETRIES, located: bool = False
 ) -> DataFrame:
     """Every page that may answer a seed: the newest snapshot as attempt 0, then the fetches.
 
     A fetch without a number, or with one below 1, is the first.  Fetches beyond ``retries`` stay as one row
-    number ``retries + 1`` without their page, to tell why a URL has no product.  Nothing is shuffled here; some
-    rows of other URLs and some older snapshots are among the result.
+    number ``retries + 1`` without their page, to tell why a URL has no product.  No page is shuffled here; some
+    rows of other URLs and some older snapshots are among the result.  Pages of other URLs are told by a filter of at most 16 MB, which serves some
+    ten million URLs; ``located`` pages (:mod:`sources.bucketed`) lie by URL, and any number of seeds comes to them instead.
     """
     wanted = seeds.select("url").distinct()
     fetched = pages.withColumn("attempt", F.greatest(F.coalesce("attempt", F.lit(1)), F.lit(1)) if "attempt" in pages.columns else F.lit(1))
     near = F.col("attempt") <= retries
     texts = [name for name in ("html", "rendered_html") if name in fetched.columns]
     fetched = fetched.withColumns({name: F.when(near, F.col(name)) for name in texts} | {"attempt": F.least(F.col("attempt"), F.lit(retries + 1))})
-    found = _as_attempts(possible(fetched, F.col("url"), wanted), {})
+    found = _as_attempts(fetched.join(wanted, "url", "left_semi") if located else possible(fetched, F.col("url"), wanted), {})
     if snapshots is None:
         return found
     keys = wanted.select(url_key(F.col("url")).alias("url_key"))
@@ -118,6 +119,7 @@ def run_seeds(
     as_of: Column,
     retries: int = RETRIES,
     rules: Sequence[Rule] | None = None,
+    located: bool = False,
 ) -> DataFrame:
     """One row for every seed: product columns, outcome columns, and ``ok``.
 
@@ -126,7 +128,7 @@ def run_seeds(
     """
     seeds = seeds.distinct()
     own = [name for name in seeds.columns if name not in ("url", "retries")]
-    attempts = attempts_for(seeds, pages, snapshots, as_of=as_of, retries=retries)
+    attempts = attempts_for(seeds, pages, snapshots, as_of=as_of, retries=retries, located=located)
     kept = ["attempt", "captured_at", "error", "error_type", "captcha_seen", "cached", "status", "tie"]
     parsed = extract_products(attempts, keep=kept, rules=rules, gate=True)
     best = _best(parsed.withColumn("ok", is_complete(parsed) & F.col("error").isNull()))
@@ -183,20 +185,21 @@ def build_products(
     max_reviews: int = 0,
     fresh_run: bool = False,
     rules: Sequence[Rule] | None = None,
+    located: bool = False,
 ) -> Run:
     """URL to product for every pending seed.
 
     A valid snapshot is used if its product is complete, else the first complete
     fetch within ``retries``.  Every other URL gets one outcome: its last error, a challenge
-    page, an incomplete page, or that there is no captured page.
+    page, an incomplete page, or that there is no captured page.  ``located``: see :func:`attempts_for`.
     """
-    return _answered(seeds.select("url"), pages, [], snapshots, reviews, processed, as_of, retries, max_reviews, fresh_run, rules)
+    return _answered(seeds.select("url"), pages, [], snapshots, reviews, processed, as_of, retries, max_reviews, fresh_run, rules, located)
 
 
-def _answered(seeds, pages, extra, snapshots, reviews, processed, as_of, retries, max_reviews, fresh_run, rules) -> Run:
+def _answered(seeds, pages, extra, snapshots, reviews, processed, as_of, retries, max_reviews, fresh_run, rules, located) -> Run:
     """A run over ``seeds`` (url and the columns ``extra``, which come along with products and outcomes)."""
     todo = seeds.select("url", *extra, F.lit(retries).alias("retries"), F.lit(fresh_run).alias("fresh_run"))
-    rows = run_seeds(_pending(todo, processed), pages, snapshots=snapshots, as_of=as_of, retries=retries, rules=rules)
+    rows = run_seeds(_pending(todo, processed), pages, snapshots=snapshots, as_of=as_of, retries=retries, rules=rules, located=located)
     if reviews is not None:
         rows = attach_reviews(rows, reviews, max_reviews)
     return _tables(rows, extra)
@@ -263,6 +266,7 @@ def products_for_searches(
     max_reviews: int = 0,
     fresh_run: bool = False,
     rules: Sequence[Rule] | None = None,
+    located: bool = False,
 ) -> Run:
     """Search mode: walk each query's result pages, then the product of every result.
 
@@ -271,4 +275,4 @@ def products_for_searches(
     """
     walked = walk_search(search_pages, max_results=max_results, max_pages=max_pages, limits=limits, rules=search_rules)
     found = [name for name in ("request_id", *_FOUND) if name in walked.columns]
-    return _answered(walked.select(*found, "url"), pages, found, snapshots, reviews, processed, as_of, retries, max_reviews, fresh_run, rules)
+    return _answered(walked.select(*found, "url"), pages, found, snapshots, reviews, processed, as_of, retries, max_reviews, fresh_run, rules, located)

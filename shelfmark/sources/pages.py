@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.urls import url_key
 from shelfmark.schemas import PAGE, SNAPSHOT
+from shelfmark.sources.directory import read_directory
 
 # File name shapes of a snapshot directory (64 hex digits).
 _HTML_FILE = r"/([0-9a-f]{64})\.html$"
@@ -47,43 +48,39 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT).parquet(path)
 
 
-def scan_snapshot_dir(spark: SparkSession, path: str) -> DataFrame:
+def scan_snapshot_dir(spark: SparkSession, path: str, *, empty_pages: bool = False) -> DataFrame:
     """A directory of ``<key>.html`` / ``<key>.meta.json`` pairs as SNAPSHOT rows plus ``meta_ok``.
 
     Both halves of a pair share the key in their file name; either may be missing.
     Meta data must be an object with url, cached_at and ttl_seconds, version
-    optional, and nothing else.  A page file of zero bytes cannot be told from a
-    missing one here; in a SNAPSHOT table an empty page is a hit.
+    optional, and nothing else.  Spark's file sources do not show files of zero bytes, so a page of zero bytes is
+    a missing one; with ``empty_pages`` a source of its own (:mod:`sources.directory`) reads the directory, to which an
+    empty page is a page, for folders that ``pyarrow.fs`` opens.
     """
+    if empty_pages:
+        pairs = read_directory(spark, path)
+    else:
 
-    def files(glob: str, shape: str) -> DataFrame:
-        found = _whole_files(spark, path, glob)
-        key = F.regexp_extract(F.col("path"), shape, 1)
-        return found.select(key.alias("url_key"), F.col("value")).where(F.col("url_key") != "")
+        def files(glob: str, shape: str, name: str) -> DataFrame:
+            found = _whole_files(spark, path, glob)
+            key = F.regexp_extract(F.col("path"), shape, 1)
+            return found.select(key.alias("url_key"), F.col("value").alias(name)).where(F.col("url_key") != "")
 
-    pages = files("*.html", _HTML_FILE).withColumnRenamed("value", "html")
-    keys = F.json_object_keys("value")
+        pairs = files("*.html", _HTML_FILE, "html").join(files("*.meta.json", _META_FILE, "meta"), "url_key", "full")
+    keys = F.json_object_keys("meta")
     allowed = F.array(*map(F.lit, _META_KEYS))
-    meta = F.from_json("value", _META)
-    metas = files("*.meta.json", _META_FILE).select(
-        "url_key",
-        meta.alias("meta"),
-        F.coalesce(
-            (F.size(F.array_except(keys, allowed)) == 0)
-            & meta["url"].isNotNull()
-            & meta["cached_at"].isNotNull()
-            & meta["ttl_seconds"].isNotNull(),
-            F.lit(False),
-        ).alias("meta_ok"),
-        F.array_contains(keys, "version").alias("has_version"),
+    told = F.from_json("meta", _META)
+    ok = (F.size(F.array_except(keys, allowed)) == 0) & told["url"].isNotNull() & told["cached_at"].isNotNull() & told["ttl_seconds"].isNotNull()
+    pairs = pairs.withColumns(
+        {"told": told, "meta_ok": F.when(F.col("meta").isNotNull(), F.coalesce(ok, F.lit(False))), "has_version": F.array_contains(keys, "version")}
     )
-    return pages.join(metas, "url_key", "full").select(
+    return pairs.select(
         "url_key",
-        F.col("meta.url").alias("url"),
+        F.col("told.url").alias("url"),
         "html",
-        F.timestamp_micros((F.col("meta.cached_at") * 1_000_000).try_cast("bigint")).alias("cached_at"),
-        F.col("meta.ttl_seconds").alias("ttl_seconds"),
-        F.when(F.col("has_version"), F.col("meta.version")).otherwise(F.lit("1")).alias("version"),
+        F.timestamp_micros((F.col("told.cached_at") * 1_000_000).try_cast("bigint")).alias("cached_at"),
+        F.col("told.ttl_seconds").alias("ttl_seconds"),
+        F.when(F.col("has_version"), F.col("told.version")).otherwise(F.lit("1")).alias("version"),
         "meta_ok",
     )
 

@@ -16,7 +16,7 @@ from shelfmark.rules import DEAL_RULES, GATE_RULES, PRODUCT_RULES, SELLER_RULES,
 from shelfmark.schemas import PRODUCT, UNFILLED
 from shelfmark.session import work_folder
 from shelfmark.sources import pages as page_sources
-from shelfmark.sources import sinks
+from shelfmark.sources import sinks, store
 from shelfmark.streaming.products import product_stream, read_page_stream, start_products
 from workloads import render
 from workloads.render import SHOP, choose, item_id, join, page_table, table, us
@@ -697,6 +697,24 @@ def snapshot_store(spark, sf_dir):
     return stored.select("url_key", "url", "html", F.unix_micros("cached_at").alias("cached_us"))
 
 
+@query(
+    "snapshot_merge",
+    """SELECT sha256(url) AS url_key, url, CASE WHEN page_id % 2 = 0 THEN html || '<!-- again -->' ELSE html END AS html,
+              CASE WHEN page_id % 2 = 0 THEN 1704153600000000 ELSE 1704067200000000 END AS cached_us FROM pages WHERE page_id % 10 <> 3""",
+)
+def snapshot_merge(spark, sf_dir):
+    """Pages merged into a store, half of them again a day later, a third in older captures, and a tenth invalidated."""
+    stored = store.SnapshotStore(spark, work_folder(spark, "store"), buckets=16)
+    pages = table(spark, sf_dir, "pages")
+    first = pages.withColumn("captured_at", at("2024-01-01 00:00:00"))
+    again = pages.where("page_id % 2 = 0").withColumns({"captured_at": at("2024-01-02 00:00:00"), "html": join(F.col("html"), "<!-- again -->")})
+    older = pages.where("page_id % 3 = 0").withColumns({"captured_at": at("2023-01-02 00:00:00"), "html": F.lit("old")})
+    for batch in (first, again, older):
+        stored.merge(page_sources.as_snapshots(batch, 3600))
+    stored.invalidate(pages.where("page_id % 10 = 3").select("url"))
+    return stored.read().select("url_key", "url", "html", F.unix_micros("cached_at").alias("cached_us"))
+
+
 # ------------------------------------------------------- outcomes and requests
 
 
@@ -1050,6 +1068,20 @@ def snapshot_scan(spark, sf_dir):
     return found.select("url_key", "status", F.octet_length("html").cast("bigint").alias("html_bytes"))
 
 
+@query(
+    "snapshot_scan_empty",
+    """SELECT sha256(url) AS url_key, CASE page_id % 6 WHEN 1 THEN 'expired' WHEN 2 THEN 'version' WHEN 3 THEN 'bad_meta' WHEN 4 THEN 'no_meta'
+              WHEN 5 THEN 'no_html' ELSE 'hit' END AS status, CASE WHEN page_id % 6 = 5 THEN NULL WHEN page_id % 4 = 0 THEN 0 ELSE strlen(html) END AS html_bytes FROM pages""",
+)
+def snapshot_scan_empty(spark, sf_dir):
+    """As ``snapshot_scan``, with a quarter of the pages empty: files of zero bytes, which are pages."""
+    folder = work_folder(spark, "snapshot-files")
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 4 == 0, "").otherwise(F.col("html")))
+    render.write_files(render.snapshot_files(pages, _AS_OF), folder)
+    found = snapshots.with_status(page_sources.scan_snapshot_dir(spark, folder, empty_pages=True), at(_AS_OF))
+    return found.select("url_key", "status", F.octet_length("html").cast("bigint").alias("html_bytes"))
+
+
 @query("page_files", "SELECT 'page' || page_id || '.html' AS name, strlen(html) AS html_bytes, 'product' AS page_kind FROM pages")
 def page_files(spark, sf_dir):
     """Pages written as one file each, and read as a page table."""
