@@ -3,9 +3,10 @@
 A classifier, trained on a bounded sample of a labelled table, gives every document a probability for
 each domain: naive Bayes weights, moved towards 0 by what chance may explain, are summed to the evidence for each
 domain, and the shares of the domains among labelled texts of like evidence are the probabilities. Documents then get nonnegative rates r, so that the expected tokens of the domains,
-S_k = sum of r * p_k * tokens, come to their targets T_k: least squares by projected gradient steps. With c = p * tokens
-a step is r <- max(0, r - c . g), g = G^-1 (S - T), G = sum of c c' over documents with a rate above 0 (domains by
-domains); G^-1 measures the error in coordinates in which one step is the right length. Steps begin at r = 1, so
+S_k = sum of r * p_k * tokens, come to their targets T_k: least squares by projected gradient steps. Rates are measured in the metric
+in which a document weighs its tokens, so a step is r <- max(0, r - p . g), g = G^-1 (S - T), G = sum of tokens * p p' over documents with a
+rate above 0 (domains by domains); G^-1 measures the error in coordinates in which one step is the right length. What a document is, and not
+how long it is, decides its rate: equal probabilities get equal rates. Steps begin at r = 1, so
 a mix that fits already is left alone. A step needs one sum over a narrow table; only domain totals reach the driver,
 and a document's rate is an expression of the steps so far, so there is no state to lose.
 
@@ -27,6 +28,7 @@ SAMPLE = 16_000  # labelled rows the classifier is trained on, about, at most
 FEATURES = 1 << 18
 PRIOR = 5  # texts' worth of the overall share in a domain's share of a feature
 MARGIN = 2.0  # standard errors that a weight is moved towards 0
+TEMPER = 8  # features that may add up as they are
 BIN, BINS = 1.0, 8  # width of a class of evidence, and classes to either side of 0
 BACKING = 4  # texts' worth of naive Bayes in the shares of a class
 STEPS = 25
@@ -83,8 +85,10 @@ def _evidence(features: DataFrame, keys: list[str], classifier: Classifier) -> D
     """
     n = len(classifier.domains)
     joined = features.join(F.broadcast(classifier.weights), "place")
-    sums = joined.groupBy(*keys).agg(F.count_if(F.col("place") == 0).alias("times"), *(F.sum(f"w{k}").alias(f"s{k}") for k in range(n)))
-    sums = sums.withColumns({f"s{k}": F.col(f"s{k}") / F.col("times") for k in range(n)})  # repeated rows were summed together
+    sums = joined.groupBy(*keys).agg(F.count_if(F.col("place") == 0).alias("times"), F.count_if(F.col("place") > 0).alias("hits"), *(F.sum(f"w{k}").alias(f"s{k}") for k in range(n)))
+    # Repeated rows were summed together. What chance adds to a sum grows as the root of the number of features in it.
+    tempered = F.col("times") * F.sqrt(1 + F.col("hits") / F.col("times") / TEMPER)
+    sums = sums.withColumns({f"s{k}": F.col(f"s{k}") / tempered for k in range(n)}).drop("hits")
     bins = [F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col(f"s{k}") / BIN))).cast("int").cast("string") for k in range(n)]
     return sums.withColumn("class", F.concat_ws(" ", *bins) if n else F.lit(""))
 
@@ -172,12 +176,12 @@ def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 
 def rate(tokens: Column, chances: Column, steps: list[list[float]]) -> Column:
-    """A document's rate after the steps."""
+    """A document's rate after the steps; one without tokens keeps 1."""
     rate = F.lit(1.0)
     for step in steps:
         moved = sum((chances[k] * g for k, g in enumerate(step)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - tokens * moved)
-    return rate
+        rate = F.greatest(F.lit(0.0), rate - moved)
+    return F.when(tokens > 0, rate).otherwise(F.lit(1.0))
 
 
 def fit(members: DataFrame, domains: list[str], targets: dict[str, float], steps: int = STEPS) -> list[list[float]]:
@@ -187,7 +191,7 @@ def fit(members: DataFrame, domains: list[str], targets: dict[str, float], steps
     n = len(domains)
     if not any(targets.get(d, 0.0) > 0 for d in domains):
         return []
-    c = [F.col("n_tokens") * F.col("chances")[k] for k in range(n)]
+    p = [F.col("chances")[k] for k in range(n)]
     whole = sum(targets.get(d, 0.0) for d in domains)
     done: list[list[float]] = []
     best: tuple[float, int] = (math.inf, 0)
@@ -196,8 +200,8 @@ def fit(members: DataFrame, domains: list[str], targets: dict[str, float], steps
         free = F.when(F.col("rate") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
         now = moved.agg(
             F.sum("n_tokens").alias("all"),
-            *(F.sum(F.col("rate") * c[k]).alias(f"s{k}") for k in range(n)),
-            *(F.sum(free * c[i] * c[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)),
+            *(F.sum(F.col("rate") * F.col("n_tokens") * p[k]).alias(f"s{k}") for k in range(n)),
+            *(F.sum(free * F.col("n_tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)),
         ).first()
         if not now["all"]:
             return []

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,29 @@ def test_solve():
 def test_no_python_on_the_main_path(corpus):
     plan = M.mixing_rates(*corpus, {"a": 1, "b": 1, "c": 1})._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rates_as_in_a_plain_version(corpus):
+    """The steps again with numpy, from the probabilities that were found."""
+    targets = {"a": 0.5, "b": 0.3, "c": 0.2}
+    found = M.mixing_rates(*corpus, targets).collect()
+    tokens = np.array([r.n_tokens for r in found], dtype=float)
+    p = np.array([[r.chances[d] for d in "abc"] for r in found])
+    aim = tokens.sum() * np.array([targets[d] for d in "abc"])
+    rates, best = np.ones(len(found)), (np.inf, None)
+    for _ in range(M.STEPS + 1):
+        error = (rates * tokens) @ p - aim
+        best = min(best, (abs(error).sum() / tokens.sum(), rates), key=lambda b: b[0])
+        if best[0] <= M.TOLERANCE:
+            break
+        held = rates > 0
+        gram = (p[held] * tokens[held, None]).T @ p[held]
+        rates = np.maximum(0, rates - p @ np.linalg.solve(gram + np.eye(3) * (1e-9 * np.trace(gram) + 1e-12), error))
+    assert [r.rate for r in found] == pytest.approx(list(best[1]), abs=1e-6)
+
+
+def test_rates_do_not_look_at_length(spark):
+    members = spark.createDataFrame([(n, [0.9, 0.1]) for n in (3, 40, 2000)] + [(500, [0.1, 0.9])] * 4, "n_tokens bigint, chances array<double>")
+    steps = M.fit(members, ["a", "b"], {"a": 0.5, "b": 0.5})
+    rates = [r[0] for r in members.select(M.rate(F.col("n_tokens"), F.col("chances"), steps)).collect()]
+    assert steps and len(set(rates[:3])) == 1 and len(set(rates)) == 2
