@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -129,7 +130,21 @@ def weighed(folded: str, machine: ahocorasick.Automaton | None) -> tuple[float,
             free.append((start, end))
         elif length > best.get(start, (0, 0.0))[0]:
             best[start] = (length, weight)
-    return float(sum(weight for at, (_, weight) in best.items() if not any(a <= at < b for a, b in free))), len(plain)
+    # Exception phrases as spans that do not touch, in order.
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted(free):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+
+    def excepted(at: int) -> bool:
+        span = bisect_right(starts, at) - 1
+        return span >= 0 and at < ends[span]
+
+    return float(sum(weight for at, (_, weight) in best.items() if not excepted(at))), len(plain)
 
 
 def strength(folded: str, machine: ahocorasick.Automaton | None, chance: Chance = CHANCE) -> float:

@@ -107,3 +107,18 @@ def test_chance_hits_do_not_add_up(spark):
     toxic = " ".join(passage(True) for _ in range(3))
     held = ["\n".join([*(passage(False) for _ in range(n)), toxic]) for n in (0, 5, 20, 50) for _ in range(3)]
     assert all(r.predicted == 1 for r in score(spark, model, held).values())
+
+
+def test_exceptions_of_long_texts_are_swept_once():
+    """A megabyte of exception phrases beside hits: time grows with the text, and what counts is as in a plain scan."""
+    import time
+
+    from shelfmark.llm import toxicity as T
+
+    model = T.Model({" idiot ": 2.0, " tra": 1.0}, exceptions=("trash can", "can xx"))
+    machine = model.automaton()
+    piece = "trash can xx idiot trap "
+    began = time.perf_counter()
+    total, size = T.weighed((piece * 45_000).strip(), machine)
+    assert size > 1_000_000 and time.perf_counter() - began < 20
+    assert total == pytest.approx(45_000 * 3.0)  # "trash" lies in an exception, "trap" does not
