@@ -147,12 +147,14 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
                         ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
     for batch in batches:
-        for path in batch.column(0).to_pylist():
+        for path, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen = 0
             store, name = fs.FileSystem.from_uri(path)
             with store.open_input_stream(name, compression=None) as source:
                 rows, size = [], 0
                 for member in members(iter(lambda: source.read(PIECE), b"")):
                     row = parse(member)
+                    seen += 1
                     if not payloads:
                         row["payload"] = None
                     rows.append(row)
@@ -162,6 +164,8 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
                         rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
+            if seen != told:
+                raise ValueError(f"{path}: {seen} records, its manifest says {told}")
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -193,10 +197,11 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of the archives that a manifest lists: page_id, url, record_type, refers_to, payload_bytes,
     payload_digest and payload (NULL for revisits, or for all with ``payloads=False``).
 
-    A record that is cut short, or whose digest fails, raises. An empty manifest gives no rows.
+    A record that is cut short, or whose digest fails, raises, and so does a file that holds another number of records than its
+    manifest says (as one that was cut between two records). An empty manifest gives no rows.
     """
     files = manifest.count()
-    return manifest.select("path").repartition(max(1, files)).mapInArrow(partial(_read, payloads=payloads), RECORDS)
+    return manifest.select("path", "records").repartition(max(1, files)).mapInArrow(partial(_read, payloads=payloads), RECORDS)
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:

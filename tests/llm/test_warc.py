@@ -84,3 +84,22 @@ def test_cut_archives():
         list(warc.members(iter([data[:-9]])))
     with pytest.raises(zlib.error):
         list(warc.members(iter([b"plain text"])))
+
+
+def test_an_archive_cut_between_records_is_an_error(spark, tmp_path):
+    """Whole members before the cut read well; the manifest tells that some are missing, or all."""
+    import gzip
+
+    from shelfmark.llm import warc as W
+
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}") for i in range(20)], "page_id bigint, url string, html string").coalesce(1)
+    manifest = W.write_archives(pages, f"file://{tmp_path}")
+    assert W.read_archives(manifest).count() == 20
+    path = manifest.where("records > 1").first()["path"].removeprefix("file://")
+    whole = open(path, "rb").read()
+    cuts = [i for i in range(1, len(whole)) if whole[i : i + 3] == b"\x1f\x8b\x08"]
+    first = next(i for i in cuts if gzip.decompress(whole[:i]))
+    for left in (whole[:first], b""):
+        open(path, "wb").write(left)
+        with pytest.raises(Exception, match="manifest says"):
+            W.read_archives(manifest).count()
