@@ -182,6 +182,10 @@ class Document:
         self.owner.append(owner)
         self.kind.append(kind)
 
+    def is_quiet(self, element: int) -> bool:
+        """Whether the element's text is not part of the text around it."""
+        return self.tag[element] in _QUIET
+
     def text(self, element: int, form: str) -> str:
         """``tight`` strips each text and joins without a gap, ``spaced`` with a space, ``raw`` as is."""
         own = self.tag[element] if self.tag[element] in _QUIET else ""

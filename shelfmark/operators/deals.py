@@ -7,23 +7,21 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import prices
 from shelfmark.functions.text import extract, filled, first_of, first_text
-
-# Words that make a generic badge a deal badge.
-_DEAL_WORDS = "deal|lightning|discount|save|off|sale"
+from shelfmark.rules import DEAL_WORDS, WAS_WORDS
 
 
 def original_price(ranked_hits: Column, was_hits: Column) -> Column:
     """List-price elements, then the price inside a "was" / "list price" sentence."""
 
     def in_sentence(hit: Column) -> Column:
-        named = F.lower(hit["text"]).rlike("was|list price")
+        named = F.lower(hit["text"]).rlike(WAS_WORDS)
         return F.when(named, extract(hit["text"], prices.PRICE_IN_TEXT))
 
     return F.coalesce(first_text(ranked_hits), first_of(was_hits, in_sentence))
 
 
 def deal_badge(deal_hits: Column, badge_hits: Column) -> Column:
-    keyed = first_of(badge_hits, lambda hit: F.when(F.lower(hit["text"]).rlike(_DEAL_WORDS), filled(hit["text"])))
+    keyed = first_of(badge_hits, lambda hit: F.when(F.lower(hit["text"]).rlike(DEAL_WORDS), filled(hit["text"])))
     return F.coalesce(first_text(deal_hits), keyed)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfmark.operators._markup import Document, Selector
-from shelfmark.rules import Rule
+from shelfmark.rules import HOLDS, Rule
 
 HIT = T.StructType(
     [
@@ -78,6 +78,8 @@ class _Rule:
         self.rank, self.form, self.clean = rule.rank, rule.form, rule.clean
         self.attrs = [attr for attr in rule.attrs.split(",") if attr]
         self.pattern = re.compile(rule.pattern) if rule.pattern else None
+        self.holds = bool(rule.pattern) and rule.pattern.startswith(HOLDS)
+        self.until = re.compile(rule.until) if rule.until else None
         anchored = rule.pattern and _ANCHORED.fullmatch(rule.pattern)
         self.beginning = regex.compile(rule.pattern) if anchored else None
         self.selector = None if rule.mode == "nodes" else Selector(rule.selector)
@@ -125,12 +127,7 @@ class _Field:
                 return []
         out = []
         if self.mode == "all":
-            found: dict[int, dict] = {}
-            for rule in self.rules:
-                for element in rule.selector.all(doc, scope):
-                    if element not in found and (hit := rule.hit(doc, element)):
-                        found[element] = hit
-            out = [found[element] for element in sorted(found)]
+            out = self._all(doc, scope)
         else:
             for rule in self.rules:
                 element = rule.selector.first(doc, scope)
@@ -147,8 +144,30 @@ class _Field:
                 hit[child.name] = child.run(doc, hit["ord"])
         return out
 
+    def _all(self, doc: Document, scope: int) -> list[dict]:
+        """Every element's hit, in page order, up to the one that settles the field."""
+        candidates: dict[int, list[int]] = {}
+        for number, rule in enumerate(self.rules):
+            for element in rule.selector.all(doc, scope):
+                candidates.setdefault(element, []).append(number)
+        out = []
+        barren = [0] * len(self.rules)  # up to this element the text around has been found to lack the pattern
+        for element in sorted(candidates):
+            for number in candidates[element]:
+                rule = self.rules[number]
+                if element < barren[number] and not doc.is_quiet(element):
+                    continue
+                if hit := rule.hit(doc, element):
+                    out.append(hit)
+                    if rule.until and rule.until.search(hit["text"] or ""):
+                        return out
+                    break
+                if rule.holds and not doc.is_quiet(element):
+                    barren[number] = max(barren[number], doc.end[element])
+        return out
+
     def _nodes(self, doc: Document, scope: int) -> list[dict]:
-        """Matching texts; of several in one element the first."""
+        """Matching texts, up to the one that settles the field; of several in one element the first."""
         out, rule, told = [], self.rules[0], set()
         for at in range(doc.first_text[scope], doc.last_text[scope]):
             text, parent = doc.texts[at], doc.owner[at]
@@ -162,6 +181,8 @@ class _Field:
                 element = parent if which == "parent" else after
                 hit[name] = None if element is None else doc.text(element, form)
             out.append(hit)
+            if rule.until and any(hit[name] is not None and rule.until.match(f"{name}:{hit[name]}") for name in rule.attrs):
+                break
         return out
 
 

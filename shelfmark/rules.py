@@ -17,7 +17,10 @@ replace them, or load them from a table with :func:`rules_from_table`.
              ``byline`` ("Visit the ... Store", "Brand: ..."), or nothing
 ``attrs``    attributes to report, separated by commas; for ``nodes`` which texts around the
              node: ``parent_tight``, ``parent_spaced``, ``next_tight``, ``next_spaced``
-``pattern``  regular expression the text must contain, else there is no hit
+``pattern``  regular expression the text must contain, else there is no hit; one made by :func:`holds` is not
+             looked for again inside an element whose text lacks it
+``until``    regular expression; a hit whose text has it settles the field, and no later hit is reported.  For
+             ``nodes`` it is matched against "name:text" of each text around the node
 
 All rules of a field have one mode, which decides the field's shape; the other columns count
 rule by rule.
@@ -43,6 +46,7 @@ RULE_SCHEMA = T.StructType(
         T.StructField("attrs", T.StringType(), False),
         T.StructField("pattern", T.StringType(), True),
         T.StructField("clean", T.StringType(), True),
+        T.StructField("until", T.StringType(), True),
     ]
 )
 
@@ -62,6 +66,19 @@ class Rule:
     attrs: str = ""
     pattern: str | None = None
     clean: str | None = None
+    until: str | None = None
+
+
+# How a pattern begins that only asks what a text holds, wherever it stands.
+HOLDS = r"(?is)\A(?=.*?"
+
+
+def holds(*parts: str) -> str:
+    """A pattern for texts that hold each of ``parts``, in any order and case.
+
+    Parts are expressions without anchors or looks around, so that what a text lacks any piece of it lacks too.
+    """
+    return HOLDS + ")(?=.*?".join(f"(?:{part})" for part in parts) + ")"
 
 
 def ranked(page_kind: str, field: str, selectors: list[str], scope: str = "", **options) -> list[Rule]:
@@ -76,6 +93,13 @@ def cleaned(rules: list[Rule], clean: dict[int, str]) -> list[Rule]:
 # A character class of the currency symbols prices are shown with.
 CURRENCY = "[$£€¥₹]"
 
+# Words of a sentence that names an earlier price, and words that make a badge a deal badge.
+WAS_WORDS = "was|list price"
+DEAL_WORDS = "deal|lightning|discount|save|off|sale"
+# ``until`` must only hold where the column expressions are sure to find a value, so it asks for plain ASCII.
+_WAS_PRICE = rf"(?ias)\A(?=.*?(?:{WAS_WORDS}))(?:.*?)(?:{CURRENCY}\s*[0-9]|[0-9]\s*{CURRENCY})"
+_SOLD_BY = r"[ \t]*sold[ \t]+by[ \t:]+[!-9;-~][^\n]*\Z"
+
 # Selector lists per field, most trusted first.
 PRICE = [
     "#corePrice_feature_div .a-offscreen",
@@ -200,21 +224,39 @@ PRODUCT_RULES: list[Rule] = [
 ]
 DEAL_RULES: list[Rule] = [
     *ranked("product", "original_price", ORIGINAL_PRICE, pattern=CURRENCY),
-    *ranked("product", "was_price", [".a-text-price"], mode="all"),
+    *ranked("product", "was_price", [".a-text-price"], mode="all", pattern=holds(WAS_WORDS, CURRENCY), until=_WAS_PRICE),
     *ranked("product", "deal", DEAL),
-    *ranked("product", "badge", ['[data-hook="deal-badge"], .a-badge-span'], mode="all"),
+    *ranked(
+        "product",
+        "badge",
+        ['[data-hook="deal-badge"], .a-badge-span'],
+        mode="all",
+        pattern=holds(DEAL_WORDS),
+        until=f"(?ia){DEAL_WORDS}",
+    ),
     *ranked("product", "coupon", COUPON, form="none"),
 ]
 SELLER_RULES: list[Rule] = [
     *ranked("product", "seller", SELLER),
-    *ranked("product", "sold_by", ["span, a"], mode="nodes", attrs="next_tight", pattern="(?i)sold by:"),
+    *ranked(
+        "product", "sold_by", ["span, a"], mode="nodes", attrs="next_tight", pattern="(?i)sold by:", until="(?s)next_tight:.."
+    ),
     *ranked("product", "fulfilment", FULFILMENT),
     *ranked("product", "seller_rating", SELLER_RATING),
     *ranked("product", "feedback", ["#feedbackSummaryTable, .feedbackDetailStars"], form="none"),
     *ranked("product", "stars", [".avgRating, .stars"], scope="feedback"),
     *ranked("product", "ships_from", SHIPS_FROM),
     *ranked("product", "buybox", BUYBOX, mode="first_or_page", form="spaced"),
-    *ranked("product", "sold_by_inline", ["a, span"], scope="buybox", mode="all", form="spaced", pattern=r"(?i)^\s*sold\s+by\b"),
+    *ranked(
+        "product",
+        "sold_by_inline",
+        ["a, span"],
+        scope="buybox",
+        mode="all",
+        form="spaced",
+        pattern=r"(?i)^\s*sold\s+by\b",
+        until=rf"(?ia)\A{_SOLD_BY}",
+    ),
     *ranked(
         "product",
         "sold_by_label",
@@ -223,9 +265,19 @@ SELLER_RULES: list[Rule] = [
         mode="nodes",
         attrs="parent_spaced,next_spaced",
         pattern=r"(?i)^\s*sold\s+by\b",
+        until=rf"(?ia)next_spaced:(?s:.)|parent_spaced:{_SOLD_BY}",
     ),
     *ranked("product", "fulfilled_note", [""], scope="buybox", mode="nodes", pattern="(?i)sold by amazon|ships from amazon|fulfilled by amazon"),
-    *ranked("product", "ships_note", [""], scope="buybox", mode="nodes", attrs="parent_tight", pattern="(?i)ships from:"),
+    *ranked(
+        "product",
+        "ships_note",
+        [""],
+        scope="buybox",
+        mode="nodes",
+        attrs="parent_tight",
+        pattern="(?i)ships from:",
+        until=r"(?ia)parent_tight:[^\n]*?ships from:\s*[!-~]{3}",
+    ),
 ]
 GATE_RULES: list[Rule] = [
     *ranked("product", "gate_form", ["#captcha-form"], form="none"),

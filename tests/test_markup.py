@@ -115,6 +115,11 @@ SHAPES = {
     "nested blocks with prices": lambda n: "<div><b class='a-offscreen'></b>" * (n // 31),
     "nested cards": lambda n: "<p data-component-type='s-search-result'><i class='a-price'>" * (n // 60),
     "nested rows": lambda n: "<table id='prodDetails'><tr><td>" * (n // 32),
+    "nested prices without a price": lambda n: "<i class='a-text-price'>x" * (n // 27),
+    "nested prices in a sentence": lambda n: "<i class='a-text-price'>was $5 x" * (n // 34),
+    "nested badges": lambda n: "<i class='a-badge-span'>x" * (n // 26) + "sale",
+    "labels before nested elements": lambda n: "Sold by: <b>x</b> <span>y" * (n // 25),
+    "nested labels": lambda n: "<span>sold by x <div>ships from: y" * (n // 34),
     "random": lambda n: nested(3, n),
 }
 RULE_SETS = [[*rules.PRODUCT_RULES, *rules.DEAL_RULES], rules.SELLER_RULES, [*rules.GATE_RULES, *rules.CONTENT_RULES], rules.SEARCH_RULES, rules.REVIEW_RULES]
@@ -137,6 +142,49 @@ def test_reading_and_rules_are_linear(shape):
     assert seconds(SHAPES[shape](1_000_000)) < 30 * small + 1
 
 
+def characters(found):
+    """Length of all texts in what the rules report."""
+    if isinstance(found, dict):
+        return sum(map(characters, found.values()))
+    if isinstance(found, list):
+        return sum(map(characters, found))
+    return len(found) if isinstance(found, str) else 0
+
+
+@pytest.mark.parametrize("shape", list(SHAPES))
+def test_a_page_reports_no_more_than_it_holds(shape):
+    """But for lists, whose elements each are a result (bullets, rows, cards, reviews)."""
+    page = SHAPES[shape](200_000)
+    for group in RULE_SETS[:2]:
+        fields = [_Field(name, rows, group) for name, rows in _fields(group).items() if not name.endswith(("bullet", "_row"))]
+        doc = Document(page, frozenset().union(*(f.keys() for f in fields)))
+        for field in fields:
+            assert characters(field.run(doc, 0)) <= 10 * len(page), field.name
+
+
+SETTLING = ["<i class='a-text-price'>", "</i>", "<b class='a-badge-span'>", "</b>", "<span>", "</span>", "<div>", "</div>", "<a href='/x'>", "</a>",
+            "was ", "list\nprice ", "LIST PRICE ", "$", "5", "5 \u20ac", "\u20b9\xa07", "x", "sale ", "\u017fale ", "Save ", "sold by ", "Sold By: ", "sold by\n", ":", "\xa0", "ships from: ", "Ships from:\n",
+            "<script>", "</script>", "<template class='a-text-price'>", "</template>", "<div id='buybox'>", " \n ", "Acme ", "ab", "sold by amazon"]
+
+
+def test_rules_that_settle_early_give_the_same_records(spark):
+    """Records with and without ``until`` and with every hit reported, on pages of all kinds of pieces."""
+    from dataclasses import replace
+
+    from shelfmark.operators.deals import deal_fields
+    from shelfmark.operators.products import DEFAULT, product_hits
+    from shelfmark.operators.sellers import seller_fields
+
+    rng = random.Random(7)
+    rows = [(f"https://shop.example/dp/{n}", "".join(rng.choices(SETTLING, k=rng.choice((6, 20, 60))))) for n in range(1_500)]
+    pages = spark.createDataFrame(rows, "url string, html string").repartition(8)
+    every = [replace(rule, until=None, pattern=None if rule.field in ("was_price", "badge") else rule.pattern) for rule in DEFAULT]
+    short, whole = (product_hits(pages, rules=rules).select("url", *deal_fields(), *seller_fields()).collect() for rules in (DEFAULT, every))
+    assert sorted(map(str, short)) == sorted(map(str, whole))
+    for name in ("original_price", "deal_type", "seller_name", "fulfilled_by_amazon", "ships_from", "box_seller"):
+        assert len({row[name] for row in whole}) > 1, name
+
+
 def climbing(doc, element, compounds):
     """Descendant matching, element by element."""
     at, left = doc.parent[element], list(compounds)
