@@ -19,11 +19,11 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm._files import opened, reachable
 from shelfmark.llm._pretokens import encoder
 from shelfmark.session import work_folder
 
@@ -185,7 +185,7 @@ def read_file(source) -> Iterator[tuple[int | None, int, bytes]]:
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int) -> Iterator[pa.RecordBatch]:
-    store, base = fs.FileSystem.from_uri(folder)
+    store, base = opened(folder)
     store.create_dir(base, recursive=True)
     part = TaskContext.get().partitionId()
     name = f"part-{part:06d}-{uuid4().hex}.ids"
@@ -203,26 +203,32 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int)
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
     for batch in batches:
-        for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            store, name = fs.FileSystem.from_uri(path)
+        for path, base, *told in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            seen = [0, 0]
+            store, name = opened(path)
             with store.open_input_file(name) as source:
                 rows, size = [], 0
                 for document, first, ids in read_file(source):
                     rows.append((document, base + first, ids))
+                    seen = [seen[0] + 1, seen[1] + len(ids) // 4]
                     size += len(ids)
                     if len(rows) == 512 or size > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                         rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            if seen != told:
+                raise ValueError(f"{path}: {seen} documents and ids, its manifest says {told}")
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end: int = END_ID, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Encode every text, append ``end``, write the files below ``folder`` and return the written manifest.
 
     A NULL text is empty and gives ``end`` alone. Ids ascend with NULL first; rows of equal ids stand side by
-    side, ordered by a hash of their text. ``path`` is a byte-level BPE file that every executor can read.
+    side, ordered by a hash of their text. ``path`` is a byte-level BPE file that every executor can read. A
+    folder that tasks cannot open raises ValueError.
     """
+    reachable(folder)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
     tie = F.xxhash64("text")
@@ -233,9 +239,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int = END_ID
 
 def read_token_files(manifest: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Per document of the files: id, ``start`` (ids of all documents before it) and ``ids`` (binary, 32-bit
-    little-endian). The manifest has one row a file, so its running sum is small."""
+    little-endian). The manifest has one row a file, so its running sum is small. A file that is cut or
+    emptied, or holds other numbers of documents and ids than its manifest says, raises."""
     before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.select("path", F.coalesce(before, F.lit(0)).cast("bigint").alias("base"))
+    files = manifest.select("path", F.coalesce(before, F.lit(0)).cast("bigint").alias("base"), "documents", "ids")
     spread = files.repartition(max(1, manifest.count()))
     return spread.mapInArrow(_read, "id bigint, start bigint, ids binary").withColumnRenamed("id", id_column)
 

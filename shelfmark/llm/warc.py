@@ -20,11 +20,11 @@ from functools import partial
 from uuid import uuid4
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.llm._files import opened, reachable
 from shelfmark.llm._joins import split_join
 from shelfmark.session import work_folder
 
@@ -114,7 +114,7 @@ def parse(member: bytes) -> dict:
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """Archives of a task, under names of their own: an attempt that fails is in no manifest."""
-    store, base = fs.FileSystem.from_uri(folder)
+    store, base = opened(folder)
     store.create_dir(base, recursive=True)
     done, out, size, count = [], None, 0, 0
     part, attempt = TaskContext.get().partitionId(), uuid4().hex
@@ -149,7 +149,7 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
     for batch in batches:
         for path, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             seen = 0
-            store, name = fs.FileSystem.from_uri(path)
+            store, name = opened(path)
             with store.open_input_stream(name, compression=None) as source:
                 rows, size = [], 0
                 for member in members(iter(lambda: source.read(PIECE), b"")):
@@ -174,8 +174,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_column:
 
     A NULL payload is an empty one. Pages whose payload has ``min_bytes`` or more and also belongs to a larger
     id become revisits; rows that repeat the largest id stay responses, and so do rows without
-    an id. A NULL URL is left out. Other columns are not read.
+    an id. A NULL URL is left out. Other columns are not read. A folder that tasks cannot open raises ValueError.
     """
+    reachable(folder)
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html_column), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), payload.alias("payload"))

@@ -177,3 +177,12 @@ def test_a_damaged_file_is_refused(docs, spark):
     with pytest.raises(Exception, match="no token file"):
         token_files.read_token_files(manifest).collect()
     assert zlib.crc32(b"") == 0 and hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_a_file_with_other_counts_than_its_manifest_is_an_error(docs, spark):
+    from pyspark.sql import functions as F
+
+    manifest = token_files.write_token_files(docs, work_folder(spark, "test"), BYTE)
+    for column in ("documents", "ids"):
+        with pytest.raises(Exception, match="manifest says"):
+            token_files.read_token_files(manifest.withColumn(column, F.col(column) + 1)).collect()

@@ -103,3 +103,25 @@ def test_an_archive_cut_between_records_is_an_error(spark, tmp_path):
         open(path, "wb").write(left)
         with pytest.raises(Exception, match="manifest says"):
             W.read_archives(manifest).count()
+
+
+@pytest.mark.parametrize(
+    ("path", "same"),
+    [("s3a://b/x", "s3://b/x"), ("S3N://b/x", "s3://b/x"), ("/a/b:c", "/a/b:c"), ("file:///a", "file:///a"), ("file:/a", "file:/a"), ("abfss://c@d/e", "abfss://c@d/e")],
+)
+def test_paths_as_tasks_open_them(path, same):
+    from shelfmark.llm._files import reachable
+
+    assert reachable(path) == same
+
+
+@pytest.mark.parametrize("path", ["dbfs:/x", "wasbs://c@d/e", "oss://b/x"])
+def test_a_folder_that_tasks_cannot_open_fails_before_the_job(spark, path):
+    from public_tokenizers import path as tokenizer
+
+    from shelfmark.llm import token_files
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        warc.write_archives(pages(spark), path)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        token_files.write_token_files(spark.createDataFrame([(1, "x")], "doc_id long, text string"), path, tokenizer("byte_bpe_50k.json"))
