@@ -34,6 +34,7 @@ SEGMENT = 1 << 20  # ids that are packed at once
 END_ID = 2
 MANIFEST = "part int, path string, documents bigint, ids bigint, bytes bigint"
 _HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
+_POSITION, _WHOLE = np.dtype("<u2"), np.dtype("<u4")
 
 
 def _words(width: int) -> int:
@@ -66,45 +67,81 @@ def unpack_bits(words: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The blocks of some ids; the last is filled up with its own last id."""
+def packed_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The blocks of some ids, side by side, and where each begins; the last is filled up with its own last id."""
     if not len(ids):
-        return []
+        return b"", np.zeros(0, dtype=np.int64)
     padded = np.concatenate((ids, np.full(-len(ids) % BLOCK, ids[-1], dtype=ids.dtype)))
-    rows = padded.reshape(-1, BLOCK).astype(np.int64)
+    rows = padded.reshape(-1, BLOCK).astype(np.uint32)
     least = rows.min(axis=1)
     rest = rows - least[:, None]
-    lengths = np.frexp(rest.astype(np.float64))[1].astype(np.int64)
-    widths = np.sort(lengths, axis=1)[:, int(PERCENTILE * (BLOCK - 1))]
+    lengths = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
+    place = int(PERCENTILE * (BLOCK - 1))
+    widths = np.partition(lengths, place, axis=1)[:, place]
     wide = lengths > widths[:, None]
     heads = np.zeros(len(rows), dtype=_HEAD)
     heads["least"], heads["width"], heads["exceptions"] = least, widths, wide.sum(axis=1)
-    out: list[bytes] = [b""] * len(rows)
+    many = heads["exceptions"].astype(np.int64)
+    after = _HEAD.itemsize + 8 * _words(widths.astype(np.int64))  # from a block's start to its exceptions
+    sizes = after + (_POSITION.itemsize + _WHOLE.itemsize) * many
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), dtype=np.uint8)
+    _scatter(out, starts, heads)
     for width in np.unique(widths):
         chosen = np.flatnonzero(widths == width)
-        packed = pack_bits(rest[chosen] & ((1 << int(width)) - 1), int(width))
-        for row, words in zip(chosen, packed, strict=True):
-            at = np.flatnonzero(wide[row]) if heads["exceptions"][row] else np.zeros(0, dtype=np.int64)
-            out[row] = heads[row].tobytes() + words.tobytes() + at.astype("<u2").tobytes() + rest[row, at].astype("<u4").tobytes()
-    return out
+        packed = pack_bits(rest[chosen] & np.uint32((1 << int(width)) - 1), int(width)).view(np.uint8)
+        for at, words in zip((starts[chosen] + _HEAD.itemsize).tolist(), packed, strict=True):
+            out[at : at + len(words)] = words
+    row, at = np.nonzero(wide)
+    positions, wholes = _exceptions(starts + after, many)
+    _scatter(out, positions, at.astype(_POSITION))
+    _scatter(out, wholes, rest[row, at].astype(_WHOLE))
+    return out.tobytes(), starts
+
+
+def encode_blocks(ids: np.ndarray) -> list[bytes]:
+    """The blocks of some ids one by one."""
+    data, starts = packed_blocks(ids)
+    bounds = [*starts.tolist(), len(data)]
+    return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def _scatter(out: np.ndarray, places: np.ndarray, values: np.ndarray) -> None:
+    """The bytes of each value from its place on."""
+    parts = values.view(np.uint8).reshape(len(values), values.itemsize)
+    for byte in range(values.itemsize):
+        out[places + byte] = parts[:, byte]
+
+
+def _gather(data: np.ndarray, places: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """The values that begin at the places."""
+    parts = np.empty((len(places), kind.itemsize), dtype=np.uint8)
+    for byte in range(kind.itemsize):
+        parts[:, byte] = data[places + byte]
+    return parts.reshape(-1).view(kind)
+
+
+def _exceptions(begins: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the position and the whole difference of every exception lie; a block's lists begin at ``begins``."""
+    order = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    begins, ends = np.repeat(begins, many), np.repeat(begins + _POSITION.itemsize * many, many)
+    return begins + _POSITION.itemsize * order, ends + _WHOLE.itemsize * order
 
 
 def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     """The ids of the blocks that begin at ``starts`` in ``data`` (whole blocks, fill included)."""
-    rest = np.zeros((len(starts), BLOCK), dtype=np.uint64)
-    heads = np.zeros(len(starts), dtype=_HEAD)
-    for row, at in enumerate(starts):
-        heads[row] = np.frombuffer(data, _HEAD, 1, int(at))[0]
+    told = np.frombuffer(data, dtype=np.uint8)
+    heads = _gather(told, starts, _HEAD)
+    rest = np.zeros((len(starts), BLOCK), dtype=np.uint32)
     for width in np.unique(heads["width"]):
         chosen = np.flatnonzero(heads["width"] == width)
-        count = _words(int(width))
-        words = np.array([np.frombuffer(data, "<u8", count, int(starts[row]) + _HEAD.itemsize) for row in chosen]).reshape(len(chosen), count)
-        rest[chosen] = unpack_bits(words, int(width))
-    for row in np.flatnonzero(heads["exceptions"]):
-        at = int(starts[row]) + _HEAD.itemsize + 8 * _words(int(heads["width"][row]))
-        many = int(heads["exceptions"][row])
-        rest[row, np.frombuffer(data, "<u2", many, at)] = np.frombuffer(data, "<u4", many, at + 2 * many)
-    return (rest + heads["least"].astype(np.uint64)[:, None]).astype("<u4").reshape(-1)
+        size = 8 * _words(int(width))
+        words = b"".join([data[at : at + size] for at in (starts[chosen] + _HEAD.itemsize).tolist()])
+        rest[chosen] = unpack_bits(np.frombuffer(words, "<u8").reshape(len(chosen), -1 if size else 0), int(width))
+    many = heads["exceptions"].astype(np.int64)
+    positions, wholes = _exceptions(starts + _HEAD.itemsize + 8 * _words(heads["width"].astype(np.int64)), many)
+    rest[np.repeat(np.arange(len(starts)), many), _gather(told, positions, _POSITION)] = _gather(told, wholes, _WHOLE)
+    return (rest + heads["least"][:, None]).astype("<u4").reshape(-1)
 
 
 class Writer:
@@ -113,7 +150,7 @@ class Writer:
         out.write(MAGIC)
         self.waiting: list[bytes] = []
         self.held = self.ids = 0
-        self.starts: list[int] = []
+        self.starts: list[np.ndarray] = []
         self.documents: list[int | None] = []
         self.firsts: list[int] = []
 
@@ -131,18 +168,19 @@ class Writer:
         whole = len(data) if last else len(data) // (4 * BLOCK) * (4 * BLOCK)
         ids = np.frombuffer(data[:whole], dtype="<u4")
         for at in range(0, len(ids), SEGMENT):
-            for block in encode_blocks(ids[at : at + SEGMENT]):
-                self.starts.append(self.size)
-                self.out.write(block)
-                self.size += len(block)
+            blocks, starts = packed_blocks(ids[at : at + SEGMENT])
+            self.starts.append(starts + self.size)
+            self.out.write(blocks)
+            self.size += len(blocks)
         self.waiting, self.held = [data[whole:]], len(data) - whole
 
     def close(self) -> None:
         self._flush(True)
         known = np.array([d is not None for d in self.documents], dtype=np.uint8)
         numbers = np.array([d or 0 for d in self.documents], dtype="<i8")
-        parts = (np.array(self.starts, "<u8"), known, numbers, np.array(self.firsts, "<u8"))
-        footer = struct.pack("<QQQ", self.ids, len(self.starts), len(numbers)) + b"".join(p.tobytes() for p in parts)
+        starts = np.concatenate([np.zeros(0, "<u8"), *self.starts]).astype("<u8")
+        parts = (starts, known, numbers, np.array(self.firsts, "<u8"))
+        footer = struct.pack("<QQQ", self.ids, len(starts), len(numbers)) + b"".join(p.tobytes() for p in parts)
         footer = zlib.compress(footer)
         self.out.write(footer + struct.pack("<Q", len(footer)))
         self.size += len(footer) + 8
@@ -165,23 +203,22 @@ def read_file(source) -> Iterator[tuple[int | None, int, bytes]]:
     numbers = np.frombuffer(footer, "<i8", n_docs, 24 + 8 * n_blocks + n_docs)
     firsts = np.frombuffer(footer, "<u8", n_docs, 24 + 8 * n_blocks + 9 * n_docs).astype(np.int64)
     ends = np.append(starts[1:], size - 8 - length)
-    held, begin, block = b"", 0, 0  # ids from ``begin`` on that are decoded and not yet given out
+    held, at, block = b"", 0, 0  # decoded ids, of which those from byte ``at`` on are not yet given out
     step = SEGMENT // BLOCK
-    bounds = np.append(firsts, total)
-    for i in range(n_docs):
-        parts = [held]
-        have = len(held) // 4
-        while begin + have < bounds[i + 1]:
-            some = slice(block, min(block + step, n_blocks))
-            source.seek(int(starts[some][0]))
-            data = source.read(int(ends[some][-1] - starts[some][0]))
-            parts.append(decode_blocks(data, starts[some] - starts[some][0]).tobytes())
-            have += len(parts[-1]) // 4
-            block = some.stop
-        data = b"".join(parts)
-        cut = 4 * int(bounds[i + 1] - begin)
-        yield (int(numbers[i]) if known[i] else None), int(firsts[i]), data[:cut]
-        held, begin = data[cut:], int(bounds[i + 1])
+    wanted = 4 * np.diff(np.append(firsts, total))
+    for document, some, first, size in zip(numbers.tolist(), known.tolist(), firsts.tolist(), wanted.tolist(), strict=True):
+        if len(held) - at < size:
+            parts, have = [held[at:]], len(held) - at
+            while have < size:
+                blocks = slice(block, min(block + step, n_blocks))
+                source.seek(int(starts[blocks][0]))
+                data = source.read(int(ends[blocks][-1] - starts[blocks][0]))
+                parts.append(decode_blocks(data, starts[blocks] - starts[blocks][0]).tobytes())
+                have += len(parts[-1])
+                block = blocks.stop
+            held, at = b"".join(parts), 0
+        yield (document if some else None), first, held[at : at + size]
+        at += size
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int) -> Iterator[pa.RecordBatch]:
