@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.llm._joins import split_join
 from shelfmark.llm._unions import components
 from shelfmark.llm._words import distinct, mix, shingle_sets
 from shelfmark.session import work_folder
@@ -207,7 +208,7 @@ def _blocks(entries: DataFrame) -> DataFrame:
             F.ceil((F.col("n") - F.col("most")) / F.col("rows")).alias("lefts"), F.ceil(F.col("n") / F.col("rows")).alias("rights"),
         )
     )
-    members = entries.join(buckets, "bucket")
+    members = split_join(entries, buckets, ["bucket"])
     by_node = F.xxhash64("node", F.lit(5))
     left = members.filter("part <> main").select(
         "bucket", F.pmod(by_node, "lefts").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rights") - 1)).alias("j"),
@@ -247,10 +248,12 @@ def near_components(
     texts.mapInArrow(partial(_sign, words=words), signed_schema).write.parquet(f"{folder}/signatures")
     signed = spark.read.schema(signed_schema).parquet(f"{folder}/signatures")
     linkable = signed.filter("id IS NOT NULL AND n_shingles > 0")
-    nodes = linkable.groupBy("node").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("size"))
+    distinct_nodes = linkable.groupBy("node").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    distinct_nodes.write.parquet(f"{folder}/nodes")
+    nodes = spark.read.schema(distinct_nodes.schema).parquet(f"{folder}/nodes")
 
     # Buckets of two nodes or more; copies are one node, so equal texts fill no bucket.
-    entries = linkable.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
+    entries = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     centre = F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node"))
     buckets = (
         entries.groupBy("bucket")
@@ -258,7 +261,7 @@ def near_components(
         .filter("low <> high")
         .select("bucket", F.col("c.node").alias("centre"))
     )
-    entries.join(buckets, "bucket").filter("node <> centre").distinct().write.parquet(f"{folder}/members")
+    split_join(entries, buckets, ["bucket"]).filter("node <> centre").select("node", "size", "bucket", "centre").write.parquet(f"{folder}/members")
     members = spark.read.parquet(f"{folder}/members")  # node, size, bucket, centre
 
     pairs = members.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
@@ -291,7 +294,7 @@ def near_components(
     labels = joined.select(F.col("a").alias("node"), F.col("b").alias("root"))
     rooted = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = rooted.join(least, "root").select("node", "component_id")
+    classes = split_join(rooted, least, ["root"]).select("node", "component_id")
     known = signed.select("id", "n_shingles", "node").join(classes, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     return known.select(
@@ -307,8 +310,10 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
 
     Rows that repeat a kept id and its component count as one document; one of them stays. Rows without words or id stay.
     """
-    found = near_components(docs, words, percent, id_column, text_column)
-    names = docs.columns
+    spark, names = docs.sparkSession, docs.columns
+    folder = work_folder(spark, "near-dedup")
+    near_components(docs, words, percent, id_column, text_column).write.parquet(f"{folder}/found")
+    found = spark.read.parquet(f"{folder}/found")
     gone = found.filter(~F.col("kept")).select(F.col(id_column).alias("near_dedup_id")).distinct()
     stays = docs.join(gone, docs[id_column] == gone["near_dedup_id"], "left_anti")
     twice = found.filter(F.col("kept") & (F.col("n_shingles") > 0)).groupBy(F.col(id_column).alias("near_dedup_id")).count().filter("count > 1").select("near_dedup_id")
