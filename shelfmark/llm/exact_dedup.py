@@ -67,15 +67,8 @@ def maybe_repeated(rows: DataFrame, column: str, pages: DataFrame, bits: int, fl
     return rows.withColumn(flag, hit).drop(*(f"{flag}_{x}{i}" for i in range(HASHES) for x in ("p", "page", "words")))
 
 
-def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256`` added (prefixed
-    ``exact_`` where that name exists).
-
-    Texts are equal if they agree after every run of white space has become one space; NULL counts as
-    empty, and empty texts are equal to each other. ``keep_id`` is a group's least id; NULL ids count
-    in ``group_size`` and never become ``keep_id`` unless a group has no other. Rows that repeat an id and a text
-    are one document told twice: they get the same values.
-    """
+def _groups(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows that the filter finds alone, the other rows with their groups, and the names of the added columns."""
     bits = filter_bits(docs.count())
     text = normalised(F.col(text_column))
     pages = repeated_positions(docs.select(text.alias("t")), "t", bits)
@@ -91,15 +84,26 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     groups = maybe.groupBy(sha).agg(F.min(id_column).alias(keep), F.count("*").alias(size))
     grouped = split_join(maybe, groups, [sha])
     grouped = grouped.withColumn(kept, F.col(id_column).eqNullSafe(F.col(keep)))
-    return alone.unionByName(grouped.select(*docs.columns, keep, size, kept, sha))
+    return alone, grouped.select(*docs.columns, *names), names
+
+
+def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Every row of ``docs`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256`` added (prefixed
+    ``exact_`` where that name exists).
+
+    Texts are equal if they agree after every run of white space has become one space; NULL counts as
+    empty, and empty texts are equal to each other. ``keep_id`` is a group's least id; NULL ids count
+    in ``group_size`` and never become ``keep_id`` unless a group has no other. Rows that repeat an id and a text
+    are one document told twice: they get the same values.
+    """
+    alone, grouped, _ = _groups(docs, id_column, text_column)
+    return alone.unionByName(grouped)
 
 
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents, all columns, one for each text: the row with the least id (NULL only if there is no
     other). Of rows that repeat an id and a text one stays.
     """
-    found = exact_groups(docs, id_column, text_column)
-    keep, size, kept, sha = found.columns[len(docs.columns) :]
-    lone = found.filter(F.col(size) == 1)
-    first = found.filter((F.col(size) > 1) & F.col(kept)).dropDuplicates([sha])
-    return lone.select(*docs.columns).union(first.select(*docs.columns))
+    alone, grouped, (_, _, kept, sha) = _groups(docs, id_column, text_column)
+    first = grouped.filter(F.col(kept)).dropDuplicates([sha])
+    return alone.select(*docs.columns).union(first.select(*docs.columns))
