@@ -216,3 +216,21 @@ def test_heads_begin_like_texts():
         for form in ("tight", "spaced"):
             text, head = doc.text(element, form), doc.head(element, form, 20)
             assert text.startswith(head) and (head == text or len(head) >= 20)
+
+
+def test_pages_of_one_layout_are_laid_out_once_and_say_their_own():
+    """A reader that met other pages before gives what one that meets only this page gives."""
+    from shelfmark.operators.hits import _Reader
+
+    rng = random.Random(4)
+    shapes = ["".join(rng.choices(SETTLING, k=rng.choice((4, 12, 40)))) for _ in range(300)]
+    card = "<div data-component-type='s-search-result'><h2><a class='a-link-normal' href='/dp/{0}' title='{1}'>x</a></h2><i id='merchant-vars'>{1}</i></div>"
+    shapes += [card.format(n, text) for n in range(20) for text in ("", " ", "&#32;", "5 &amp; 6", f"t{n}")]
+    pages = [page for shape in shapes for page in (shape, shape.replace("5", "7").replace("Acme", "B &amp; C"), shape)]
+    for group in RULE_SETS:
+        shared = _Reader(group)
+        assert [shared.read(page) for page in pages] == [_Reader(group).read(page) for page in pages]
+        assert len(shared.layouts.shapes) <= len(set(pages)) / 1.5
+        few = _Reader(group)
+        few.layouts.TOKENS = 10  # forgets all the time
+        assert [few.read(page) for page in pages] == [shared.read(page) for page in pages]
