@@ -21,7 +21,7 @@ SHAPE = "url_key string, html string, meta string"
 FILES = 1000
 
 
-def _opened(path: str):
+def opened(path: str):
     """(file system, path in it) of a path or URI."""
     from pyarrow import fs
 
@@ -48,7 +48,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
-        system, folder = _opened(self.path)
+        system, folder = opened(self.path)
         found: dict[str, set[str]] = {}
         for info in system.get_file_info(fs.FileSelector(folder)):
             match = _FILE.fullmatch(info.base_name)
@@ -59,7 +59,7 @@ class _Reader(DataSourceReader):
         return [_Keys(entries[i : i + step]) for i in range(0, len(entries), step)] or [_Keys([])]
 
     def read(self, partition: _Keys) -> Iterator[tuple]:
-        system, folder = _opened(self.path)
+        system, folder = opened(self.path)
 
         def text(name: str) -> str:
             with system.open_input_stream(f"{folder.rstrip('/')}/{name}") as stream:

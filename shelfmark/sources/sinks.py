@@ -1,12 +1,22 @@
-"""Writers.  Spark's commit protocol makes each write whole or absent."""
+"""Writers.  Spark's commit protocol makes each write whole or absent; :func:`write_product_files` says what holds for it."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
+from pyarrow.fs import FileType
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions.urls import output_key
 from shelfmark.schemas import PROCESSED
+from shelfmark.sources.directory import opened
 
 
 def stamped(products: DataFrame, run_at: Column) -> DataFrame:
@@ -30,9 +40,44 @@ def write_product_files(products: DataFrame, path: str, url: str = "url") -> Non
 
     There is no shuffle by that name: the rows without an id may be a large part of
     the table, and each task writes its own file of them.
+
+    The tasks write through ``pyarrow.fs``: a file system call or two a product, and nothing for the driver to move.  So a
+    write that fails leaves some files behind, without the mark of a whole one that
+    :func:`read_product_files` asks for; writing again replaces them.
     """
-    keyed = products.withColumn("output_key", output_key(F.col(url)))
-    keyed.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("output_key").json(path)
+    system, folder = opened(path)
+    if system.get_file_info(folder).type == FileType.Directory:
+        system.delete_dir_contents(folder)
+    system.create_dir(folder, recursive=True)
+    line = F.to_json(F.struct(*products.columns), {"ignoreNullFields": "false"}).alias("line")
+    keyed = products.select(output_key(F.col(url)).alias("key"), line).sortWithinPartitions("key")
+    keyed.mapInArrow(partial(_write_keys, path=path), "files bigint").agg(F.sum("files")).collect()
+    with system.open_output_stream(f"{folder.rstrip('/')}/_SUCCESS"):
+        pass
+
+
+def _write_keys(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Lines (key, line), in the order of their keys, to a file a key; a task that is run again writes the same names."""
+    system, folder = opened(path)
+    name = f"part-{TaskContext.get().partitionId():05d}.json"
+    rows = (pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    files = 0
+    for key, lines in groupby(rows, key=itemgetter(0)):
+        place = f"{folder.rstrip('/')}/output_key={key}"
+        system.create_dir(place)
+        with system.open_output_stream(f"{place}/{name}") as out:
+            for _, line in lines:
+                out.write(f"{line}\n".encode())
+        files += 1
+    yield pa.RecordBatch.from_pydict({"files": [files]})
+
+
+def read_product_files(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """What :func:`write_product_files` wrote, if it was written whole; ``schema`` may name ``output_key`` too."""
+    system, folder = opened(path)
+    if system.get_file_info(f"{folder.rstrip('/')}/_SUCCESS").type != FileType.File:
+        raise ValueError(f"the product files in {path!r} are not whole")
+    return spark.read.schema(schema).json(path)
 
 
 def append_snapshots(snapshots: DataFrame, path: str) -> None:

@@ -311,3 +311,24 @@ def test_work_folder(spark, tmp_path):
     with pytest.raises(ValueError):
         work_folder(session(None, "yarn"), "s")
     assert work_folder(spark, "s") != work_folder(spark, "s")
+
+
+def test_product_files_are_written_whole_or_not_read(spark, tmp_path):
+    from shelfmark.sources.sinks import read_product_files, write_product_files
+
+    schema = "url string, title string, output_key string"
+    rows = [(f"https://s/dp/B{n:09d}", f"t{n}" if n % 3 else None) for n in range(40)] + [(None, "é \"q\"\n"), ("https://s/x", "a"), ("https://s/y", "b")]
+    products = spark.createDataFrame(rows, "url string, title string").repartition(4)
+    path = f"{tmp_path}/files"
+    write_product_files(products.limit(9), path)
+    write_product_files(products, path)
+    found = {(r.url, r.title, r.output_key) for r in read_product_files(spark, path, schema).collect()}
+    assert found == {(u, t, u[-10:] if u and "/dp/" in u else "product") for u, t in rows}
+    assert (tmp_path / "files" / "output_key=B000000003").is_dir()
+    written = next((tmp_path / "files" / "output_key=B000000003").glob("*.json")).read_text()
+    assert written == '{"url":"https://s/dp/B000000003","title":null}\n'
+    fails = products.withColumn("title", F.when(F.col("url") == "https://s/y", F.raise_error(F.lit("broken"))).otherwise(F.col("title")))
+    with pytest.raises(Exception, match="broken"):
+        write_product_files(fails, path)
+    with pytest.raises(ValueError, match="not whole"):
+        read_product_files(spark, path, schema)
