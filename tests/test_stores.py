@@ -130,3 +130,17 @@ def test_directory_source_sees_empty_pages(spark, tmp_path):
     empty = tmp_path / "none"
     empty.mkdir()
     assert sources.scan_snapshot_dir(spark, str(empty), empty_pages=True).collect() == []
+
+
+def test_pages_of_one_url_make_one_pair_of_files(spark, tmp_path):
+    """The last capture counts whole: no page beside another one's meta data."""
+    from workloads import render
+
+    rows = [(n, f"https://s/{n % 40}", f"page {n}") for n in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    files = render.snapshot_files(pages, "2024-01-31 00:00:00")
+    assert files.select("name").distinct().count() == files.count()
+    render.write_files(files, f"file://{tmp_path}/s")
+    found = with_status(sources.scan_snapshot_dir(spark, f"file://{tmp_path}/s"), F.to_timestamp(F.lit("2024-01-31 00:00:00")))
+    kinds = ["hit", "expired", "version", "bad_meta", "no_meta", "no_html"]
+    assert {(r.html, r.status) for r in found.collect()} == {(None if n % 6 == 5 else f"page {n}", kinds[n % 6]) for n in range(80, 120)}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.urls import url_key
+from shelfmark.operators.grouping import first_per
 
 SHOP = "https://www.amazon.com"
 
@@ -360,7 +361,11 @@ def snapshot_rows(events: DataFrame) -> DataFrame:
 
 def snapshot_files(pages: DataFrame, as_of: str) -> DataFrame:
     """``pages`` as files (name, text) of a snapshot directory.  Page number mod 6: 0 valid, 1 expired,
-    2 of another version, 3 with broken meta data, 4 without any, 5 without a page."""
+    2 of another version, 3 with broken meta data, 4 without any, 5 without a page.
+
+    Files are named by URL, so of several pages with one URL the last number counts, whole: else tasks would write
+    one file at a time, and a page of one capture lie beside the meta data of another."""
+    pages = first_per(pages, ["url"], [F.col("page_id").desc()])
     kind, name = F.col("page_id") % 6, url_key(F.col("url"))
     now = F.unix_timestamp(F.lit(as_of))
     meta = F.to_json(
