@@ -32,7 +32,6 @@ LIMITS = ((0, 0.0, 5.0), (256, 1.25, 5.0), (1024, 1.50, 5.0), (4096, 1.60, 6.0),
 CHUNK_LIMITS = (1.50, 8.0)
 MAX_BAD_CHUNKS = 0.2
 
-SAMPLE = 16_000  # clean labelled texts that limits are fitted on, about, at most
 STARTS = (0, *(round(256 * 2 ** (i / 2)) for i in range(40)))  # fitted bands begin at so many bytes
 MIN_TEXTS = 20  # clean texts that a band must have, or chunks that there must be, for limits of its own
 MARGIN = 0.03  # of a limit, by which it lies outside the range of clean texts
@@ -156,22 +155,19 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_column: str = "doc_id", text_column: str = "text",
-        label_column: str = "quality", sample: int = SAMPLE) -> Limits:
+        label_column: str = "quality") -> Limits:
     """Limits just outside the range of texts labelled clean (1) that pass the base rules; ``usable`` says which ids may be used.
 
-    Rows with a NULL id or label are left out, an id counts once (with its least label). Of more than ``sample`` clean
-    ids about so many are taken, by a hash of the id; only these, a bounded table, are broadcast to the scan of the texts, and
-    one row a band comes back. Bands and chunks with fewer than MIN_TEXTS keep the fixed limits, so a text longer
+    Rows with a NULL id or label are left out, an id counts once (with its least label). All clean texts count, however many;
+    texts meet labels by a join that Spark chooses, a task measures each, and one row a band comes back. Bands and chunks with fewer than MIN_TEXTS keep the fixed limits, so a text longer
     than all clean ones is judged by its chunks.
     """
     rows = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label")).dropna()
     if usable is not None:
         rows = rows.filter(usable)
-    rows = rows.groupBy("id").agg(F.min("label").alias("label")).filter("label = 1").select("id")
-    share = min(1.0, sample / max(1, rows.count()))
-    chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    clean = rows.groupBy("id").agg(F.min("label").alias("label")).filter("label = 1").select("id")
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    known = texts.join(F.broadcast(chosen), "id").select("text").mapInArrow(_ranges, _RANGES)
+    known = texts.join(clean, "id").select("text").mapInArrow(_ranges, _RANGES)
     known = known.filter(~_base_failed(F.col("n_words"), F.col("n_repeat_words")))
     found = known.groupBy("band").agg(
         F.count("*").alias("n"), F.min("ratio").alias("least"), F.max("ratio").alias("most"),

@@ -126,3 +126,17 @@ def test_fixed_limits_hold_without_clean_labels(spark):
     for label in ("0", "NULL"):
         limits = Q.fit(docs, docs.selectExpr("doc_id", f"CAST({label} AS INT) AS quality"))
         assert limits == Q.Limits()
+
+
+def test_limits_come_from_all_clean_texts(spark):
+    """Of 40,000 labelled texts one is much more repetitive than the rest; the limits reach to it."""
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.hex(F.xxhash64("doc_id", i))), " ")
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), words.alias("text"))
+    odd = " ".join(f"{n:016X}" for n in range(60))
+    for place in (7, 19_999, 31_234):
+        changed = docs.withColumn("text", F.when(F.col("doc_id") == place, odd).otherwise(F.col("text")))
+        limits = Q.fit(changed, docs.select("doc_id", F.lit(1).alias("quality")))
+        ratio = Q.measure([odd.encode()])[0][5]
+        assert max(high for start, _, high in limits.bands if start <= len(odd)) >= ratio * (1 + Q.MARGIN) * 0.999
+        kept = Q.judged(changed.filter(F.col("doc_id") == place), limits=limits).first()
+        assert kept.quality_kept
