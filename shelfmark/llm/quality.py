@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.llm._words import WHITE, WHITE_BYTES, windows, word_numbers
+from shelfmark.operators.membership import possible
 
 LEVEL = 3
 CHUNK_BYTES = 4096
@@ -139,10 +140,10 @@ _RANGES = "band int, n_words bigint, n_repeat_words bigint, ratio double, chunks
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to _RANGES."""
+    """Rows (id, text) to their ids and _RANGES."""
     packer = zstandard.ZstdCompressor(level=LEVEL)
     for batch in batches:
-        texts = [text or b"" for text in batch.column(0).cast(pa.binary()).to_pylist()]
+        texts = [text or b"" for text in batch.column(1).cast(pa.binary()).to_pylist()]
         out = []
         for text, row in zip(texts, measure(texts), strict=True):
             chunks = chunk_ratios(text, packer)
@@ -151,7 +152,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64())
         columns = zip(*out, strict=True) if out else [[] for _ in kinds]
         made = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays(made, [field.split()[0] for field in _RANGES.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["id", *(field.split()[0] for field in _RANGES.split(", "))])
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_column: str = "doc_id", text_column: str = "text",
@@ -159,15 +160,18 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
     """Limits just outside the range of texts labelled clean (1) that pass the base rules; ``usable`` says which ids may be used.
 
     Rows with a NULL id or label are left out, an id counts once (with its least label). All clean texts count, however many;
-    texts meet labels by a join that Spark chooses, a task measures each, and one row a band comes back. Bands and chunks with fewer than MIN_TEXTS keep the fixed limits, so a text longer
+    a Bloom filter of their ids picks them where they are read, where they are measured too; only measures meet the labels, in a join that
+    Spark chooses, and one row a band comes back. Bands and chunks with fewer than MIN_TEXTS keep the fixed limits, so a text longer
     than all clean ones is judged by its chunks.
     """
-    rows = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label")).dropna()
+    same = docs.schema[id_column].dataType  # the filter hashes ids by their type
+    rows = labels.select(F.col(id_column).cast(same).alias("id"), F.col(label_column).cast("int").alias("label")).dropna()
     if usable is not None:
         rows = rows.filter(usable)
     clean = rows.groupBy("id").agg(F.min("label").alias("label")).filter("label = 1").select("id")
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    known = texts.join(clean, "id").select("text").mapInArrow(_ranges, _RANGES)
+    made = T.StructType([texts.schema["id"], *T.StructType.fromDDL(_RANGES).fields])
+    known = possible(texts, F.col("id"), clean).mapInArrow(_ranges, made).join(clean, "id")
     known = known.filter(~_base_failed(F.col("n_words"), F.col("n_repeat_words")))
     found = known.groupBy("band").agg(
         F.count("*").alias("n"), F.min("ratio").alias("least"), F.max("ratio").alias("most"),
