@@ -21,7 +21,7 @@ from shelfmark.operators.outcomes import choose_attempt, outcome_columns
 from shelfmark.operators.products import extract_products, is_complete
 from shelfmark.operators.requests import MAX_RETRIES, RETRIES, url_seeds
 from shelfmark.operators.reviews import attach_reviews
-from shelfmark.operators.search import walk_search
+from shelfmark.operators.search import walk_urls
 from shelfmark.operators.snapshots import newest_only, with_status
 from shelfmark.rules import SEARCH_RULES, Rule
 from shelfmark.schemas import OUTCOME, PRODUCT
@@ -231,7 +231,9 @@ def run_requests(
         asked = requests.where("mode = 'search' AND reject IS NULL").withColumnRenamed("search_term", "query")
         # A captured result page names its host, with or without "www."; both belong to one walk.
         shown = search_pages.withColumns({"host": F.col("domain"), "domain": F.regexp_replace("domain", r"^www\.", "")})
-        walked = walk_search(shown, limits=asked.select("request_id", "query", "domain", "max_results", "max_pages"), rules=search_rules)
+        # Only pages of queries that are asked for are parsed.
+        shown = possible(shown, F.struct("query", "domain"), asked.select(F.struct("query", "domain")).distinct())
+        walked = walk_urls(shown, limits=asked.select("request_id", "query", "domain", "max_results", "max_pages"), rules=search_rules)
         found = walked.where("request_id IS NOT NULL").select("request_id", "query", "domain", "result_rank", "url")
         seeds = seeds.unionByName(found.join(asked.select(*own), "request_id").select(*own, "url", *none))
     todo = _pending(seeds, processed)
@@ -273,6 +275,6 @@ def products_for_searches(
     Every result is in exactly one of the tables, with ``query``, ``domain`` and ``result_rank`` (and ``request_id``, where the limits have one); a result that fails is
     an outcome and never stops the others.  A URL that several queries found is parsed once and comes out for each.
     """
-    walked = walk_search(search_pages, max_results=max_results, max_pages=max_pages, limits=limits, rules=search_rules)
+    walked = walk_urls(search_pages, max_results=max_results, max_pages=max_pages, limits=limits, rules=search_rules)
     found = [name for name in ("request_id", *_FOUND) if name in walked.columns]
     return _answered(walked.select(*found, "url"), pages, found, snapshots, reviews, processed, as_of, retries, max_reviews, fresh_run, rules, located)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import products, search, sellers
 from shelfmark.operators.hits import extract_hits, hits_schema
+from shelfmark.operators.requests import normalize_requests
 from shelfmark.operators.reviews import top_reviews
 from shelfmark.plans import pipeline
 from shelfmark.rules import PRODUCT_RULES, SEARCH_RULES, SELLER_RULES
@@ -89,3 +90,21 @@ def test_hit_columns_follow_the_rules():
     schema = hits_schema([*PRODUCT_RULES, *SEARCH_RULES])
     assert "title" in schema.fieldNames() and "shown" not in schema.fieldNames()
     assert "link" in schema["card"].dataType.elementType.fieldNames()
+
+
+def test_cards_are_worked_out_once(pages):
+    """A plain explode would have the whole array of cards computed twice more, to filter on its size."""
+    for found in (search.extract_search(pages), search.result_urls(pages)):
+        assert plan(found).count("/dp/|/gp/product/|/product/") == 1
+
+
+def test_a_walk_parses_only_pages_in_its_reach(spark, pages):
+    text = plan(search.walk_urls(pages, max_pages=3))
+    assert "LessThanOrEqual(page_num,3)" in text and "GreaterThanOrEqual(page_num,1)" in text
+    walked = search.walk_search(pages)
+    assert search.walk_urls(pages).collect() == walked.select("query", "domain", "page_num", "card_pos", "url", "result_rank").collect() != []
+    asked = spark.createDataFrame([(1, "other", 5)], "request_id int, search_term string, max_pages int").withColumn("domain", F.lit("amazon.com"))
+    run = pipeline.run_requests(normalize_requests(asked), pages.where("page_kind = 'product'"), search_pages=pages.where("page_kind = 'search'"), as_of=F.current_timestamp())
+    # No query of the page is asked for, so the filter of queries stands below the parse.
+    text = plan(run.rows)
+    assert text.rindex("getbit") > text.rindex("MapInArrow") and re.search(r"page_num#\d+ <= 5", text)
