@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import ascii_digits, extract, filled, lookup, strip
+from shelfmark.functions.text import ascii_digits, bind, extract, filled, lookup, strip
 from shelfmark.rules import CURRENCY
 
 MONEY = "decimal(18,2)"
@@ -45,8 +45,13 @@ def amount(price: Column) -> Column:
     With a comma the comma-decimal reading is tried first ("1.234,56"), then comma
     thousands ("1,299.99"); without one, dot decimal, then dot thousands ("1.234").
     """
-    digits = ascii_digits(F.regexp_replace(price, r"(?U)[^\d.,]", ""))
-    plain = (
+    number = ascii_digits(F.regexp_replace(price, r"(?U)[^\d.,]", ""))
+    return bind(number, _plain_number).try_cast(MONEY)
+
+
+def _plain_number(digits: Column) -> Column:
+    """Digits, commas and dots as a number with a decimal dot, NULL if they form none."""
+    return (
         F.when(
             F.contains(digits, F.lit(",")),
             F.when(digits.rlike(_COMMA_DECIMAL), F.translate(digits, ",.", "."))
@@ -55,7 +60,6 @@ def amount(price: Column) -> Column:
         .when(digits.rlike(_DOT_DECIMAL), digits)
         .when(digits.rlike(_DOT_GROUPS), F.replace(digits, F.lit("."), F.lit("")))
     )
-    return plain.try_cast(MONEY)
 
 
 def has_currency(text: Column) -> Column:
@@ -101,16 +105,26 @@ _TIES = {f"{cent / 100:.2f}": f"{cent / 100:.1f}" for cent in range(5, 500, 10)}
 
 def normalize_rating(text: Column) -> Column:
     """Localized rating text to "X out of 5"; a bare dot-decimal number stays as it is."""
-    text = strip(text)
-    value = F.replace(extract(text, _RATING_PHRASE, 1), F.lit(","), F.lit("."))
-    number = ascii_digits(value).try_cast("decimal(38,18)")
-    tenths = F.coalesce(
-        lookup(_TIES, F.when(number == F.round(number, 2), F.round(number, 2).cast("string"))),
-        F.round(number, 1).try_cast("decimal(2,1)").cast("string"),
-    )
-    short = F.when(value.rlike(r"(?U)\.\d{2,}$"), tenths).otherwise(value)
+    def in_phrase(text: Column) -> Column:
+        number = F.translate(F.regexp_extract(text, _RATING_PHRASE, 1), ",", ".")
+        return bind(number, lambda number: bind(filled(number), lambda value: _rating(text, value)))
+
+    return bind(strip(text), in_phrase)
+
+
+def _rating(text: Column, value: Column) -> Column:
+    """Of the whole text and the number in its phrase (NULL without one)."""
+
+    def told(number: Column) -> Column:
+        tenths = F.coalesce(
+            lookup(_TIES, F.when(number == F.round(number, 2), F.round(number, 2).cast("string"))),
+            F.round(number, 1).try_cast("decimal(2,1)").cast("string"),
+        )
+        short = F.when(value.rlike(r"(?U)\.\d{2,}$"), tenths).otherwise(value)
+        return F.when(number.between(0, 5), F.concat(short, F.lit(" out of 5")))
+
     bare = extract(text, r"(?U)^\d+\.?\d*\z")
-    return F.when(value.isNull(), bare).when(number.between(0, 5), F.concat(short, F.lit(" out of 5")))
+    return F.when(value.isNull(), bare).otherwise(bind(ascii_digits(value).try_cast("decimal(38,18)"), told))
 
 
 def rating_value(rating: Column) -> Column:

@@ -5,6 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.functions import prices
+from shelfmark.functions.text import strip
 from shelfmark.operators import products, search, sellers
 from shelfmark.operators.hits import extract_hits, hits_schema
 from shelfmark.operators.requests import normalize_requests
@@ -108,3 +110,20 @@ def test_a_walk_parses_only_pages_in_its_reach(spark, pages):
     # No query of the page is asked for, so the filter of queries stands below the parse.
     text = plan(run.rows)
     assert text.rindex("getbit") > text.rindex("MapInArrow") and re.search(r"page_num#\d+ <= 5", text)
+
+
+def test_a_price_or_rating_is_looked_for_once(spark):
+    """Inside lambdas Spark shares no common parts, so each pattern stands once in the expression."""
+    texts = spark.createDataFrame([("4,55 von 5", "1.234,50 €")], "rating string, price string")
+    found = texts.select(prices.normalize_rating(F.col("rating")).alias("rating"), prices.amount(F.col("price")).cast("string").alias("price"))
+    text = plan(found)
+    assert text.count("von|sur") == 1 and text.count(r"[^\d.,]") == 1
+    assert [tuple(row) for row in found.collect()] == [("4.5 out of 5", "1234.50")]
+
+
+def test_white_space_is_trimmed_without_a_pattern(spark):
+    """The same characters as the pattern that it stands for."""
+    ends = spark.range(1, 0x3100).select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    rows = ends.select(F.concat("c", F.lit("a "), "c", F.lit("b"), "c", F.lit(" \n"), "c").alias("t"))
+    assert "regexp" not in plan(rows.select(strip(F.col("t"))))
+    assert rows.where(strip(F.col("t")) != F.regexp_replace("t", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")).count() == 0
