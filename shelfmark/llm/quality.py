@@ -14,6 +14,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from shelfmark.operators.membership import possible
 
 LEVEL = 3
 CHUNK_BYTES = 4096
+GROUP_BYTES = 1 << 22  # of texts measured together; the numbers of their words take some ten times that
 # From so many bytes on: lowest and highest ratio of a text, where no labels say more.
 LIMITS = ((0, 0.0, 5.0), (256, 1.25, 5.0), (1024, 1.50, 5.0), (4096, 1.60, 6.0), (16384, 1.70, 7.0), (65536, 1.70, 8.0))
 # The same for chunks, and the share of a text's chunks that may lie outside.
@@ -94,8 +96,13 @@ def repeated_words(runs: np.ndarray, words: int) -> int:
 
 
 def duplicate_lines(text: bytes) -> int:
-    lines = [line for line in text.split(b"\n") if line.strip(WHITE_BYTES)]
-    return len(lines) - len(set(lines))
+    """Lines are taken one at a time: a text of short lines is far smaller than a list of them."""
+    count, seen = 0, set()
+    for line in BytesIO(text):
+        if line.strip(WHITE_BYTES):
+            count += 1
+            seen.add(line.removesuffix(b"\n"))
+    return count - len(seen)
 
 
 def measure(texts: list[bytes], limits: tuple[float, float] = CHUNK_LIMITS) -> list[tuple]:
@@ -121,10 +128,25 @@ def measure(texts: list[bytes], limits: tuple[float, float] = CHUNK_LIMITS) -> l
     return out
 
 
+def _groups(column: pa.Array) -> Iterator[list[bytes]]:
+    """The texts of a batch, at most GROUP_BYTES of them at a time (a longer one alone); none is left out."""
+    texts: list[bytes] = []
+    size = 0
+    for value in column.cast(pa.binary()):
+        text = value.as_py() or b""
+        if texts and size + len(text) > GROUP_BYTES:
+            yield texts
+            texts, size = [], 0
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield texts
+
+
 def _measured(batches: Iterator[pa.RecordBatch], limits: tuple[float, float]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         place = batch.schema.names.index("quality_text")
-        rows = measure([text or b"" for text in batch.column(place).cast(pa.binary()).to_pylist()], limits)
+        rows = [row for texts in _groups(batch.column(place)) for row in measure(texts, limits)]
         kept = [i for i in range(batch.num_columns) if i != place]
         columns = zip(*rows, strict=True) if rows else [[] for _ in FIELDS]
         kinds = (pa.int64(),) * len(COUNTS) + (pa.float64(), pa.int64(), pa.int64())
@@ -143,9 +165,8 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, text) to their ids and _RANGES."""
     packer = zstandard.ZstdCompressor(level=LEVEL)
     for batch in batches:
-        texts = [text or b"" for text in batch.column(1).cast(pa.binary()).to_pylist()]
         out = []
-        for text, row in zip(texts, measure(texts), strict=True):
+        for text, row in (pair for texts in _groups(batch.column(1)) for pair in zip(texts, measure(texts), strict=True)):
             chunks = chunk_ratios(text, packer)
             band = bisect_right(STARTS, len(text)) - 1
             out.append((band, row[0], row[4], row[5], len(chunks), min(chunks, default=None), max(chunks, default=None)))

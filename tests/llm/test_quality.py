@@ -140,3 +140,28 @@ def test_limits_come_from_all_clean_texts(spark):
         assert max(high for start, _, high in limits.bands if start <= len(odd)) >= ratio * (1 + Q.MARGIN) * 0.999
         kept = Q.judged(changed.filter(F.col("doc_id") == place), limits=limits).first()
         assert kept.quality_kept
+
+
+def test_memory_of_a_batch_of_long_texts_is_bounded():
+    """A batch is measured a few texts at a time, and a text's lines one at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [(prose(3000, seed) + "\n") * 10 for seed in range(3)] * 40 + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "quality_text"])
+    lines = b"ab\n" * 1_000_000
+    tracemalloc.start()
+    try:
+        (out,) = Q._measured(iter([batch]), Q.CHUNK_LIMITS)
+        assert tracemalloc.get_traced_memory()[1] < 2 * batch.nbytes
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        assert Q.duplicate_lines(lines) == 999_999
+        assert tracemalloc.get_traced_memory()[1] - before < 2 * len(lines)
+    finally:
+        tracemalloc.stop()
+    assert out.column("doc_id").to_pylist() == list(range(len(texts)))
+    rows = list(zip(*(out.column(f"quality_{name}").to_pylist() for name, _ in Q.FIELDS), strict=True))
+    assert rows[:3] * 40 == rows[:120] == [tuple(row) for row in Q.measure([t.encode() for t in texts[:120]])]
+    assert rows[120:] == [(0, 0, 0, 0, 0, 1.0, 0, 0)] * 2
