@@ -19,14 +19,14 @@ from shelfmark.streaming.keyed import Gathering, gathered, has_key, milliseconds
 class _Attempts(Gathering):
     """Holds the best attempt so far, and which numbers from 1 to ``retries`` were seen."""
 
-    def __init__(self, idle_ms: int, retries: int | None):
-        super().__init__(idle_ms)
+    def __init__(self, keys: Sequence[str], idle_ms: int, retries: int | None):
+        super().__init__(keys, idle_ms)
         self.retries = retries
 
     def empty(self) -> dict:
         return {"best": None, "seen": []}
 
-    def add(self, held: dict, row: Row) -> None:
+    def add(self, held: dict, row: dict) -> None:
         number = row["attempt"]
         if self.retries is not None:
             if number is None or number > self.retries:
@@ -68,8 +68,8 @@ def attempt_stream(fetches: DataFrame, ok: Column, *, retries: int | None = None
     good = F.when(F.col("ok"), -F.col("attempt")).otherwise(F.col("attempt"))
     if retries is None:
         rows = rows.withColumns({"by_ok": F.col("ok").cast("int"), "by_number": good})
-        rows = rows.mapInArrow(only_better(["url"], ["by_ok", "by_number", "at_us"]), rows.schema)
-    chosen = gathered(rows, ["url"], _Attempts(milliseconds(idle), retries), "url string, attempt int, ok boolean, payload string")
+        rows = rows.mapInArrow(only_better(["url"], ["by_ok", "by_number", "at_us"]), rows.schema).drop("by_ok", "by_number")
+    chosen = gathered(rows, _Attempts(["url"], milliseconds(idle), retries), "url string, attempt int, ok boolean, payload string", "fetched_at")
     return unpacked(chosen, kept).select(*[name for name in fetches.columns if name != "ok"], "ok")
 
 

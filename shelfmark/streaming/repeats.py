@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from shelfmark.streaming.keyed import gathered, packed, unpacked
+from shelfmark.streaming.keyed import packed, unpacked, with_state
 
 
 class _Repeats(StatefulProcessor):
@@ -82,4 +82,4 @@ def without_repeats(rows: DataFrame, keys: Sequence[str], *, ttl_seconds: int, t
     timed = rows.where(F.col(time).isNotNull()).withColumns({"at_us": F.unix_micros(time), "event_at": F.col(time)})
     timed = packed(timed.withWatermark("event_at", delay), kept.fieldNames())
     named = T.StructType([*(rows.schema[name] for name in keys), T.StructField("payload", T.StringType())])
-    return unpacked(gathered(timed, keys, _Repeats(ttl_seconds * 1_000_000), named), kept).select(*rows.columns)
+    return unpacked(with_state(timed, keys, _Repeats(ttl_seconds * 1_000_000), named), kept).select(*rows.columns)

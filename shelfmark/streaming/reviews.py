@@ -21,11 +21,11 @@ class _Reader(Gathering):
     """Holds the first ``max_reviews`` distinct reviews by round and place: none that was pushed out can come back
     but by showing at an earlier place."""
 
-    def __init__(self, idle_ms: int, max_reviews: int):
-        super().__init__(idle_ms)
+    def __init__(self, keys: Sequence[str], idle_ms: int, max_reviews: int):
+        super().__init__(keys, idle_ms)
         self.max_reviews = max_reviews
 
-    def add(self, held: dict, row: Row) -> None:
+    def add(self, held: dict, row: dict) -> None:
         place = [row["round"], row["pos"]]
         mark = row["mark"]
         if mark in held and held[mark][0] <= place:
@@ -59,6 +59,6 @@ def review_stream(
     mark = F.sha2(F.to_json(F.struct("text", F.coalesce("date", F.lit("")).alias("date"))), 256)
     rows = rows.where("round IS NOT NULL").withColumns({"mark": mark, "at_us": F.unix_micros("captured_at"), "by_round": -F.col("round"), "by_pos": -F.col("pos")})
     rows = packed(rows, _PACKED.fieldNames())
-    rows = rows.mapInArrow(only_better(["url", "mark"], ["by_round", "by_pos"]), rows.schema)
-    read = gathered(rows, ["url"], _Reader(milliseconds(idle), max_reviews), _READ)
+    rows = rows.mapInArrow(only_better(["url", "mark"], ["by_round", "by_pos"]), rows.schema).drop("by_round", "by_pos")
+    read = gathered(rows, _Reader(["url"], milliseconds(idle), max_reviews), _READ, "captured_at")
     return unpacked(read, _PACKED).select(*REVIEW.fieldNames(), "review_rank")
