@@ -234,3 +234,39 @@ def test_pages_of_one_layout_are_laid_out_once_and_say_their_own():
         few = _Reader(group)
         few.layouts.TOKENS = 10  # forgets all the time
         assert [few.read(page) for page in pages] == [shared.read(page) for page in pages]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_columns_of_a_batch_are_what_its_pages_give(seed):
+    """Pages read by the steps of their layout, or with tags known by their form, say what one reading by itself says."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from shelfmark.operators.hits import _column, _Reader, hits_schema
+
+    rng = random.Random(seed)
+    odd = ["<a href='/dp/1' title='5 > 4'>x</a>", "<b <i>", "a < b", "<a'x y'z w>", "<ſpan>", "<span class='stars' class='x'>1</span>", "<!-- <p> -->", "<script>'<p>'</script>", "sold by&#58; me", "<div id='merchant-info' /", ""]
+    shapes = ["".join(rng.choices([*SETTLING, *odd], k=rng.choice((3, 12, 40)))) for _ in range(60)]
+    pages = [page for shape in shapes for page in (shape, shape.replace("5", "7").replace("Acme", "B &amp; C"), None, shape)]
+    for group in RULE_SETS:
+        shared, kinds = _Reader(group), [field.type for field in to_arrow_schema(hits_schema(group))]
+        for start in range(0, len(pages), 50):
+            batch = pages[start : start + 50]
+            for row, page in enumerate(batch):
+                shared.add(page, row)
+            rows = [_Reader(group).read(page) for page in batch]
+            assert shared.columns(kinds, len(batch)) == [_column([row[at] for row in rows], kind) for at, kind in enumerate(kinds)]
+
+
+def test_plain_tags_are_cut_as_the_pattern_cuts_them():
+    from shelfmark.operators._markup import _SPLIT, Layouts
+
+    rng = random.Random(3)
+    some = ["<", ">", "'", '"', "=", " ", "/", "a", "b", "script", "style", "!--", "-->", "!", "?", "p class=", "ſ", "x"]
+    shared = Layouts(frozenset(["p"]))
+    for _ in range(4_000):
+        page = "".join(rng.choices(some, k=rng.choice((4, 12, 30)))) + rng.choice(("", "<p class='a' id='b'>", "<a href='1' href='2'>"))
+        parts = _SPLIT.split(page + ">")
+        texts, entries = shared._cut(page)
+        assert texts == [*parts[::3][:-1], parts[::3][-1][:-1]], page
+        fresh = Layouts(frozenset(["p"]))
+        assert [entry[1:] for entry in entries] == [fresh._token(token)[1:] for token in parts[1::3]], page
