@@ -332,3 +332,26 @@ def test_product_files_are_written_whole_or_not_read(spark, tmp_path):
         write_product_files(fails, path)
     with pytest.raises(ValueError, match="not whole"):
         read_product_files(spark, path, schema)
+
+
+def test_product_files_are_read_without_a_list_of_them(spark, tmp_path):
+    """The driver knows the files of the writer's table alone; lines, empty texts and odd characters come back."""
+    from shelfmark.sources.sinks import read_product_files, write_product_files
+
+    rows = [(f"https://s/dp/{n:010d}", f"t{n}") for n in range(300)] + [("https://s/x", "a b\r\nc \U0001f600"), ("https://s/y", ""), (None, None)]
+    products = spark.createDataFrame(rows, "url string, title string").repartition(3)
+    path = f"file://{tmp_path}/files"
+    write_product_files(products, path)
+    found = read_product_files(spark, path, "output_key string, title string, url string")
+    assert found.columns == ["title", "url", "output_key"]
+    assert len(found.inputFiles()) <= 3 and all("/_written/" in name for name in found.inputFiles())
+    want = {(u, t, u[-10:] if u and "/dp/" in u else "product") for u, t in rows}
+    assert {(r.url, r.title, r.output_key) for r in found.collect()} == want and found.count() == len(rows)
+    assert {(r.url, r.output_key) for r in read_product_files(spark, path, "url string").collect()} == {(u, k) for u, _, k in want}
+    assert read_product_files(spark, path, "output_key string").distinct().count() == 301
+    # A folder without that table is read as before.
+    assert spark.read.json(path).count() == len(rows)
+    import shutil
+
+    shutil.rmtree(tmp_path / "files" / "_written")
+    assert read_product_files(spark, path, "title string, output_key string").count() == len(rows)
