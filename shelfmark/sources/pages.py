@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.urls import url_key
 from shelfmark.schemas import PAGE, SNAPSHOT
-from shelfmark.sources.directory import read_directory
+from shelfmark.sources.directory import is_directory, read_directory, read_pairs
 
 # File name shapes of a snapshot directory (64 hex digits).
 _HTML_FILE = r"/([0-9a-f]{64})\.html$"
@@ -55,10 +55,13 @@ def scan_snapshot_dir(spark: SparkSession, path: str, *, empty_pages: bool = Fal
     Meta data must be an object with url, cached_at and ttl_seconds, version
     optional, and nothing else.  Spark's file sources do not show files of zero bytes, so a page of zero bytes is
     a missing one; with ``empty_pages`` a source of its own (:mod:`sources.directory`) reads the directory, to which an
-    empty page is a page, for folders that ``pyarrow.fs`` opens.
+    empty page is a page, for folders that ``pyarrow.fs`` opens.  Without it such folders are listed by a task, any other path by
+    the driver, as Spark's file sources do.
     """
     if empty_pages:
         pairs = read_directory(spark, path)
+    elif is_directory(path):
+        pairs = read_pairs(spark, path)
     else:
 
         def files(glob: str, shape: str, name: str) -> DataFrame:

@@ -144,3 +144,25 @@ def test_pages_of_one_url_make_one_pair_of_files(spark, tmp_path):
     found = with_status(sources.scan_snapshot_dir(spark, f"file://{tmp_path}/s"), F.to_timestamp(F.lit("2024-01-31 00:00:00")))
     kinds = ["hit", "expired", "version", "bad_meta", "no_meta", "no_html"]
     assert {(r.html, r.status) for r in found.collect()} == {(None if n % 6 == 5 else f"page {n}", kinds[n % 6]) for n in range(80, 120)}
+
+
+def test_a_snapshot_folder_is_listed_by_a_task(spark, tmp_path):
+    """The driver plans no list of files; what is there comes out as from Spark's own reader."""
+    meta = f'{{"url": "u", "cached_at": {(T0 - datetime(1970, 1, 1)).total_seconds()}, "ttl_seconds": 60}}'
+    for n in range(40):
+        if n % 7 != 3:
+            (tmp_path / f"{n:064x}.html").write_bytes(b"" if n % 5 == 0 else b"<p>\xc3\xa9 %d \xff\xe2\x82 \xf0\x9f" % n)
+        if n % 4:
+            (tmp_path / f"{n:064x}.meta.json").write_text("" if n % 6 == 5 else meta)
+    (tmp_path / f"{99:064x}.html").mkdir()
+    (tmp_path / "other.html").write_text("x")
+    found = sources.scan_snapshot_dir(spark, f"file://{tmp_path}")
+    assert found.inputFiles() == []
+    listed = sources.scan_snapshot_dir(spark, f"file://{tmp_path}/*")  # no folder, so Spark lists the files
+    assert len(listed.inputFiles()) > 40
+    got = {tuple(r) for r in found.collect()}
+    assert got == {tuple(r) for r in listed.collect()} and len(got) == found.count()
+    assert {int(r[0], 16) for r in got} == {n for n in range(40) if n % 7 != 3 and n % 5 or n % 4 and n % 6 != 5}
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert sources.scan_snapshot_dir(spark, str(empty)).collect() == []
