@@ -19,11 +19,12 @@ def strip(text: Column) -> Column:
 
 def extract(text: Column, pattern: str, group: int = 0) -> Column:
     """First match of ``pattern``, or NULL where there is none or it is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return filled(F.regexp_extract(text, pattern, group))
 
 
 def filled(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
+    """NULL for an empty text.  ``nullif`` inside a lambda would work its argument out twice, and nested ones four times."""
+    return F.get(F.array_remove(F.array(text), F.lit("")), F.lit(0))
 
 
 def first_of(hits: Column, value: Callable[[Column], Column]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.sellers import is_marketplace_seller, normalize_seller
-from shelfmark.functions.text import extract, filled, first_of, strip
+from shelfmark.functions.text import bind, extract, filled, first_of, strip
 
 # Phrases in the tabular box that mean marketplace fulfilment.
 _FULFILMENT = "fulfilled by amazon|ships from amazon|shipped from amazon"
@@ -59,7 +59,7 @@ def seller_rating(rating_hits: Column, feedback: Column) -> Column:
     # The element counts even when it is empty or without a number: its text then wins.
     stars = F.get(F.get(feedback, F.lit(0))["stars"], F.lit(0))["text"]
     override = F.coalesce(extract(stars, r"(?U)[\d.]+"), stars)
-    return F.struct(F.coalesce(override, fold["rating"]).alias("rating"), fold["count"].alias("count"))
+    return bind(fold, lambda known: F.struct(F.coalesce(override, known["rating"]).alias("rating"), known["count"].alias("count")))
 
 
 def buybox_sold_by(buybox: Column) -> Column:

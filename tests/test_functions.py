@@ -281,3 +281,20 @@ def test_review_values(column):
 def test_error_stage(spark, error, kind, captcha, stage):
     row = spark.createDataFrame([(error, kind, captcha)], "e string, k string, c boolean")
     assert row.select(outcomes.error_stage(F.col("e"), F.col("k"), F.col("c"))).first()[0] == stage
+
+
+def test_values_inside_lambdas_are_worked_out_once(spark):
+    """A pattern looked for in each hit is one expression of the plan, as is the fold over a seller's ratings."""
+    from pyspark.sql import functions as F
+
+    from shelfmark.functions.text import extract, filled, first_of
+    from shelfmark.operators.sellers import seller_rating
+
+    rows = spark.createDataFrame([(["", "ab", "x7"],), ([None],), ([],)], "v array<string>")
+    found = rows.select(first_of(F.col("v"), lambda text: extract(text, r"\d")).alias("d"), first_of(F.col("v"), filled).alias("f"))
+    assert [tuple(r) for r in found.collect()] == [("7", "ab"), (None, None), (None, None)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
+    hits = "array<struct<text:string>>"
+    rated = spark.createDataFrame([], f"r {hits}, b array<struct<stars:{hits}>>").select(seller_rating(F.col("r"), F.col("b")).alias("s"))
+    plan = rated.select("s.rating", "s.count")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
